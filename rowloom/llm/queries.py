@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import packing, quality, sentencepieces
+from rowloom.llm import jaccard, packing, quality, sentencepieces
 from rowloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op8_sentencepieces)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op8_sentencepieces, op9_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
