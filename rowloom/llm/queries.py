@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import jaccard, packing, quality, sentencepieces
+from rowloom.llm import jaccard, packing, quality, repeats, sentencepieces
 from rowloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digest(table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digest=True)
 
@@ -33,6 +37,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op8_sentencepieces, op9_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op7_repeats, op8_sentencepieces, op9_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
