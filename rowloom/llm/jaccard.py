@@ -6,12 +6,13 @@
 3.  Within a key, classes may link if their sizes fit and if their parity sketches (512 bits, each
     the parity of the hashes that fall on it) differ in no more bits than linked sets can differ
     in.  A spanning forest of these candidates is kept, never all pairs; its components over
-    all keys are coarse clusters.  A link lies within one cluster.
+    all keys are coarse clusters.  A link lies within one cluster.  Clusters are split once more in the same
+    way, with sketches of a bit for each one or two hashes, which tell long texts apart as well.
 4.  Within a cluster the links are searched by T-occurrence with DivideSkip: a set's inverted lists
     are ordered by length, the short ones are merged, and the long ones, T - 1 at most, are
     probed by binary search for the candidates met so far.  A pair that reaches the needed overlap is checked
     exactly.  Classes that are joined already are skipped, as only components are wanted.
-Large keys and clusters are dealt out as pairs of blocks.
+Large keys and clusters are dealt out as pairs of blocks, by rows and by bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import filled, materialise, pieces, slices
@@ -31,6 +32,7 @@ from rowloom.llm.components import components
 SKETCH_BITS = 512
 KEY_BLOCK = 8192  # classes of a key handled together
 CLUSTER_BLOCK = 2048  # classes of a cluster handled together
+BLOCK_SHINGLES = 1 << 21  # of the classes of a cluster handled together
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -89,13 +91,43 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def fixed(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
-    """Values of a binary column of equal lengths as rows of numbers."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, dtype).reshape(len(column), width)
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the hashes at each bit: a power of two of bits, SKETCH_BITS at least, else half the hashes at least."""
+    bits = max(SKETCH_BITS, 1 << max(len(hashes) // 2 - 1, 0).bit_length())
+    flags = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").view("<u8")
 
 
-def candidate_forest(n: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of fewer bits that the same hashes give."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+class Sketches:
+    """Sketches of several widths; two are compared at the lesser width."""
+
+    def __init__(self, own: list[np.ndarray]) -> None:
+        self.own = own
+        self.words = np.array([len(x) for x in own], np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words >= w)  # also the wider, folded
+            place = np.full(len(own), -1, np.int64)
+            place[at] = np.arange(len(at))
+            self.rows[w] = (np.stack([own[i] if len(own[i]) == w else folded(own[i], w) for i in at.tolist()]), place)
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits the sketch of x differs from each other one."""
+        out = np.zeros(len(others), np.int64)
+        width = np.minimum(self.words[others], self.words[x])
+        for w in np.unique(width).tolist():
+            some = width == w
+            rows, place = self.rows[w]
+            out[some] = np.bitwise_count(rows[place[others[some]]] ^ rows[place[x]]).sum(1, dtype=np.int64)
+        return out
+
+
+def candidate_forest(n: np.ndarray, sketches: Sketches, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Root and members of each component of classes that may link; ``n`` ascends."""
     left = np.arange(len(n))
     while len(left) > 1:
@@ -103,11 +135,9 @@ def candidate_forest(n: np.ndarray, sketch: np.ndarray, percent: int) -> Iterato
         frontier, found = [root], []
         while frontier and len(left):
             x = frontier.pop()
-            sizes = n[left]
-            a, b = np.searchsorted(sizes, [-(-percent * n[x] // 100), 100 * n[x] // percent + 1])
+            a, b = np.searchsorted(n[left], [-(-percent * n[x] // 100), 100 * n[x] // percent + 1])
             near = left[a:b]
-            apart = np.bitwise_count(sketch[near] ^ sketch[x]).sum(1, dtype=np.int64)
-            ok = apart * (100 + percent) <= (n[near] + n[x]) * (100 - percent)
+            ok = sketches.apart(x, near) * (100 + percent) <= (n[near] + n[x]) * (100 - percent)
             if ok.any():
                 hit = near[ok]
                 found.append(hit)
@@ -184,27 +214,28 @@ def t_occurrence(sets: list[np.ndarray], percent: int, sides: np.ndarray | None
     return forest
 
 
-def in_blocks(rows: DataFrame, group: str, size: str, item: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, blocks: Column, item: str) -> DataFrame:
     """Deal rows of large groups out as pairs of blocks: ``task`` is of one pair, ``side`` the row's block in it."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    dealt = rows.withColumn("_n", blocks).withColumn("side", F.pmod(F.xxhash64(item), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = rows.withColumn("_n", F.ceil(blocks).cast("int")).withColumn("side", F.pmod(F.xxhash64(item), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return dealt.withColumn("paired", F.col("side") != F.col("_o")).withColumn("task", F.xxhash64(group, F.least("side", "_o"), F.greatest("side", "_o"))).drop("_n", "_o")
 
 
 def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Key, ``n``, ``sig`` (digest of the set), ``sketch`` and ``prefix`` of every document."""
+    """``id``, ``n``, ``sig`` (digest of the set), ``sketch``, ``wide`` (sketch) and ``prefix`` of every document."""
 
     def run(batches):
         for part in slices(batches):
-            n, sig, sketch, prefix = [], [], [], []
+            n, sig, sketch, wide, prefix = [], [], [], [], []
             for s in shingle_sets(filled(part), width):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketch.append(np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
+                own = parity_sketch(s)
+                sketch.append(folded(own, SKETCH_BITS // 64).tobytes())
+                wide.append(own.tobytes())
                 prefix.append(s[: prefix_length(len(s), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "sig", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "sig", "sketch", "wide", "prefix"])
 
-    return docs.select(key, docs[text].alias("text")).mapInArrow(run, "id bigint, n bigint, sig binary, sketch binary, prefix array<bigint>")
+    return docs.select(key, docs[text].alias("text")).mapInArrow(run, "id bigint, n bigint, sig binary, sketch binary, wide binary, prefix array<bigint>")
 
 
 def candidates(percent: int) -> Callable:
@@ -212,17 +243,18 @@ def candidates(percent: int) -> Callable:
         for table in whole_groups(batches, "task"):
             task = table["task"].to_numpy()
             ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-            sketch = fixed(table["sketch"], "<u8", SKETCH_BITS // 64)
+            sketch = [np.frombuffer(x, "<u8") for x in table["sketch"].to_pylist()]
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(task)]]))
             two = starts[sizes == 2]  # most keys have two classes
             low, high = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-            apart = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1, dtype=np.int64)
-            ok = (100 * low >= percent * high) & (apart * (100 + percent) <= (low + high) * (100 - percent))
-            a, b = [ids[two[ok]]], [ids[two[ok] + 1]]
+            fits = two[100 * low >= percent * high]
+            apart = [Sketches(sketch[i : i + 2]).apart(0, np.array([1]))[0] if len(sketch[i]) != len(sketch[i + 1]) else int(np.bitwise_count(sketch[i] ^ sketch[i + 1]).sum()) for i in fits.tolist()]
+            fits = fits[np.array(apart, np.int64) * (100 + percent) <= (n[fits] + n[fits + 1]) * (100 - percent)]
+            a, b = [ids[fits]], [ids[fits + 1]]
             for s, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 order = s + np.argsort(n[s : s + size], kind="stable")
-                for root, members in candidate_forest(n[order], sketch[order], percent):
+                for root, members in candidate_forest(n[order], Sketches([sketch[i] for i in order.tolist()]), percent):
                     a.append(ids[order[members]])
                     b.append(np.full(len(members), ids[order[root]]))
             links = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
@@ -235,22 +267,32 @@ def searched(percent: int) -> Callable:
     def run(batches):
         for table in whole_groups(batches, "task"):
             task, ids, sides, paired = (table[c].to_numpy() for c in ("task", "id", "side", "paired"))
-            sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             a, b = [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                order = sorted(range(s, e), key=lambda i: (len(sets[i]), ids[i]))
-                forest = t_occurrence([sets[i] for i in order], percent, sides[order] if paired[s] else None)
+                sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].slice(s, e - s).to_pylist()]
+                order = sorted(range(e - s), key=lambda i: (len(sets[i]), ids[s + i]))
+                forest = t_occurrence([sets[i] for i in order], percent, sides[s:e][order] if paired[s] else None)
                 for i, x in enumerate(order):
                     r = forest.root(i)
                     if r != i:
-                        a.append(int(ids[x]))
-                        b.append(int(ids[order[r]]))
+                        a.append(int(ids[s + x]))
+                        b.append(int(ids[s + order[r]]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def searched_groups(dealt: DataFrame, search: Callable) -> DataFrame:
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(search, "a bigint, b bigint")
+
+
+def clustered(links: DataFrame) -> DataFrame:
+    """``id`` and ``root`` of every id of a link, roots too."""
+    found = components(links, "a", "b")
+    return found.select(F.col("node").alias("id"), "root").unionByName(found.select(F.col("root").alias("id"), "root").distinct())
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text", key_block: int = KEY_BLOCK, cluster_block: int = CLUSTER_BLOCK) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (the least key reachable by links) of every document.
 
@@ -272,22 +314,23 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     held = keys.join(shared.hint("shuffle_hash"), "key")
     described = held.join(reps.select("id", "n", "sketch"), "id")
-    dealt = in_blocks(described, "key", "held", "id", key_block).select("task", "id", "n", "sketch")
-    coarse_links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(candidates(percent), "a bigint, b bigint")
-    found = components(coarse_links, "a", "b")
-    clusters = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("held"))
-    clusters = materialise(clusters.join(sizes, "root"), "clusters")
+    dealt = in_blocks(described, "key", F.col("held") / key_block, "id").select("task", "id", "n", "sketch")
+    coarse = clustered(searched_groups(dealt, candidates(percent)))
+    wide = coarse.join(reps.select("id", "n", "wide"), "id").join(coarse.groupBy("root").agg(F.count("*").alias("held")), "root")
+    dealt = in_blocks(wide, "root", F.col("held") / key_block, "id").select("task", "id", "n", F.col("wide").alias("sketch"))
+    fine = materialise(clustered(searched_groups(dealt, candidates(percent))).join(reps.select("id", "n"), "id"), "clusters")
+    sizes = fine.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
+    clusters = fine.join(sizes, "root").select(F.col("id").alias("node"), "root", F.greatest(F.col("held") / cluster_block, F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
 
     def sets_of(batches):
         for part in slices(batches):
             sets = pa.array([s.tobytes() for s in shingle_sets(filled(part), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("held"), sets], ["id", "root", "held", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("blocks"), sets], ["id", "root", "blocks", "hashes"])
 
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(clusters, "node")
-    sets = texts.mapInArrow(sets_of, "id bigint, root bigint, held bigint, hashes binary").where(F.length("hashes") > 0)
-    dealt = in_blocks(sets, "root", "held", "id", cluster_block).select("task", "id", "side", "paired", "hashes")
-    links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(searched(percent), "a bigint, b bigint")
+    sets = texts.mapInArrow(sets_of, "id bigint, root bigint, blocks double, hashes binary").where(F.length("hashes") > 0)
+    dealt = in_blocks(sets, "root", F.col("blocks"), "id").select("task", "id", "side", "paired", "hashes")
+    links = searched_groups(dealt, searched(percent))
     links = links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     final = components(links, "a", "b").select(F.col("node").alias("id"), "root")
     return base.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
