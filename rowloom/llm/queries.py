@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import jaccard, packing, quality, repeats, sentencepieces, topk, urls
+from rowloom.llm import html, jaccard, packing, pii, quality, repeats, sentencepieces, topk, urls
 from rowloom.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "kinds")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -45,6 +53,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op6_top_k, op7_repeats, op8_sentencepieces, op9_jaccard_join, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_pii, op5_main_text, op6_top_k, op7_repeats, op8_sentencepieces, op9_jaccard_join, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
