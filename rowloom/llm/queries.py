@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import html, jaccard, packing, pii, quality, repeats, sentencepieces, topk, urls
+from rowloom.llm import html, jaccard, licenses, packing, pii, quality, repeats, sentencepieces, topk, urls
 from rowloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), with_ids=False)
 
@@ -53,6 +57,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_pii, op5_main_text, op6_top_k, op7_repeats, op8_sentencepieces, op9_jaccard_join, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_packing, op4_pii, op5_main_text, op6_top_k, op7_repeats, op8_sentencepieces, op9_jaccard_join, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
