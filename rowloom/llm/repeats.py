@@ -8,8 +8,9 @@ A string of ``length`` bytes is removed from a document if it also starts in a d
     have equal anchors.  Anchors travel as packed blocks to the task of their hash, one for each content and
     block at most; those of one document alone are dropped.
 3.  Documents with a shared anchor give the contexts of these anchors: the bytes of all windows that have
-    it.  Contexts are gathered by anchor, and equal ones are kept once with their smallest id.
-4.  Over the contexts of some anchors stands a run-length index: the Burrows-Wheeler transform as
+    it.  Contexts are gathered by anchor, and equal ones are kept once with their smallest id: the context of
+    any larger id is marked whole.
+4.  Over the distinct contexts of anchors that have several stands a run-length index: the Burrows-Wheeler transform as
     runs, with the suffix position sampled at each run's end, and the least id of each interval of suffixes
     that share ``length`` bytes.  Contexts are streamed against it from right to left, a step for all at a
     time, which gives the matching statistics; a match of ``length`` or more whose interval has a smaller
@@ -24,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import filled, materialise, slices
 
 SEGMENT = 2 << 20  # windows whose anchors are found at a time
-FLUSH = 1 << 20  # anchors, or context bytes / 16, held before they are sent
+FLUSH = 1 << 20  # anchors, or half the contexts, held before they are sent
 INDEX_BYTES = 1 << 20  # of contexts under one index
-MASK = np.uint64((1 << 48) - 1)
+HASH_BYTES = 5  # of an anchor beside its bucket; a false match costs time only
+MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -101,13 +104,14 @@ def joined_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return owner[ok], h[ok], a[ok], b[ok]
 
 
-def six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """The low HASH_BYTES of each hash."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
 
 
-def unsix(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
     return out.view("<u8").ravel()
 
 
@@ -246,7 +250,7 @@ def anchor_blocks(length: int, buckets: int):
                 rows[0].append(k)
                 rows[1].append(least)
                 own = away[at].view("<u2").reshape(-1, 4)
-                rows[2].append(bytes([planes]) + six(h[at]) + b"".join(np.ascontiguousarray(own[:, p]).tobytes() for p in range(planes)))
+                rows[2].append(bytes([planes]) + packed(h[at]) + b"".join(np.ascontiguousarray(own[:, p]).tobytes() for p in range(planes)))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["bucket", "least", "block"])
 
         contents: dict[bytes, int] = {}
@@ -284,9 +288,9 @@ def shared_anchors(batches):
         hashes, ids = [], []
         for least, block in rows:
             planes = block[0]
-            n = (len(block) - 1) // (6 + 2 * planes)
-            hashes.append(unsix(block[1 : 1 + 6 * n]))
-            cols = np.frombuffer(block, "<u2", offset=1 + 6 * n).reshape(planes, n)
+            n = (len(block) - 1) // (HASH_BYTES + 2 * planes)
+            hashes.append(unpacked(block[1 : 1 + HASH_BYTES * n]))
+            cols = np.frombuffer(block[1 + HASH_BYTES * n :], "<u2").reshape(planes, n)
             ids.append(sum(cols[p].astype(np.int64) << (16 * p) for p in range(planes)) + least)
         h, i = np.concatenate(hashes), np.concatenate(ids)
         order = np.argsort(h, kind="stable")
@@ -296,7 +300,9 @@ def shared_anchors(batches):
         keep = np.repeat(several, np.diff(np.concatenate([starts, [len(h)]])))
         h, i = h[keep], i[keep]
         docs, inverse = np.unique(i, return_inverse=True)
-        blobs = [six(h[at]) for _, at in parts(inverse, len(docs))]
+        edges = np.searchsorted(inverse[order := np.argsort(inverse, kind="stable")], np.arange(len(docs) + 1))
+        flat, edges = packed(h[order]), (edges * HASH_BYTES).tolist()
+        blobs = [flat[a:b] for a, b in zip(edges, edges[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], ["id", "anchors"])
 
 
@@ -316,44 +322,38 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def context_blocks(length: int, buckets: int):
-    """Contexts of shared anchors by bucket: anchor, document, place and bytes."""
-    names = ["bucket", "docs", "digests", "anchor", "owner", "place", "contexts"]
+    """Contexts of shared anchors by bucket: compressed columns of anchor, id, row of the id, place, size and bytes."""
 
     def run(batches):
         held: list[tuple] = []
-        ids: list[int] = []
-        digests: list[bytes] = []
         count = 0
 
         def flush():
-            nonlocal held, ids, digests, count
-            h, owner, place = (np.concatenate([x[k] for x in held]) for k in range(3))
-            texts = [c for x in held for c in x[3]]
-            rows: list[list] = [[] for _ in names]
+            nonlocal held, count
+            h, ids, nth, place, sizes = (np.concatenate([x[k] for x in held]) for k in range(5))
+            texts = [c for x in held for c in x[5]]
+            held, count = [], 0
+            rows: tuple[list, ...] = ([], [], [], [])
             for k, at in parts((h % np.uint64(buckets)).astype(np.int64), buckets):
-                docs, inverse = np.unique(owner[at], return_inverse=True)
-                for name, value in enumerate((k, [ids[d] for d in docs], [digests[d] for d in docs], h[at].view(np.int64), inverse.astype(np.int32), place[at].astype(np.int64), [texts[x] for x in at.tolist()])):
-                    rows[name].append(value)
-            held, ids, digests, count = [], [], [], 0
-            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names)
-
-        for part in slices(batches, limit=SEGMENT):
-            for i, t, blobs in zip(part.column("id").to_pylist(), filled(part).to_pylist(), part.column("anchors").to_pylist()):
-                data = t.encode()
-                if len(data) < length:
+                data = b"".join([packed(h[at]), ids[at].astype("<i8").tobytes(), nth[at].astype("<i4").tobytes(), place[at].astype("<i4").tobytes(), sizes[at].astype("<i4").tobytes(), *[texts[x] for x in at.tolist()]])
+                for row, value in zip(rows, (k, len(at), len(data), pa.compress(data, "zstd", asbytes=True))):
+                    row.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "size", "block"])
+
+        for part in slices(batches, "_text", limit=SEGMENT):
+            columns = [part.column(c).to_pylist() for c in ("_id", "_text", "_nth", "_copy", "anchors")]
+            for i, t, nth, copy, blobs in zip(*columns):
+                data = (t or "").encode()
+                if i is None or copy or len(data) < length:
                     continue
                 h, a, b = anchors(np.frombuffer(data, np.uint8), length)
-                h = h & MASK
-                own = np.isin(h, unsix(b"".join(blobs)))
+                own = np.isin(h & MASK, unpacked(b"".join(blobs)))
                 if not own.any():
                     continue
                 h, a, b = h[own], a[own], b[own]
-                held.append((h, np.full(len(h), len(ids)), a, [data[x : y + length] for x, y in zip(a.tolist(), b.tolist())]))
-                ids.append(i)
-                digests.append(hashlib.md5(data).digest())
+                held.append((h & MASK, np.full(len(h), i), np.full(len(h), nth), a, b - a + length, [data[x : y + length] for x, y in zip(a.tolist(), b.tolist())]))
                 count += len(h)
-                if count >= FLUSH // 4:
+                if count >= FLUSH // 2:
                     yield flush()
         if held:
             yield flush()
@@ -361,78 +361,94 @@ def context_blocks(length: int, buckets: int):
     return run
 
 
-def marked(length: int):
-    """Marked runs of each document, from the contexts of a bucket."""
-
-    def mark(h, doc, place, code, texts, ids_of, out) -> None:
-        """Of the contexts of some anchors."""
-        distinct, code = np.unique(code, return_inverse=True)
-        own = [texts[c] for c in distinct.tolist()]
-        ids = ids_of[doc]
-        least = np.full(len(own), np.iinfo(np.int64).max)
-        np.minimum.at(least, code, ids)
-        none = np.iinfo(np.int64).max
-        by_window = RunIndex.build(own, least, length).least_ids(own, length, none)
-        sizes = np.array([len(x) for x in by_window], np.int64)
-        starts = np.cumsum(sizes) - sizes
+def read_blocks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Anchor, id, row of the id, place and distinct context of each context of a bucket, and the distinct ones."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    texts = []
+    for n, size, block in rows:
+        data = pa.decompress(block, size, "zstd", asbytes=True)
+        at = HASH_BYTES * n
+        columns[0].append(unpacked(data[:at]))
+        for k, kind in enumerate(("<i8", "<i4", "<i4", "<i4"), 1):
+            width = n * int(kind[2])
+            columns[k].append(np.frombuffer(data[at : at + width], kind).astype(np.int64))
+            at += width
+        off = np.concatenate([[0], np.cumsum(columns[4][-1])]).astype("<i4")
+        texts.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(data[at:])]))
+    coded = pa.chunked_array(texts).combine_chunks().dictionary_encode()
+    h, ids, nth, place, _ = (np.concatenate(c) for c in columns)
+    return h, ids, nth, place, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def partial_marks(h, ids, place, code, distinct: pa.Array, sizes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and window starts that a smaller id has too, for one context of each sort at each anchor.
+
+    Contexts are given in order of their anchors, those of an anchor together; they are indexed in parts.
+    """
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    part = (np.cumsum(sizes[code]) // INDEX_BYTES)[np.flatnonzero(new)][np.cumsum(new) - 1]
+    none = np.iinfo(np.int64).max
+    for _, at in parts(part, int(part[-1]) + 1):
+        own, local = np.unique(code[at], return_inverse=True)
+        texts = distinct.take(pa.array(own)).to_pylist()
+        least = np.full(len(own), none)
+        np.minimum.at(least, local, ids[at])
+        by_window = RunIndex.build(texts, least, length).least_ids(texts, length, none)
+        counts = np.array([len(x) for x in by_window], np.int64)
+        first = np.cumsum(counts) - counts
         flat = np.concatenate(by_window)
-        n = sizes[code]
-        row = np.repeat(np.arange(len(code)), n)
+        n = counts[local]
+        row = np.repeat(np.arange(len(at)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hit = flat[starts[code][row] + step] < ids[row]
-        row, at = row[hit], (place[row] + step)[hit]
-        out.append(np.stack([doc[row], at], 1))
+        hit = flat[first[local][row] + step] < ids[at][row]
+        yield at[row[hit]], (place[at][row] + step)[hit]
+
+
+def marked(length: int):
+    """Marked runs of each document, from the contexts of a bucket."""
 
     def run(batches):
         for _, rows in _by_bucket(batches):
-            keys: dict[tuple[int, bytes], int] = {}
-            h, doc, place, texts = [], [], [], []
-            for docs, digests, anchor, owner, where, contexts in rows:
-                local = np.array([keys.setdefault(k, len(keys)) for k in zip(docs, digests)], np.int64)
-                h.append(np.array(anchor, np.int64))
-                doc.append(local[np.array(owner, np.int64)])
-                place.append(np.array(where, np.int64))
-                texts += contexts
-            h, doc, place = (np.concatenate(x) for x in (h, doc, place))
-            coded = pa.array(texts, pa.binary()).dictionary_encode()
-            code, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-            ids_of = np.array([k[0] for k in keys], np.int64)
-            order = np.argsort(h, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            ids = ids_of[doc[order]]
-            several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
-            several = np.repeat(several, np.diff(np.concatenate([starts, [len(h)]])))
-            order = order[several]  # an anchor of one document marks nothing
-            found: list[np.ndarray] = []
-            if len(order):
-                new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-                # the first of each context counts towards an index's size, and its anchors stay together
-                _, first = np.unique(code[order], return_index=True)
-                weight = np.zeros(len(order), np.int64)
-                weight[first] = np.array([len(texts[c]) for c in code[order][first].tolist()])
-                part = np.cumsum(weight) // INDEX_BYTES
-                group = np.cumsum(new) - 1
-                part = part[np.flatnonzero(new)][group]
-                for _, at in parts(part, int(part[-1]) + 1):
-                    x = order[at]
-                    mark(h[x], doc[x], place[x], code[x], texts, ids_of, found)
-            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            owners, spans = [], []
-            names = list(keys)
-            for d, at in parts(both[:, 0], len(names)):
-                starts = both[at, 1]
-                cut = np.flatnonzero(np.diff(starts) > length)
-                a, b = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length
-                owners.append(names[d])
-                spans.append(np.stack([a, b], 1).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.binary()), pa.array(spans, pa.binary())], ["id", "digest", "spans"])
+            h, ids, nth, place, code, distinct = read_blocks(rows)
+            sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+            # sorts of context at each anchor, with their least id
+            order = np.lexsort((ids, code, h))
+            h, ids, nth, place, code = (x[order] for x in (h, ids, nth, place, code))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
+            sort = np.cumsum(new) - 1
+            least = ids[new][sort]
+            whole = ids > least
+            spans = [np.stack([ids[whole], nth[whole], place[whole], place[whole] + sizes[code[whole]]], 1)]
+            # an anchor's sorts are compared only where there are several
+            heads = np.flatnonzero(new)
+            _, many = np.unique(h[heads], return_counts=True)
+            several = np.repeat(many, many) > 1
+            rest = np.flatnonzero(~whole & several[sort])
+            if len(rest):
+                for x, start in partial_marks(h[rest], ids[rest], place[rest], code[rest], distinct, sizes, length):
+                    x = rest[x]
+                    spans.append(np.stack([ids[x], nth[x], start, start + length], 1))
+            found = np.concatenate(spans)
+            found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+            # runs of spans that touch are joined
+            if len(found):
+                doc = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])
+                number = np.cumsum(doc) - 1
+                reach = np.maximum.accumulate(found[:, 3] + number * (1 << 40)) - number * (1 << 40)
+                fresh = np.concatenate([[True], doc[1:] | (found[1:, 2] > reach[:-1])])
+                ends = np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(found) - 1]])
+                found = np.concatenate([found[fresh][:, :3], reach[ends][:, None]], 1)
+            doc = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])) if len(found) else np.zeros(0, np.int64)
+            data = np.ascontiguousarray(found[:, 2:].astype("<i4")).tobytes()
+            edges = [*(doc * 8).tolist(), len(data)]
+            yield pa.RecordBatch.from_arrays([pa.array(found[doc, 0], pa.int64()), pa.array(found[doc, 1], pa.int32()), pa.array([data[a:b] for a, b in zip(edges, edges[1:])], pa.binary())], ["_id", "nth", "spans"])
 
     return run
 
 
 def union(blobs: list[bytes]) -> np.ndarray:
     """Disjoint ascending spans that cover what the given ones cover; touching ones are joined."""
-    spans = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
+    spans = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
@@ -444,32 +460,54 @@ def without(data: bytes, spans: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What is removed from documents.
+def with_spans(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
+    """A row per row of ``docs``: ``_row`` (its other columns), ``_id``, ``_text``, ``_nth``, ``_copy`` (a smaller id has the same text) and ``spans``.
 
-    Returns two tables.  The first has a row per document: ``id``, ``digest`` (MD5 of its bytes),
-    ``n_bytes``, ``sha`` and ``copy``, whether a document of smaller id has the same content.  The second
-    has those with marked bytes that aren't copies: ``id``, ``digest``, ``text``, ``blobs`` of spans.
+    ``spans`` is a list of the row number ``nth`` among the different texts of one id, and packed spans.
     """
     if length < 8:
         raise ValueError("length must be 8 at least")
     source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = materialise(source.select("id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "contents")
-    least = base.where("id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = materialise(base.join(least, "digest").where(F.col("id") > F.col("least")).select("id", "digest").distinct(), "copies")
-    buckets = source.rdd.getNumPartitions() + 64
+    base = materialise(source.select("id", F.md5("text").alias("digest")).where("id is not null").distinct(), "contents")
+    least = base.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = base.join(least, "digest").where(F.col("id") > F.col("least")).select("id", "digest", F.lit(True).alias("copy"))
+    several = base.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    odd = base.join(several, "id").select("id", "digest", F.lit(False).alias("copy"))
+    odd = odd.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest"))).unionByName(copies.withColumn("nth", F.lit(0)))
+    odd = odd.groupBy("id", "digest").agg(F.max("copy").alias("copy"), F.max("nth").alias("nth"))
+    # by id alone, so that the texts stay dealt out as they are
+    odd = odd.groupBy(F.col("id").alias("_odd")).agg(F.map_from_entries(F.collect_list(F.struct("digest", F.struct("copy", "nth")))).alias("odd"))
+    odd = materialise(odd, "copies")
+
+    buckets = source.rdd.getNumPartitions() + 16
     sent = source.mapInArrow(anchor_blocks(length, buckets), "bucket int, least bigint, block binary")
     shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, "id bigint, anchors binary")
-    shared = shared.groupBy("id").agg(F.collect_list("anchors").alias("anchors"))
-    some = source.join(shared.hint("shuffle_hash"), "id").withColumn("digest", F.unhex(F.md5("text"))).join(copies, ["id", "digest"], "left_anti")
-    some = materialise(some.select("id", "digest", "text", "anchors"), "affected")
-    contexts = some.select("id", "text", "anchors").mapInArrow(context_blocks(length, buckets), "bucket int, docs array<bigint>, digests array<binary>, anchor array<bigint>, owner array<int>, place array<bigint>, contexts array<binary>")
-    spans = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(marked(length), "id bigint, digest binary, spans binary")
-    spans = spans.groupBy("id", "digest").agg(F.collect_list("spans").alias("blobs"))
-    hit = some.select("id", "digest", "text").dropDuplicates(["id", "digest"]).join(spans, ["id", "digest"])
-    marked_copies = copies.withColumn("copy", F.lit(True))
-    base = base.join(marked_copies, ["id", "digest"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    return base, hit
+    shared = shared.groupBy(F.col("id").alias("_shared")).agg(F.collect_list("anchors").alias("anchors"))
+
+    # the texts are dealt out by id once, and read from there both for their contexts and for the outcome
+    texts = docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    plain = F.coalesce("_text", F.lit(""))
+    texts = texts.withColumn("_salt", F.coalesce("_id", F.xxhash64("_text"))).repartition(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_salt")
+    own = F.get(F.array(F.col("odd")[F.md5(plain)]), F.lit(0))
+    noted = texts.join(odd, F.col("_salt") == F.col("_odd"), "left").withColumns({"_copy": F.coalesce(own["copy"], F.lit(False)), "_nth": F.coalesce(own["nth"], F.lit(0))}).drop("odd", "_odd")
+    some = noted.join(shared, F.col("_salt") == F.col("_shared"))
+    contexts = some.mapInArrow(context_blocks(length, buckets), "bucket int, n int, size int, block binary")
+    spans = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(marked(length), "_id bigint, nth int, spans binary")
+    spans = spans.groupBy(F.col("_id").alias("_spanned")).agg(F.collect_list(F.struct("nth", "spans")).alias("spans"))
+    return noted.join(spans, F.col("_salt") == F.col("_spanned"), "left").drop("_salt", "_spanned")
+
+
+def kept_bytes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, bytes, np.ndarray]]:
+    """For each row its bytes, what is left of them, and the removed spans."""
+    none = np.zeros((0, 2), np.int64)
+    for t, copy, nth, i, blobs in zip(*(batch.column(c).to_pylist() for c in ("_text", "_copy", "_nth", "_id", "spans"))):
+        data = (t or "").encode()
+        if copy and len(data) >= length:
+            yield data, b"", np.array([[0, len(data)]])
+            continue
+        own = [b["spans"] for b in blobs or () if b["nth"] == nth] if i is not None else []
+        spans = union(own) if own else none
+        yield data, without(data, spans), spans
 
 
 def removal_digest(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -480,44 +518,31 @@ def removal_digest(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     smaller than any, nor has any smaller: it loses and marks nothing.  Very long texts are taken whole.
     Columns beside the two named aren't read.  Empty table: empty result.
     """
-    base, hit = repeated_spans(docs, length, key, text)
 
     def run(batches):
-        for batch in batches:
-            removed, n, sha = [], [], []
-            for t, blobs in zip(batch.column("text").to_pylist(), batch.column("blobs").to_pylist()):
-                data, spans = t.encode(), union(blobs)
-                removed.append(int((spans[:, 1] - spans[:, 0]).sum()))
-                n.append(len(spans))
-                sha.append(hashlib.sha256(without(data, spans)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)], ["id", "digest", "n_removed", "n_spans", "cut_sha"])
-
-    cut = hit.mapInArrow(run, "id bigint, digest binary, n_removed bigint, n_spans bigint, cut_sha string")
-    whole = F.col("copy") & (F.col("n_bytes") >= length)
-    return base.join(cut, ["id", "digest"], "left").select(
-        F.col("id").alias(key),
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-    )
+        for batch in slices(batches, "_text"):
+            rows = [(len(d), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(k).hexdigest()) for d, k, s in kept_bytes(batch, length)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    found = with_spans(docs.select(key, text), length, key, text)
+    return found.mapInArrow(run, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without repeated bytes; characters that lose a byte go, and documents that lose all.
 
-    Other columns stay as they are.  Nulls, repeats and short texts as in ``removal_digest``.
+    Other columns stay as they are.  Nulls, repeats and short texts as in ``removal_digest``; an empty or null
+    text stays.
     """
-    base, hit = repeated_spans(docs, length, key, text)
+    names, others = docs.columns, [c for c in docs.columns if c != text]
 
     def run(batches):
-        for batch in batches:
-            left = [without(t.encode(), union(b)).decode("utf-8", "ignore") for t, b in zip(batch.column("text").to_pylist(), batch.column("blobs").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(left, pa.string())], ["_id", "_digest", "_left"])
-
-    cut = hit.mapInArrow(run, "_id bigint, _digest binary, _left string")
-    gone = base.where(F.col("copy") & (F.col("n_bytes") >= length)).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.lit("").alias("_left")).distinct()
-    changed = cut.unionByName(gone)
-    on = (F.col(key).cast("long") == F.col("_id")) & (F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))) == F.col("_digest"))
-    joined = docs.join(changed, on, "left").where(F.col("_left").isNull() | (F.col("_left") != ""))
-    return joined.select(*(F.coalesce("_left", F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns))
+        for batch in slices(batches, "_text"):
+            left = [None if not len(s) else k.decode("utf-8", "ignore") for _, k, s in kept_bytes(batch, length)]
+            old = batch.column("_text")
+            new = pa.compute.coalesce(pa.array(left, old.type), old)
+            keep = pa.array([x is None or bool(x) for x in left], pa.bool_())
+            columns = dict(zip(others, batch.column("_row").flatten())) | {text: new}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(keep)
+
+    return with_spans(docs, length, key, text).mapInArrow(run, docs.schema)
