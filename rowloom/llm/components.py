@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,16 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, write: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """Columns ``node`` and ``root`` (the least node reachable) for every node of ``links`` but roots.
 
     Alternating large-star and small-star steps; each links every node to the least of its
     neighbourhood.  Minima are pre-aggregated, and the only join is on a node with one row on its
     other side, so a node of very many links isn't gathered in one place.  The number of rounds is
-    logarithmic in the longest path.  A null id takes no part.
+    logarithmic in the longest path; ``write`` cuts the lineage after each.  A null id takes no part.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    edges = materialise(edges, "links")
+    edges = write(edges, "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +33,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "links")
+        edges = write(small, "links")
         new = _state(edges)
         if new == state:
             break

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import filled, materialise, pieces, slices
+from rowloom.llm.common import Scratch, filled, materialise, pieces, slices
 from rowloom.llm.components import components
 
 SKETCH_BITS = 512
@@ -287,9 +287,9 @@ def searched_groups(dealt: DataFrame, search: Callable) -> DataFrame:
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(search, "a bigint, b bigint")
 
 
-def clustered(links: DataFrame) -> DataFrame:
+def clustered(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``id`` and ``root`` of every id of a link, roots too."""
-    found = components(links, "a", "b")
+    found = components(links, "a", "b", scratch.write)
     return found.select(F.col("node").alias("id"), "root").unionByName(found.select(F.col("root").alias("id"), "root").distinct())
 
 
@@ -304,7 +304,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     a row each, all of the component of their key.  Very long texts are taken whole.  Columns beside the
     two named aren't read.  Empty table: empty result.
     """
-    base = materialise(shingled(docs, key, text, width, percent), "shingles")
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        return _jaccard_components(docs, width, percent, key, text, key_block, cluster_block, scratch)
+
+
+def _jaccard_components(docs: DataFrame, width: int, percent: int, key: str, text: str, key_block: int, cluster_block: int, scratch: Scratch) -> DataFrame:
+    base = scratch.write(shingled(docs, key, text, width, percent), "shingles")
     usable = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("sig").agg(F.min("id").alias("rep"))
     member = usable.select("id", "sig").join(classes, "sig").where("id <> rep").select("id", "rep")
@@ -315,10 +320,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     held = keys.join(shared.hint("shuffle_hash"), "key")
     described = held.join(reps.select("id", "n", "sketch"), "id")
     dealt = in_blocks(described, "key", F.col("held") / key_block, "id").select("task", "id", "n", "sketch")
-    coarse = clustered(searched_groups(dealt, candidates(percent)))
+    coarse = clustered(searched_groups(dealt, candidates(percent)), scratch)
     wide = coarse.join(reps.select("id", "n", "wide"), "id").join(coarse.groupBy("root").agg(F.count("*").alias("held")), "root")
     dealt = in_blocks(wide, "root", F.col("held") / key_block, "id").select("task", "id", "n", F.col("wide").alias("sketch"))
-    fine = materialise(clustered(searched_groups(dealt, candidates(percent))).join(reps.select("id", "n"), "id"), "clusters")
+    fine = scratch.write(clustered(searched_groups(dealt, candidates(percent)), scratch).join(reps.select("id", "n"), "id"), "clusters")
     sizes = fine.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
     clusters = fine.join(sizes, "root").select(F.col("id").alias("node"), "root", F.greatest(F.col("held") / cluster_block, F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
 
@@ -332,5 +337,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     dealt = in_blocks(sets, "root", F.col("blocks"), "id").select("task", "id", "side", "paired", "hashes")
     links = searched_groups(dealt, searched(percent))
     links = links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    final = components(links, "a", "b").select(F.col("node").alias("id"), "root")
-    return base.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    final = components(links, "a", "b", scratch.write).select(F.col("node").alias("id"), "root")
+    found = base.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
+    return materialise(found.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id")), "components")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose key is the least of their component, with all their columns.
+
+    Of repeated rows of a key one stays, the first by text.  Rows of null key stay all.  Texts without words are no
+    group, so they stay.
+    """
+    found = jaccard_components(docs, width, percent, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept")).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col("_kept"), "left_semi")
+    first = named.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("_nth = 1").drop("_nth")
+    return first.unionByName(docs.where(F.col(key).isNull()))

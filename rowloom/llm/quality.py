@@ -94,16 +94,16 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Key, groups and COUNTS of every text; a null text has no words."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *groups)) + "".join(f", {c} bigint" for c in COUNTS)
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", others: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """Key, other columns and COUNTS of every text; a null text has no words."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *others)) + "".join(f", {c} bigint" for c in COUNTS)
 
     def run(batches):
         for part in slices(batches):
             found = text_counts(filled(part))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, *groups)), *(pa.array(x, pa.int64()) for x in found)], [key, *groups, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, *others)), *(pa.array(x, pa.int64()) for x in found)], [key, *others, *COUNTS])
 
-    return docs.select(key, *groups, docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(key, *others, docs[text].alias("text")).mapInArrow(run, schema)
 
 
 def to_bin(v: Column) -> Column:
@@ -156,8 +156,8 @@ def thresholds(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")
     return fences.groupBy(*groups).agg(*cells)
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
-    """Counts and verdict of every document: key, groups, COUNTS, ``base_failed`` and ``kept``.
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), min_docs: int = MIN_DOCS, reach: int = REACH, also: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and verdict of every document: key, groups, columns ``also``, COUNTS, ``base_failed`` and ``kept``.
 
     A document fails the fixed rules with under 20 words, or with over 30 % of its words in windows
     of 8 words that it repeats.  Of the others, those are kept whose ratios lie within the fences of
@@ -168,7 +168,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     beside those named aren't read.  Empty table: empty result.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = materialise(measure(docs, key, text, groups).withColumn("base_failed", failed), "quality")
+    measured = materialise(measure(docs, key, text, (*groups, *also)).withColumn("base_failed", failed), "quality")
     limits = thresholds(measured, groups, min_docs, reach).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     limits = limits.select(*(F.col(c).alias(f"t_{c}") for c in limits.columns))
     on = F.col("salt") == F.col("t_salt")
@@ -179,4 +179,11 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     for name, a, b, scale, _, _ in RATIOS:
         ratio = F.floor(F.col(a) * scale / F.col(b))
         within = within & ratio.between(F.col(f"t_{name}_low"), F.col(f"t_{name}_high"))
-    return salted.join(limits, on, "left").select(key, *groups, *COUNTS, "base_failed", F.coalesce(within, F.lit(False)).alias("kept"))
+    return salted.join(limits, on, "left").select(key, *groups, *also, *COUNTS, "base_failed", F.coalesce(within, F.lit(False)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """The documents that are kept, with all their columns.  Nulls and repeats as in ``quality_rules``."""
+    marked = docs.select(key, *groups, text, F.xxhash64(text).alias("_digest"))
+    good = quality_rules(marked, key, text, groups, also=("_digest",)).where("kept").select(F.col(key).alias("_key"), "_digest").distinct()
+    return docs.join(good, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_digest")), "left_semi")
