@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import filled, materialise, slices
 
+GRAM = 20  # bytes of an anchor
 SEGMENT = 2 << 20  # windows whose anchors are found at a time
 FLUSH = 1 << 20  # anchors, or half the contexts, held before they are sent
+FIRST = 7  # characters that are sorted at once
 INDEX_BYTES = 1 << 20  # of contexts under one index
 HASH_BYTES = 5  # of an anchor beside its bucket; a false match costs time only
 MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
@@ -60,9 +62,9 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, and first and last window start, of each run of windows that share an anchor."""
-    k = min(20, length)
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last window start, and the anchor's place, of each run of windows that share an anchor."""
+    k = min(GRAM, length)
     reach = length - k + 1  # k-grams of a window
     found = []
     for at in range(0, len(data) - length + 1, SEGMENT):
@@ -79,9 +81,9 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         where = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(where) - 1]])
-        found.append((h[where[first]], first + at, last + at))
+        found.append((h[where[first]], first + at, last + at, where[first] + at))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -89,7 +91,7 @@ def joined_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     """Of several texts at once: owner, anchor hash, first and last window start in the joined bytes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    h, a, b = anchors(np.frombuffer(b"".join(texts), np.uint8), length)
+    h, a, b, _ = anchors(np.frombuffer(b"".join(texts), np.uint8), length)
     owner = np.searchsorted(ends, a, "right")
     # windows that reach into the next text belong to none: runs are cut at each text's last window
     pieces = [(owner, h, a, np.minimum(b, ends[owner] - length))]
@@ -152,23 +154,35 @@ class RunIndex:
         n = len(data)
         symbol = data.astype(np.int64) + 1
         symbol[ends] = 0
-        # ranks by the first character, separators distinct, then by prefix doubling
-        rank = symbol + len(texts)
-        rank[ends] = np.arange(len(texts))
-        depth, held = 1, None
+        # order by the first characters, then by prefix doubling of those still tied; as no pattern is longer than
+        # the longest text, suffixes that agree beyond it may stand in any order
+        key = np.zeros(n, np.int64)
+        for k in range(FIRST):
+            key[: n - k] = (key[: n - k] << 9) | symbol[k:]
+            key[n - k :] <<= 9
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        depth, held, longest = FIRST, None, int(sizes.max())
         while True:
+            start = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group's rank is its first place
+            rank = np.empty(n, np.int64)
+            rank[order] = start
             if depth <= length <= 2 * depth:
                 held = (depth, rank)
-            after = np.zeros(n, np.int64)
-            after[:-depth] = rank[depth:]
-            key = (rank << 32) | after
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            depth *= 2
-            if fresh[-1] == n - 1:
+            tied = ~head
+            tied[:-1] |= ~head[1:]
+            at = np.flatnonzero(tied)
+            if depth >= max(longest, length) or not len(at):
                 break
+            suffix = order[at]
+            after = np.where(suffix + depth < n, rank[np.minimum(suffix + depth, n - 1)] + 1, 0)
+            key = (start[at] << 32) | after
+            by = np.argsort(key, kind="stable")
+            order[at] = suffix[by]
+            key = key[by]
+            head[at] = np.concatenate([[True], key[1:] != key[:-1]])
+            depth *= 2
         if held is None:
             held = (depth, rank)
         depth, early = held
@@ -322,7 +336,7 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def context_blocks(length: int, buckets: int):
-    """Contexts of shared anchors by bucket: compressed columns of anchor, id, row of the id, place, size and bytes."""
+    """Contexts of shared anchors by bucket: compressed columns of anchor, id, row of the id, place, size, bytes before the anchor, and bytes."""
 
     def run(batches):
         held: list[tuple] = []
@@ -330,12 +344,12 @@ def context_blocks(length: int, buckets: int):
 
         def flush():
             nonlocal held, count
-            h, ids, nth, place, sizes = (np.concatenate([x[k] for x in held]) for k in range(5))
-            texts = [c for x in held for c in x[5]]
+            h, ids, nth, place, sizes, ahead = (np.concatenate([x[k] for x in held]) for k in range(6))
+            texts = [c for x in held for c in x[6]]
             held, count = [], 0
             rows: tuple[list, ...] = ([], [], [], [])
             for k, at in parts((h % np.uint64(buckets)).astype(np.int64), buckets):
-                data = b"".join([packed(h[at]), ids[at].astype("<i8").tobytes(), nth[at].astype("<i4").tobytes(), place[at].astype("<i4").tobytes(), sizes[at].astype("<i4").tobytes(), *[texts[x] for x in at.tolist()]])
+                data = b"".join([packed(h[at]), ids[at].astype("<i8").tobytes(), nth[at].astype("<i4").tobytes(), place[at].astype("<i4").tobytes(), sizes[at].astype("<i4").tobytes(), ahead[at].astype("<i4").tobytes(), *[texts[x] for x in at.tolist()]])
                 for row, value in zip(rows, (k, len(at), len(data), pa.compress(data, "zstd", asbytes=True))):
                     row.append(value)
             return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "size", "block"])
@@ -346,12 +360,12 @@ def context_blocks(length: int, buckets: int):
                 data = (t or "").encode()
                 if i is None or copy or len(data) < length:
                     continue
-                h, a, b = anchors(np.frombuffer(data, np.uint8), length)
+                h, a, b, p = anchors(np.frombuffer(data, np.uint8), length)
                 own = np.isin(h & MASK, unpacked(b"".join(blobs)))
                 if not own.any():
                     continue
-                h, a, b = h[own], a[own], b[own]
-                held.append((h & MASK, np.full(len(h), i), np.full(len(h), nth), a, b - a + length, [data[x : y + length] for x, y in zip(a.tolist(), b.tolist())]))
+                h, a, b, p = h[own], a[own], b[own], p[own]
+                held.append((h & MASK, np.full(len(h), i), np.full(len(h), nth), a, b - a + length, p - a, [data[x : y + length] for x, y in zip(a.tolist(), b.tolist())]))
                 count += len(h)
                 if count >= FLUSH // 2:
                     yield flush()
@@ -362,22 +376,48 @@ def context_blocks(length: int, buckets: int):
 
 
 def read_blocks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Anchor, id, row of the id, place and distinct context of each context of a bucket, and the distinct ones."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """Anchor, id, row of the id, place, bytes before the anchor and distinct context of each context of a bucket, and the distinct ones."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     texts = []
     for n, size, block in rows:
         data = pa.decompress(block, size, "zstd", asbytes=True)
         at = HASH_BYTES * n
         columns[0].append(unpacked(data[:at]))
-        for k, kind in enumerate(("<i8", "<i4", "<i4", "<i4"), 1):
+        for k, kind in enumerate(("<i8", "<i4", "<i4", "<i4", "<i4"), 1):
             width = n * int(kind[2])
             columns[k].append(np.frombuffer(data[at : at + width], kind).astype(np.int64))
             at += width
         off = np.concatenate([[0], np.cumsum(columns[4][-1])]).astype("<i4")
         texts.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(data[at:])]))
     coded = pa.chunked_array(texts).combine_chunks().dictionary_encode()
-    h, ids, nth, place, _ = (np.concatenate(c) for c in columns)
-    return h, ids, nth, place, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    h, ids, nth, place, _, ahead = (np.concatenate(c) for c in columns)
+    return h, ids, nth, place, ahead, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def may_share(h: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which of the contexts may have a window in common with another sort at the same anchor.
+
+    A window that starts ``half`` or more before the anchor holds the bytes from there to the anchor's end;
+    any other one holds those from the anchor on, but for ``half`` of a window.  So sorts that share a window share one of the two.
+    """
+    k = min(GRAM, length)
+    half = (length - k) // 2
+    data = np.frombuffer(distinct.buffers()[2], np.uint8)
+    off = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct)].astype(np.int64)
+    at, last = off[code] + ahead, sizes[code] - length  # the anchor, and the last window's start
+    out = np.zeros(len(h), bool)
+    for some, start, width in ((ahead >= half, at - half, half + k), (last > ahead - half, at, length - half)):
+        x = np.flatnonzero(some)
+        digest = np.zeros(len(x), np.uint64)
+        for i in range(width):
+            digest = (digest ^ _BYTE[data[start[x] + i]]) * np.uint64(_BASE)
+            digest ^= digest >> np.uint64(29)
+        order = np.lexsort((digest, h[x]))
+        hs, ds = h[x][order], digest[order]
+        same = (hs[1:] == hs[:-1]) & (ds[1:] == ds[:-1])
+        out[x[order[1:][same]]] = True
+        out[x[order[:-1][same]]] = True
+    return out
 
 
 def partial_marks(h, ids, place, code, distinct: pa.Array, sizes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -409,21 +449,19 @@ def marked(length: int):
 
     def run(batches):
         for _, rows in _by_bucket(batches):
-            h, ids, nth, place, code, distinct = read_blocks(rows)
+            h, ids, nth, place, ahead, code, distinct = read_blocks(rows)
             sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
             # sorts of context at each anchor, with their least id
             order = np.lexsort((ids, code, h))
-            h, ids, nth, place, code = (x[order] for x in (h, ids, nth, place, code))
+            h, ids, nth, place, ahead, code = (x[order] for x in (h, ids, nth, place, ahead, code))
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
             sort = np.cumsum(new) - 1
             least = ids[new][sort]
             whole = ids > least
             spans = [np.stack([ids[whole], nth[whole], place[whole], place[whole] + sizes[code[whole]]], 1)]
-            # an anchor's sorts are compared only where there are several
-            heads = np.flatnonzero(new)
-            _, many = np.unique(h[heads], return_counts=True)
-            several = np.repeat(many, many) > 1
-            rest = np.flatnonzero(~whole & several[sort])
+            # an anchor's sorts are compared only where several may share a window
+            rest = np.flatnonzero(~whole)
+            rest = rest[may_share(h[rest], code[rest], ahead[rest], distinct, sizes, length)]
             if len(rest):
                 for x, start in partial_marks(h[rest], ids[rest], place[rest], code[rest], distinct, sizes, length):
                     x = rest[x]
