@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm import html, jaccard, licenses, packing, pii, quality, repeats, sentencepieces, topk, urls
 from rowloom.llm.common import table
+from rowloom.llm.oracles import ORACLE_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -58,5 +59,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_packing, op4_pii, op5_main_text, op6_top_k, op7_repeats, op8_sentencepieces, op9_jaccard_join, op10_url_filter)}
-
-ORACLE_SQL: dict[str, str] = {}
