@@ -1,8 +1,8 @@
 """Order-preserving packing of tokenised documents by dynamic programming.
 
 The documents of an input partition form one stream of ids in their order.  Windows are cut from it
-at document ends and sentence ends (and, inside a stretch of more than ``HARD_STEP`` ids without
-either, at every such step).  The cuts minimise padding plus a penalty for each cut inside a
+at document ends and sentence ends and, at a higher penalty, at every quarter of a window and at every
+``HARD_STEP`` ids of a stretch without natural ends.  The cuts minimise padding plus a penalty for each cut inside a
 document.  With f(j) the least cost of a stream cut at boundary j at position p(j),
 
     f(j) = penalty(j) + min(  min over p(j)-p(i) <= size of  f(i) + size - (p(j) - p(i)),
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 
 from rowloom.llm.common import filled, slices
 
-HARD_STEP = 128  # ids without a natural boundary after which a cut is allowed
+HARD_STEP = 128  # ids without a natural boundary after which a cut is allowed, or a sequence's size if that is less
 BLOCK = 1 << 18  # ids
-CUT_SENTENCE, CUT_HARD = 0.125, 1.0  # penalties in ids of padding, for a cut inside a document
+CUT_SENTENCE, CUT_HARD = 0.125, 4.0  # penalties in ids of padding, for a cut inside a document
 SPECIAL = "<|endoftext|>"
 
 
@@ -69,7 +69,7 @@ def sentence_ends(ranks: str) -> np.ndarray:
     return flags
 
 
-def boundaries(lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(lengths: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a stream of documents may be cut, ascending from 0 to its end, and each one's penalty."""
     total = int(lengths.sum())
     kind = np.zeros(total + 1, np.int8)
@@ -77,10 +77,9 @@ def boundaries(lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     kind[np.cumsum(lengths)] = 2
     kind[0] = kind[total] = 2
     at = np.flatnonzero(kind)
-    gaps = np.diff(at)
-    more = [np.arange(at[g] + HARD_STEP, at[g + 1], HARD_STEP) for g in np.flatnonzero(gaps > HARD_STEP)]
-    if more:
-        at = np.union1d(at, np.concatenate(more))
+    step = min(HARD_STEP, size)
+    more = [np.arange(at[g] + step, at[g + 1], step) for g in np.flatnonzero(np.diff(at) > step)]
+    at = np.union1d(at, np.concatenate([np.arange(0, total, max(size // 4, 1)), *more]))
     return at, np.array([CUT_HARD, CUT_SENTENCE, 0.0])[kind[at]]
 
 
@@ -116,7 +115,7 @@ def pack_block(ids: list[np.ndarray], enders: np.ndarray, size: int) -> Iterator
     """Pieces of a block's documents: (document, start, length, sequence, offset)."""
     lengths = np.array([len(x) for x in ids], np.int64)
     stream = np.concatenate(ids)
-    cuts = best_cuts(*boundaries(lengths, enders[stream]), size)
+    cuts = best_cuts(*boundaries(lengths, enders[stream], size), size)
     starts = np.concatenate([[0], np.cumsum(lengths)])
     edges = np.union1d(starts, cuts)
     docs = np.searchsorted(starts, edges[:-1], "right") - 1
