@@ -276,8 +276,8 @@ class Frozen:
 
 def main_text(source: str, model: Frozen) -> str:
     page = parse(source)
-    if not page.blocks:
-        return ""
+    if len(page.nodes) == 1:  # no markup, all text
+        return "\n\n".join(text for _, text in page.blocks)
     p = model.marginals(page)
     return "\n\n".join(text for node, text in page.blocks if p[node] > 0.5)
 

@@ -1,8 +1,9 @@
 """Jaccard self-join of documents on word n-grams, and its connected components.
 
 1.  Each text becomes a set of 64-bit shingle hashes.  Texts of equal sets are one class from here on.
-2.  Prefix filter: of a set of n in hash order, the first n - ceil(t n) + 1 hashes are its keys; sets
-    that link share a key.  Keys that one class alone has are dropped.
+2.  Prefix filter: of a set of n in an order common to all, the first n - ceil(t n) + 1 hashes are its keys; sets
+    that link share a key.  The order is that of the hashes, but for frequent keys, which go last.  Keys that one class
+    alone has are dropped.
 3.  Within a key, classes may link if their sizes fit and if their parity sketches (512 bits, each
     the parity of the hashes that fall on it) differ in no more bits than linked sets can differ
     in.  A spanning forest of these candidates is kept, never all pairs; its components over
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import Scratch, filled, materialise, pieces, slices
+from rowloom.llm.common import Scratch, filled, fresh, materialise, pieces, slices
 from rowloom.llm.components import components
 
 SKETCH_BITS = 512
 KEY_BLOCK = 8192  # classes of a key handled together
 CLUSTER_BLOCK = 2048  # classes of a cluster handled together
+FREQUENT = 32  # documents of a shingle that goes last in the order of keys
+MOST_FREQUENT = 100_000  # of such shingles
 BLOCK_SHINGLES = 1 << 21  # of the classes of a cluster handled together
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -220,8 +223,35 @@ def in_blocks(rows: DataFrame, group: str, blocks: Column, item: str) -> DataFra
     return dealt.withColumn("paired", F.col("side") != F.col("_o")).withColumn("task", F.xxhash64(group, F.least("side", "_o"), F.greatest("side", "_o"))).drop("_n", "_o")
 
 
+def frequent_keys(docs: DataFrame, text: str, width: int, percent: int) -> np.ndarray:
+    """Shingles that are keys of many documents, MOST_FREQUENT at most: they go last in the order of keys.
+
+    Any order common to all documents finds all links; this one keeps the shingles of passages that many documents
+    share out of the keys of documents that aren't alike.  A task passes on what it has met twice or more.
+    """
+
+    def run(batches):
+        held = [np.zeros(0, np.uint64)]
+        for part in slices(batches):
+            held += [s[: prefix_length(len(s), percent)] for s in shingle_sets(filled(part), width)]
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        again = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], ["key", "n"])
+
+    met = docs.select(docs[text].alias("text")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = met.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
 def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``id``, ``n``, ``sig`` (digest of the set), ``sketch``, ``wide`` (sketch) and ``prefix`` of every document."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, text, width, percent))  # 800 KB at most
+
+    def keys_of(s: np.ndarray) -> np.ndarray:
+        n = prefix_length(len(s), percent)
+        known = frequent.value
+        late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+        return np.concatenate([s[~late][:n], s[late]])[:n]
 
     def run(batches):
         for part in slices(batches):
@@ -232,7 +262,7 @@ def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                 own = parity_sketch(s)
                 sketch.append(folded(own, SKETCH_BITS // 64).tobytes())
                 wide.append(own.tobytes())
-                prefix.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                prefix.append(keys_of(s).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "sig", "sketch", "wide", "prefix"])
 
     return docs.select(key, docs[text].alias("text")).mapInArrow(run, "id bigint, n bigint, sig binary, sketch binary, wide binary, prefix array<bigint>")
@@ -348,7 +378,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     Of repeated rows of a key one stays, the first by text.  Rows of null key stay all.  Texts without words are no
     group, so they stay.
     """
-    found = jaccard_components(docs, width, percent, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col("_kept"), "left_semi")
-    first = named.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("_nth = 1").drop("_nth")
+    kept, nth = fresh(docs.columns, "_kept"), fresh(docs.columns, "_nth")
+    found = jaccard_components(docs, width, percent, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias(kept)).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col(kept), "left_semi")
+    first = named.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(nth) == 1).drop(nth)
     return first.unionByName(docs.where(F.col(key).isNull()))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import filled, materialise, pieces, slices
+from rowloom.llm.common import filled, fresh, materialise, pieces, slices
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8  # words
@@ -118,9 +118,14 @@ def bin_floor(b: Column) -> Column:
     return ((b - e * 32) * F.pow(F.lit(2.0), e)).cast("long")
 
 
+def ratio(a: str, b: str, scale: int) -> Column:
+    """In whole parts of 1 / scale; the denominator is only 0 where the fixed rules fail."""
+    return F.floor(F.col(a) * scale / F.greatest(F.col(b), F.lit(1))).cast("long")
+
+
 def sketch(measured: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Bin counts per group and ratio, of the documents that pass the fixed rules."""
-    values = F.array(*(F.struct(F.lit(name).alias("ratio"), to_bin(F.floor(F.col(a) * scale / F.col(b)).cast("long")).alias("bin")) for name, a, b, scale, _, _ in RATIOS))
+    values = F.array(*(F.struct(F.lit(name).alias("ratio"), to_bin(ratio(a, b, scale)).alias("bin")) for name, a, b, scale, _, _ in RATIOS))
     return measured.where(~F.col("base_failed")).select(*groups, F.explode(values).alias("v")).groupBy(*groups, "v.ratio", "v.bin").agg(F.count("*").alias("n"))
 
 
@@ -177,13 +182,13 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     salted = measured.withColumn("salt", F.pmod(F.hash(key, *COUNTS), F.lit(SALTS)))
     within = ~F.col("base_failed")
     for name, a, b, scale, _, _ in RATIOS:
-        ratio = F.floor(F.col(a) * scale / F.col(b))
-        within = within & ratio.between(F.col(f"t_{name}_low"), F.col(f"t_{name}_high"))
+        within = within & ratio(a, b, scale).between(F.col(f"t_{name}_low"), F.col(f"t_{name}_high"))
     return salted.join(limits, on, "left").select(key, *groups, *also, *COUNTS, "base_failed", F.coalesce(within, F.lit(False)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The documents that are kept, with all their columns.  Nulls and repeats as in ``quality_rules``."""
-    marked = docs.select(key, *groups, text, F.xxhash64(text).alias("_digest"))
-    good = quality_rules(marked, key, text, groups, also=("_digest",)).where("kept").select(F.col(key).alias("_key"), "_digest").distinct()
-    return docs.join(good, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_digest")), "left_semi")
+    own, digest = fresh(docs.columns, "_key"), fresh(docs.columns, "_digest")
+    marked = docs.select(key, *groups, text, F.xxhash64(text).alias(digest))
+    good = quality_rules(marked, key, text, groups, also=(digest,)).where("kept").select(F.col(key).alias(own), digest).distinct()
+    return docs.join(good, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(digest)), "left_semi")

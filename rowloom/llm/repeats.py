@@ -156,10 +156,9 @@ class RunIndex:
         symbol[ends] = 0
         # order by the first characters, then by prefix doubling of those still tied; as no pattern is longer than
         # the longest text, suffixes that agree beyond it may stand in any order
-        key = np.zeros(n, np.int64)
+        key, padded = np.zeros(n, np.int64), np.concatenate([symbol, np.zeros(FIRST, np.int64)])
         for k in range(FIRST):
-            key[: n - k] = (key[: n - k] << 9) | symbol[k:]
-            key[n - k :] <<= 9
+            key = (key << 9) | padded[k : k + n]
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
