@@ -79,6 +79,31 @@ def with_obs(df: DataFrame, order_by: Key, seed: int | None = None, epoch: int =
     return numbered.drop("_range", "_shuffle") if seed is not None else numbered.drop("_range")
 
 
+def ranked_within(data: DataFrame, group: str, order_by: Key | None = None, seed: int | None = None, name: str = "_rank", one_task: int = ONE_TASK) -> DataFrame:
+    """``data`` with each row's 1-based rank within its group, by ``_obs`` or ``order_by``, or at random by ``seed``.
+
+    A group of very many rows isn't ranked in one task: rows are ranked by group and range of the order, and the
+    counts of the group's ranges before are added.  null is a group.
+    """
+    by = OBS if order_by is None else order_by
+    keys = [F.col(c) for c in names(by)]
+    if seed is not None:
+        data = data.withColumn("_order", seeded_key(by, seed))
+        keys = [F.col("_order"), *keys]
+    n = data.count()
+    if n <= one_task:
+        return data.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("long")).drop("_order")
+    first = "_order" if seed is not None else names(by)[0]
+    part, _ = _range_of(data, F.col(first), data.schema[first].dataType, n, seed is not None)
+    data = data.withColumn("_range", part)
+    counts = data.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_c"))  # a row per group and range
+    before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    local = data.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*keys)))
+    joined = local.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_before", "_g", "_r", "_range", "_order")
+
+
 def shuffleobs(df: DataFrame, order_by: Key, seed: int = 0, epoch: int = 0) -> DataFrame:
     """A random permutation: ``_obs`` is the place in it.  All columns of a row move together."""
     return with_obs(df, order_by, seed, epoch)
@@ -125,11 +150,12 @@ def obsview(data: DataFrame, indices: int | range | Sequence[int] | None = None)
     return gathered.drop(OBS).withColumnRenamed("_pos", OBS)
 
 
-def obsdim(data: DataFrame, column: str, level: int = 1, key: Key | None = None) -> DataFrame:
+def obsdim(data: DataFrame, column: str, level: int = 1, key: Key | None = None, rows: bool = False) -> DataFrame:
     """Observations along an inner dimension of an array column.
 
     ``level`` 1 is the outermost level of the array: observation i holds, in the rows' order, every row's
-    i-th element.  Level 2 takes the i-th element of each inner array.
+    i-th element.  Level 2 takes the i-th element of each inner array.  With ``rows`` an observation's elements stay
+    rows of their own, with the key of the row they come from: for tables whose rows don't fit in an array.
     """
     order = names(key) if key is not None else [OBS]
     if level == 1:
@@ -139,6 +165,8 @@ def obsdim(data: DataFrame, column: str, level: int = 1, key: Key | None = None)
         order = [*order, "_o"]
     else:
         raise ValueError("level must be 1 or 2")
+    if rows:
+        return pos.select((F.col("_p") + 1).cast("long").alias("_dim"), *order, F.col("_v").alias(column))
     entry = F.struct(*(F.col(c) for c in order), F.col("_v").alias("_v"))
     grouped = pos.groupBy("_p").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     return grouped.select((F.col("_p") + 1).cast("long").alias(OBS), F.transform("_e", lambda e: e["_v"]).alias(column))

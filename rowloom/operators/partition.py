@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.order import OBS
+from rowloom.operators.order import OBS, ranked_within
 
 
 def _parts(n: int, shares: list[float]) -> list[int]:
@@ -75,17 +75,19 @@ def splitobs(data: DataFrame, at: float | int | Sequence, stratified: str | None
         rest = [r if i <= k else F.when(after > 0, r * left / after).otherwise(r) for i, r in enumerate(rest)]
         left = after
     table = counts.select(F.col(stratified).alias("_label"), *(b.alias(f"_stop{k}") for k, b in enumerate(bounds)))
-    ranked = data.withColumn("_rank", F.row_number().over(Window.partitionBy(stratified).orderBy(OBS)))
+    ranked = ranked_within(data, stratified)
     joined = ranked.join(table, F.col(stratified).eqNullSafe(F.col("_label")))
     case = _split_case(F.col("_rank"), [*((0, F.col(f"_stop{k}")) for k in range(len(shares))), (0, 0)])
     return joined.withColumn(name, case).drop("_rank", "_label", *(f"_stop{k}" for k in range(len(shares))))
 
 
-def fold_column(number: Column, n: int, k: int) -> Column:
+def fold_column(number: Column, n: int | Column, k: int) -> Column:
     """The fold of an observation number: n div k each, the first n mod k one more; closed form."""
-    if not 2 <= k <= n:
-        raise ValueError(f"k must be between 2 and n={n}, not {k}")
-    q, r = divmod(n, k)
+    if isinstance(n, int):
+        if not 2 <= k <= n:
+            raise ValueError(f"k must be between 2 and n={n}, not {k}")
+        n = F.lit(n)
+    q, r = F.floor(n / k), n % k
     cut = r * (q + 1)
     return F.when(number <= cut, F.floor((number - 1) / (q + 1)) + 1).otherwise(r + F.floor((number - 1 - cut) / q) + 1).cast("int")
 
@@ -96,10 +98,12 @@ def kfolds(data: DataFrame, k: int = 5, stratified: str | None = None, name: str
         return data.withColumn(name, fold_column(F.col(OBS), data.count(), k))
     if k < 2:
         raise ValueError("k must be 2 at least")
-    least = data.groupBy(stratified).count().agg(F.min("count")).first()[0]
+    counts = data.groupBy(F.col(stratified).alias("_label")).agg(F.count("*").alias("_n"))
+    least = counts.agg(F.min("_n")).first()[0]
     if least is None or least < k:
         raise ValueError(f"a label has fewer rows than k={k}")
-    return data.withColumn(name, F.ntile(k).over(Window.partitionBy(stratified).orderBy(OBS)))
+    ranked = ranked_within(data, stratified).join(counts, F.col(stratified).eqNullSafe(F.col("_label")))
+    return ranked.withColumn(name, fold_column(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n", "_label")
 
 
 def kfolds_long(folded: DataFrame, k: int, name: str = "_fold") -> DataFrame:

@@ -1,22 +1,15 @@
 """Over- and undersampling by label.
 
 Labels are counted once; a label's count is joined to its rows, and each row decides by its rank within the label.
-Ranking is the one exchange, by label.
+Ranking is the one exchange of the rows; a label of very many rows is ranked by ranges of the order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.order import OBS, Key, seeded_key
-
-
-def _ranked(data: DataFrame, label: str, order_by: Key | None, seed: int | None) -> DataFrame:
-    order: list[Column] = [F.col(OBS)] if order_by is None else [F.col(c) for c in ([order_by] if isinstance(order_by, str) else order_by)]
-    if seed is not None:
-        order = [seeded_key(OBS if order_by is None else order_by, seed), *order]
-    return data.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+from rowloom.operators.order import Key, ranked_within
 
 
 def oversample(data: DataFrame, label: str, fraction: float = 1.0, seed: int | None = 0, order_by: Key | None = None) -> DataFrame:
@@ -29,7 +22,7 @@ def oversample(data: DataFrame, label: str, fraction: float = 1.0, seed: int | N
     most = counts.agg(F.max("_c")).first()[0] or 0
     target = round(fraction * most)
     table = counts.select(F.col(label).alias("_l"), "_c")
-    ranked = _ranked(data, label, order_by, seed).join(table, F.col(label).eqNullSafe(F.col("_l")))
+    ranked = ranked_within(data, label, order_by, seed).join(table, F.col(label).eqNullSafe(F.col("_l")))
     copies = F.when(F.lit(target) > F.col("_c"), F.floor(F.lit(target) / F.col("_c")) + F.when(F.col("_rank") <= F.lit(target) % F.col("_c"), 1).otherwise(0)).otherwise(1)
     return ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_rank", "_c", "_l")
 
@@ -37,4 +30,4 @@ def oversample(data: DataFrame, label: str, fraction: float = 1.0, seed: int | N
 def undersample(data: DataFrame, label: str, seed: int | None = 0, order_by: Key | None = None) -> DataFrame:
     """Each label brought down to the smallest one's count, at random by ``seed`` or the first rows where it is None."""
     least = data.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    return _ranked(data, label, order_by, seed).where(F.col("_rank") <= least).drop("_rank")
+    return ranked_within(data, label, order_by, seed).where(F.col("_rank") <= least).drop("_rank")

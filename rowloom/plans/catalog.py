@@ -115,9 +115,8 @@ def obsview_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{VECTORS} select cast(pos as bigint) as obs, count(*) as n, cast(sum(cast(floor(v * 1024) as bigint)) as bigint) as total from o group by pos")
 def obsdim_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations along the vectors' components."""
-    turned = O.obsdim(read(spark, sf_dir, "embeddings"), "embedding", key="vec_id")
-    total = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, v: a + F.floor(v.cast("double") * 1024))
-    return turned.select(F.col("_obs").alias("obs"), F.size("embedding").cast("long").alias("n"), total.alias("total"))
+    turned = O.obsdim(read(spark, sf_dir, "embeddings"), "embedding", key="vec_id", rows=True)
+    return turned.groupBy(F.col("_dim").alias("obs")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("embedding").cast("double") * 1024)).alias("total"))
 
 
 _DRAW = f"('0x' || substr(md5('{SEED}:' || i), 1, 13))::bigint"

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom import operators as O
-from rowloom.operators.order import Obs, with_obs
+from rowloom.operators.order import Obs, ranked_within, with_obs
 
 
 def xs(df, column="x", by="_obs"):
@@ -55,6 +55,7 @@ def test_views_of_views(numbers):
 def test_obsdim(spark):
     df = spark.createDataFrame([(1, [[1, 2], [3, 4], [5, 6]]), (2, [[7, 8], [9, 10], [11, 12]])], "_obs long, x array<array<int>>")
     assert [r.x for r in O.obsdim(df, "x").orderBy("_obs").collect()] == [[[1, 2], [7, 8]], [[3, 4], [9, 10]], [[5, 6], [11, 12]]]
+    assert [(r._dim, r._obs, r.x) for r in O.obsdim(df, "x", rows=True).orderBy("_dim", "_obs").collect()][:2] == [(1, 1, [1, 2]), (1, 2, [7, 8])]
     assert [r.x for r in O.obsdim(df, "x", 2).orderBy("_obs").collect()] == [[1, 3, 5, 7, 9, 11], [2, 4, 6, 8, 10, 12]]
 
 
@@ -73,3 +74,11 @@ def test_container(spark):
     assert data == Obs(data.df.drop("_obs"), "k") and "order_by" in repr(data)
     with pytest.raises(IndexError):
         data[4]
+
+
+@pytest.mark.parametrize("seed", [None, 7])
+def test_ranks_within_large_groups(spark, seed):
+    data = spark.range(1, 901).select(F.col("id").alias("_obs"), F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.lit("cold")).alias("g"))
+    one, many = (ranked_within(data, "g", seed=seed, one_task=n).collect() for n in (10_000, 0))
+    assert sorted(one, key=lambda r: r._obs) == sorted(many, key=lambda r: r._obs)
+    assert sorted(r._rank for r in many if r.g == "hot") == list(range(1, 601))
