@@ -378,8 +378,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_colum
     bears on blocks; a page cut off keeps what it has.  Very long pages are taken whole.  Repeated rows give a row
     each; null keys and urls are kept.  Other columns aren't read.  Empty table: empty result.
     """
-    some = pages.where(F.col(html_column).rlike("(?i)<(article|main)[ >]")).select(key, F.col(html_column).alias("h"))
-    model = train(r.h for r in some.orderBy(F.xxhash64(key, "h")).limit(sample).collect())
+    some = pages.where(F.col(html_column).rlike("(?i)<(article|main)[ >]") & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(html_column).alias("h"))
+    # keys first, so that a task sends a few numbers and not a few pages to the driver
+    keys = [r.k for r in some.select("k").orderBy(F.xxhash64("k"), "k").limit(sample).collect()]
+    model = train(r.h for r in some.where(F.col("k").isin(keys)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect())
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
 
     def run(batches):

@@ -80,8 +80,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LIMIT))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(fine)
     rows = rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
-    pivots = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
-    pivots = [r.v for r in pivots.collect()]
+    # ids first, so that a task sends a few numbers and not a few vectors to the driver
+    ids = [r.id for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
+    pivots = [r.v for r in rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").collect()]
     width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
     points = np.zeros((max(len(pivots), 1), width))
     for i, p in enumerate(pivots):
