@@ -22,10 +22,10 @@ WINDOW = 8  # words
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
 #: Ratio, its numerator, denominator and scale, whether it is fenced below too, and the least reach of the fence from a quartile.
 RATIOS = (
-    ("word_length", "word_chars", "n_words", 100, True, 100),
+    ("word_length", "word_chars", "n_words", 100, True, 150),
     ("symbols", "n_symbols", "word_chars", 1000, False, 20),
-    ("dup_lines", "n_dup_lines", "n_words", 1000, False, 30),
-    ("repeats", "n_repeat_words", "n_words", 1000, False, 200),
+    ("dup_lines", "n_dup_lines", "n_words", 1000, False, 40),
+    ("repeats", "n_repeat_words", "n_words", 1000, False, 300),
     ("echoes", "n_echo_words", "n_words", 1000, False, 100),
 )
 REACH = 3  # quartile ranges from the nearer quartile to the fence
