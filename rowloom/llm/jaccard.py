@@ -8,12 +8,13 @@
     the parity of the hashes that fall on it) differ in no more bits than linked sets can differ
     in.  A spanning forest of these candidates is kept, never all pairs; its components over
     all keys are coarse clusters.  A link lies within one cluster.  Clusters are split once more in the same
-    way, with sketches of a bit for each one or two hashes, which tell long texts apart as well.
+    way, with sketches of a bit or two for each hash, which tell long texts apart as well.
 4.  Within a cluster the links are searched by T-occurrence with DivideSkip: a set's inverted lists
     are ordered by length, the short ones are merged, and the long ones, T - 1 at most, are
     probed by binary search for the candidates met so far.  A pair that reaches the needed overlap is checked
     exactly.  Classes that are joined already are skipped, as only components are wanted.
-Large keys and clusters are dealt out as pairs of blocks, by rows and by bytes.
+A cluster too large for a task is compared with its least class first, which joins most of a group of near copies; only what
+that leaves is dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ KEY_BLOCK = 8192  # classes of a key handled together
 CLUSTER_BLOCK = 2048  # classes of a cluster handled together
 FREQUENT = 32  # documents of a shingle that goes last in the order of keys
 MOST_FREQUENT = 100_000  # of such shingles
-BLOCK_SHINGLES = 1 << 21  # of the classes of a cluster handled together
+BLOCK_SHINGLES = 1 << 20  # of the classes of a cluster handled together
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -95,8 +96,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the hashes at each bit: a power of two of bits, SKETCH_BITS at least, else half the hashes at least."""
-    bits = max(SKETCH_BITS, 1 << max(len(hashes) // 2 - 1, 0).bit_length())
+    """Parity of the hashes at each bit: a power of two of bits, SKETCH_BITS at least, and as many as there are hashes at least."""
+    bits = max(SKETCH_BITS, 1 << max(len(hashes) - 1, 0).bit_length())
     flags = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flags.astype(np.uint8), bitorder="little").view("<u8")
 
@@ -217,13 +218,59 @@ def t_occurrence(sets: list[np.ndarray], percent: int, sides: np.ndarray | None
     return forest
 
 
-def in_blocks(rows: DataFrame, group: str, blocks: Column, item: str) -> DataFrame:
-    """Deal rows of large groups out as pairs of blocks: ``task`` is of one pair, ``side`` the row's block in it."""
-    dealt = rows.withColumn("_n", F.ceil(blocks).cast("int")).withColumn("side", F.pmod(F.xxhash64(item), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return dealt.withColumn("paired", F.col("side") != F.col("_o")).withColumn("task", F.xxhash64(group, F.least("side", "_o"), F.greatest("side", "_o"))).drop("_n", "_o")
+def near_pivot(percent: int, exact: bool) -> Callable:
+    """Marks rows of large clusters whose set (or sketch, if not ``exact``) links, or may link, with the pivot's."""
+
+    def run(batches):
+        for batch in batches:
+            n, p_n = batch.column("n").to_numpy(), batch.column("p_n").to_numpy()
+            core = []
+            for x, p, a, b in zip(batch.column("data").to_pylist(), batch.column("p_data").to_pylist(), n.tolist(), p_n.tolist()):
+                if exact:
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64), assume_unique=True))
+                    core.append(100 * both >= percent * (a + b - both))
+                else:
+                    apart = int(Sketches([np.frombuffer(x, "<u8"), np.frombuffer(p, "<u8")]).apart(0, np.array([1]))[0])
+                    core.append(100 * min(a, b) >= percent * max(a, b) and apart * (100 + percent) <= (a + b) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "n", "weight", "data")), pa.array(core, pa.bool_())], ["id", "root", "n", "weight", "data", "core"])
+
+    return run
 
 
-def frequent_keys(docs: DataFrame, text: str, width: int, percent: int) -> np.ndarray:
+def filled_clusters(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """With ``fill``, the sum of the weights in each row's cluster."""
+    members = scratch.write(members, "members")
+    return scratch.write(members.join(members.groupBy("root").agg(F.sum("weight").alias("fill")), "root"), "filled")
+
+
+def dealt_out(rows: DataFrame, percent: int, exact: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of clusters dealt out into tasks, and links found on the way.
+
+    ``rows`` have id, root, n, data, ``weight``, their part of a task's fill, and ``fill``, that of the cluster.  A cluster that fills one task at
+    most is a task.  Of a larger one every row is compared with its pivot, the root.  Those that link with
+    it are joined by that, so they needn't meet each other: only the rest is dealt out as pairs of blocks,
+    and as blocks against blocks of the linked ones.  A large group of copies of one text is so dealt out in proportion to its size.
+    """
+    columns = ["id", "n", "data"]
+    small = rows.where("fill <= 1").select(F.xxhash64("root").alias("task"), *columns, F.lit(0).alias("side"), F.lit(False).alias("paired"))
+    large = rows.where("fill > 1")
+    pivots = large.where("id = root").dropDuplicates(["root"]).select("root", F.col("n").alias("p_n"), F.col("data").alias("p_data"))
+    flagged = large.join(pivots, "root").select("id", "root", "n", "weight", "data", "p_n", "p_data").mapInArrow(near_pivot(percent, exact), "id bigint, root bigint, n bigint, weight double, data binary, core boolean")
+    flagged = scratch.write(flagged, "flagged")
+    links = flagged.where("core and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    blocks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("weight"))), F.lit(0.0))).cast("int")
+    parts = flagged.groupBy("root").agg(blocks(F.col("core")).alias("cores"), blocks(~F.col("core")).alias("rests")).where("rests > 0")
+    placed = flagged.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    core = placed.where("core").withColumn("other", upto("rests"))
+    core = core.select(F.xxhash64("root", "own", "other", F.lit("core")).alias("task"), *columns, F.lit(-1).alias("side"), F.lit(True).alias("paired"))
+    rest = placed.where("not core")
+    against = rest.where("cores > 0").withColumn("other", upto("cores")).select(F.xxhash64("root", "other", "own", F.lit("core")).alias("task"), *columns, F.col("own").alias("side"), F.lit(True).alias("paired"))
+    among = rest.withColumn("other", upto("rests")).select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), *columns, F.col("own").alias("side"), (F.col("own") != F.col("other")).alias("paired"))
+    return small.unionByName(core).unionByName(against).unionByName(among), links
+
+
+def frequent_keys(docs: DataFrame, text: str, width: int, percent: int, scratch: Scratch) -> np.ndarray:
     """Shingles that are keys of many documents, MOST_FREQUENT at most: they go last in the order of keys.
 
     Any order common to all documents finds all links; this one keeps the shingles of passages that many documents
@@ -239,13 +286,22 @@ def frequent_keys(docs: DataFrame, text: str, width: int, percent: int) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(keys[again].view(np.int64)), pa.array(counts[again].astype(np.int64))], ["key", "n"])
 
     met = docs.select(docs[text].alias("text")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = met.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").collect()
+    met = scratch.write(met.where(F.col("n") >= FREQUENT), "frequent")
+    # how many keys have each order of magnitude, from the top; it tells from where on all can be taken
+    steps = met.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            break
+        least = 1 << r["step"]
+    rows = [] if least is None else met.where(F.col("n") >= least).select("key").collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
-def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """``id``, ``n``, ``sig`` (digest of the set), ``sketch``, ``wide`` (sketch) and ``prefix`` of every document."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, text, width, percent))  # 800 KB at most
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, text, width, percent, scratch))  # 800 KB at most
 
     def keys_of(s: np.ndarray) -> np.ndarray:
         n = prefix_length(len(s), percent)
@@ -273,7 +329,7 @@ def candidates(percent: int) -> Callable:
         for table in whole_groups(batches, "task"):
             task = table["task"].to_numpy()
             ids, n = table["id"].to_numpy(), table["n"].to_numpy()
-            sketch = [np.frombuffer(x, "<u8") for x in table["sketch"].to_pylist()]
+            sketch = [np.frombuffer(x, "<u8") for x in table["data"].to_pylist()]
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(task)]]))
             two = starts[sizes == 2]  # most keys have two classes
@@ -300,7 +356,7 @@ def searched(percent: int) -> Callable:
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             a, b = [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].slice(s, e - s).to_pylist()]
+                sets = [np.frombuffer(x, np.uint64) for x in table["data"].slice(s, e - s).to_pylist()]
                 order = sorted(range(e - s), key=lambda i: (len(sets[i]), ids[s + i]))
                 forest = t_occurrence([sets[i] for i in order], percent, sides[s:e][order] if paired[s] else None)
                 for i, x in enumerate(order):
@@ -339,33 +395,34 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
 
 
 def _jaccard_components(docs: DataFrame, width: int, percent: int, key: str, text: str, key_block: int, cluster_block: int, scratch: Scratch) -> DataFrame:
-    base = scratch.write(shingled(docs, key, text, width, percent), "shingles")
+    base = scratch.write(shingled(docs, key, text, width, percent, scratch), "shingles")
     usable = base.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("sig").agg(F.min("id").alias("rep"))
     member = usable.select("id", "sig").join(classes, "sig").where("id <> rep").select("id", "rep")
     reps = usable.join(classes, "sig").where("id = rep").dropDuplicates(["id", "sig"])
 
     keys = reps.select("id", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    held = keys.join(shared.hint("shuffle_hash"), "key")
-    described = held.join(reps.select("id", "n", "sketch"), "id")
-    dealt = in_blocks(described, "key", F.col("held") / key_block, "id").select("task", "id", "n", "sketch")
-    coarse = clustered(searched_groups(dealt, candidates(percent)), scratch)
-    wide = coarse.join(reps.select("id", "n", "wide"), "id").join(coarse.groupBy("root").agg(F.count("*").alias("held")), "root")
-    dealt = in_blocks(wide, "root", F.col("held") / key_block, "id").select("task", "id", "n", F.col("wide").alias("sketch"))
-    fine = scratch.write(clustered(searched_groups(dealt, candidates(percent)), scratch).join(reps.select("id", "n"), "id"), "clusters")
-    sizes = fine.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
-    clusters = fine.join(sizes, "root").select(F.col("id").alias("node"), "root", F.greatest(F.col("held") / cluster_block, F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("least")).where("held > 1")
+    held = scratch.write(keys.join(shared.hint("shuffle_hash"), "key"), "held")
+    # a key of very many classes makes one cluster of them, which the next step splits
+    crowded = held.where((F.col("held") > key_block) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    described = held.where(F.col("held") <= key_block).select("id", F.col("key").alias("task")).join(reps.select("id", "n", F.col("sketch").alias("data")), "id")
+    coarse = clustered(searched_groups(described, candidates(percent)).unionByName(crowded), scratch)
+    wide = filled_clusters(coarse.withColumn("weight", F.lit(1.0 / key_block)), scratch).join(reps.select("id", "n", F.col("wide").alias("data")), "id")
+    dealt, near = dealt_out(wide, percent, False, scratch)
+    fine = clustered(searched_groups(dealt, candidates(percent)).unionByName(near), scratch)
+    weight = F.greatest(F.lit(1.0 / cluster_block), F.col("n") / BLOCK_SHINGLES)
+    clusters = filled_clusters(fine.join(reps.select("id", "n"), "id").select(F.col("id").alias("node"), "root", weight.alias("weight")), scratch)
 
     def sets_of(batches):
         for part in slices(batches):
-            sets = pa.array([s.tobytes() for s in shingle_sets(filled(part), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("blocks"), sets], ["id", "root", "blocks", "hashes"])
+            sets = list(shingle_sets(filled(part), width))
+            yield pa.RecordBatch.from_arrays([part.column("node"), *(part.column(c) for c in ("root", "weight", "fill")), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "root", "weight", "fill", "n", "data"])
 
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(clusters, "node")
-    sets = texts.mapInArrow(sets_of, "id bigint, root bigint, blocks double, hashes binary").where(F.length("hashes") > 0)
-    dealt = in_blocks(sets, "root", F.col("blocks"), "id").select("task", "id", "side", "paired", "hashes")
-    links = searched_groups(dealt, searched(percent))
+    sets = scratch.write(texts.mapInArrow(sets_of, "id bigint, root bigint, weight double, fill double, n bigint, data binary").where("n > 0"), "sets")
+    dealt, near = dealt_out(sets, percent, True, scratch)
+    links = searched_groups(dealt, searched(percent)).unionByName(near)
     links = links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     final = components(links, "a", "b", scratch.write).select(F.col("node").alias("id"), "root")
     found = base.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
