@@ -7,6 +7,7 @@ letter, which carries gender in many languages; names from the lexicon stay with
 A permutation maps different entities to different surrogates, and equal entities to equal ones in
 all documents, without a table of them.  Where a surrogate would break its type (a card number whose checksum
 changes, a name that falls into the lexicon), the permutation is applied again, which keeps it one to one.
+A word of a name has one surrogate wherever it stands in a name, and every other mention of a found name in its text is replaced too.
 ``collisions`` checks a corpus's pairs, and each document's are checked as it is rewritten.
 """
 
@@ -55,6 +56,7 @@ RANGES = ((0x4E00, 0x9FA5), (0x3041, 0x3094), (0x30A1, 0x30F4), (0xAC00, 0xD7A3)
 
 _ANY = "|".join(re.escape(h) for hs in HONORIFICS.values() for h in sorted(hs, key=len, reverse=True))
 _NAME = r"[^\W\d_][\w'’-]*"
+_INITIAL = r"[^\W\d_]\."
 PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("email", re.compile(r"(?<![\w.%+-])[\w%+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
     ("secret", re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key)\b\s*[=:]\s*[\"']?)([A-Za-z0-9_\-/+]{8,})|(?<![\w-])((?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![\w-])")),
@@ -63,7 +65,7 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])")),
-    ("name", re.compile(rf"(?<!\w)(?:{_ANY})\.?\s+((?:{_NAME})(?:\s+{_NAME})?)")),
+    ("name", re.compile(rf"(?<!\w)(?:{_ANY})\.?\s+((?:{_INITIAL}\s*)*{_NAME}(?:\s+(?:{_INITIAL}\s*)*{_NAME})?)")),
 )
 #: What a text must contain for a pattern to be tried.
 HINTS: dict[str, Callable[[str], bool]] = {
@@ -72,12 +74,82 @@ HINTS: dict[str, Callable[[str], bool]] = {
 }
 _HAS_NAME = re.compile(rf"(?<!\w)(?:{_ANY})\.?\s")
 _HAS_DIGIT = re.compile(r"\d")
+_PART = re.compile(rf"{_INITIAL}|{_NAME}")
+_TAIL = re.compile(r"(?:['’][sS])?['’-]*$")  # a possessive's ending
+_CAPITALISED = re.compile(rf"(?<!\w)(?![a-z]){_NAME}")  # or of a script without case, which is_name tells
+_GAP = re.compile(r"\s+")
+_UNSPACED = re.compile(r"[\u4e00-\u9fa5\u3041-\u3094\u30a1-\u30f4\uac00-\ud7a3]{2,}")  # of scripts that don't part words
+
+
+def is_name(word: str) -> bool:
+    return word[:1].isupper() or unicodedata.category(word[0]) == "Lo"
+
+
+def name_end(value: str) -> int:
+    """Where a name ends of the words that follow an honorific; 0 if there is none."""
+    end = 0
+    for m in _PART.finditer(value):
+        if not is_name(m.group()):
+            break
+        bare = _TAIL.sub("", m.group())
+        end = m.start() + len(bare)
+        if bare != m.group():
+            break
+    return end
+
+
+def mentions(text: str, names: dict[str, str], taken: bytearray) -> list[tuple[int, int, str]]:
+    """Where words of found names, lower-cased and with their genders, stand in a text, ``taken`` places left out.
+
+    A given name of the lexicon before one belongs to the name, and so is a word of it.
+    """
+    known = given_names()
+    hits: list[tuple[int, int, str]] = []
+    more: dict[str, str] = {}
+    before: tuple[int, int] | None = None  # a given name that may belong to what follows
+    for m in _CAPITALISED.finditer(text):
+        if not is_name(m.group()):
+            continue
+        whole = _TAIL.sub("", m.group())
+        at, found = m.start(), []
+        for w in [whole] if whole.lower() in names else re.split("(['’-])", whole):
+            if w.lower() in names and is_name(w):
+                found.append((at, at + len(w), names[w.lower()]))
+            at += len(w)
+        if found and found[0][0] == m.start() and before and _GAP.fullmatch(text, before[1], m.start()):
+            more[text[slice(*before)].lower()] = found[0][2]
+        hits += found
+        before = (m.start(), m.start() + len(whole)) if whole.lower() in known and whole.lower() not in names else None
+    if more:
+        return mentions(text, names | more, taken)
+    for w in names:
+        if _UNSPACED.fullmatch(w):
+            hits += [(m.start(), m.end(), names[w]) for m in re.finditer(w, text)]
+    joined: list[tuple[int, int, str]] = []
+    for a, b, g in sorted(h for h in hits if not any(taken[h[0] : h[1]])):
+        if joined and joined[-1][1] < a and _GAP.fullmatch(text, joined[-1][1], a):
+            joined[-1] = (joined[-1][0], b, g)
+        elif not joined or a >= joined[-1][1]:
+            joined.append((a, b, g))
+    return joined
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities as (start, end, kind, gender), in order and without overlap; earlier kinds go first."""
     digits = _HAS_DIGIT.search(text) is not None
     found: list[tuple[int, int, str, str]] = []
+    names: dict[str, str] = {}
+    taken = bytearray()
+
+    def add(a: int, b: int, kind: str, gender: str) -> bool:
+        nonlocal taken
+        taken = taken or bytearray(len(text))
+        free = not any(taken[a:b])
+        if free:
+            found.append((a, b, kind, gender))
+            taken[a:b] = b"\1" * (b - a)
+        return free
+
     for kind, pattern in PATTERNS:
         if kind in HINTS and not HINTS[kind](text) or kind not in ("email", "name", "secret") and not digits:
             continue
@@ -86,15 +158,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             a, b = m.span(group)
             gender = ""
             if kind == "name":
-                first = text[a:b].split()
-                if not first[0][:1].isupper() and unicodedata.category(first[0][0]) != "Lo":
+                b = a + name_end(text[a:b])
+                if a == b:
                     continue
-                if len(first) > 1 and not first[1][:1].isupper() and unicodedata.category(first[1][0]) != "Lo":
-                    b = a + len(first[0])
                 title = m.group()[: a - m.start()].strip().rstrip(".")
                 gender = next((g for g, hs in HONORIFICS.items() if title in hs), "n")
-            if not any(a < y and x < b for x, y, _, _ in found):
-                found.append((a, b, kind, gender))
+            if add(a, b, kind, gender) and kind == "name":
+                names |= {w.lower(): gender for w in _PART.findall(text[a:b]) if len(w) > 1 and not w.endswith(".")}
+    if names:
+        for a, b, gender in mentions(text, names, taken):
+            add(a, b, "name", gender)
     return sorted(found)
 
 
@@ -132,7 +205,8 @@ def permute_text(text: str, key: bytes, tweak: str, keep: Callable[[int, str], b
     """Each letter and digit within its class; case, other characters and those that ``keep`` names stay."""
     table = letters()
     at = [(i, *table[c.lower()]) for i, c in enumerate(text) if c.lower() in table and len(c.lower()) == 1 and (c.lower() == c or c.lower().upper() == c) and not keep(i, c)]
-    form = "".join("\1" if j else c for c, j in zip(text, _mask(len(text), [a[0] for a in at])))
+    # without the case of what stays, so that coreference ignores it
+    form = "".join("\1" if j else c.lower() for c, j in zip(text, _mask(len(text), [a[0] for a in at])))
     new = permute([a[2] for a in at], [len(a[3]) for a in at], key, f"{tweak}|{'.'.join(str(a[1]) for a in at)}|{form}")
     out = list(text)
     for (i, _, _, chars), v in zip(at, new):
@@ -218,7 +292,7 @@ def surrogate(value: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
         new = "".join("0123456789abcdef"[v] for v in permute([int(c, 16) for c in value], [16] * len(value), key, f"hex{len(value)}"))
         return new if value == value.lower() else new.upper()
     if kind == "name":
-        return re.sub(r"[^\s]+", lambda m: new_name(m.group(), key, "given" if not m.start() else "family"), value)
+        return re.sub(r"[^\s]+", lambda m: new_name(m.group(), key, "family"), value)
     return permute_text(value, key, kind)
 
 
@@ -243,7 +317,8 @@ def replace_pii(docs: DataFrame, secret: bytes = KEY, key: str = "doc_id", text:
     ``entities`` lists kind, value and surrogate of each occurrence; keep it apart from the texts.
 
     null text: stays null, without entities.  Empty text: as it is.  Very long texts are taken whole.  Where
-    patterns overlap, the first in KINDS' order of detection holds.  Repeated rows give a row each; a null key
+    patterns overlap, the first in KINDS' order of detection holds.  A name is found by an honorific before it: initials and
+    up to two words; then all its words, capitalised, are replaced in the whole text.  Repeated rows give a row each; a null key
     is kept.  Other columns aren't read.  Empty table: empty result.
     """
     kind = docs.schema[key].dataType.simpleString()

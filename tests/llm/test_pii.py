@@ -78,3 +78,23 @@ def test_tables(make_docs, odd_rows):
     again = pii.anonymise(docs)
     assert again.schema == docs.schema and {r.doc_id: r.text for r in again.collect()}[50] == got[50].text
     assert pii.replace_pii(make_docs([])).count() == 0 and pii.anonymise(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("first", ["Mr John Smith", "Mr. Smith", "Mr J. R. Smith", "Mr Smith's clerk for John"])
+def test_later_and_untitled_mentions_of_a_name(first):
+    text = f"Before it, Smith came. {first} wrote. Smith said, SMITH's view; John Smith signed, blacksmith and smith and Smithson stay."
+    new, pairs = pii.replace(text)
+    assert not re.search(r"\b(?:Smith|SMITH|John)\b", new) and new.endswith("blacksmith and smith and Smithson stay.")
+    family = pii.surrogate("Smith", "name")
+    assert f"Before it, {family} came." in new and f"{family} said, {family.upper()}'s view; {pii.surrogate('John Smith', 'name')} signed" in new
+    assert all(k == "name" for k, _, _ in pairs)
+
+
+def test_a_word_of_a_name_has_one_surrogate():
+    (_, _, lone), (_, _, full), (_, _, given) = pii.replace("Mr Smith met Mr John Smith and Mr John.")[1]
+    assert full == f"{given} {lone}" and given in pii.GIVEN["m"]
+    assert pii.surrogate("Wolfgang Smith", "name").split() == [pii.surrogate("Wolfgang", "name"), lone]
+    new, pairs = pii.replace("Mr John Smith\nSmith Report")
+    assert "Smith" not in new and len(pairs) == 2
+    new, pairs = pii.replace("Dr 王小明，来了。昨天王小明说。")
+    assert "王小明" not in new and len({s for _, _, s in pairs}) == 1
