@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ from rowloom.llm.common import filled, slices
 
 KEY = b"surrogates, round one"
 ROUNDS = 6
-KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "secret", "name")
+KINDS = ("email", "phone", "card", "ssn", "iban", "ipv6", "ip", "secret", "name")
 
 #: Honorifics by the gender they tell, and given names by gender.
 HONORIFICS = {
@@ -56,6 +57,18 @@ RANGES = ((0x4E00, 0x9FA5), (0x3041, 0x3094), (0x30A1, 0x30F4), (0xAC00, 0xD7A3)
 
 _ANY = "|".join(re.escape(h) for hs in HONORIFICS.values() for h in sorted(hs, key=len, reverse=True))
 _NAME = r"[^\W\d_][\w'’-]*"
+_COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+_GAPS = r"(?:[ ./-]|[ -]?\(|\)[ -]?)?"  # between two digits of a phone number
+PHONES = (
+    # international: 7 to 15 digits, 11 with country code 1
+    rf"(?<![\w.])(?:\+|00(?=[1-9]\d{{0,2}}[ .-]))(?:1{_GAPS}[2-9](?:{_GAPS}\d){{9}}|[2-9](?:{_GAPS}\d){{6,14}})(?![\w-])",
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])",
+    # national: pairs, threes and pairs, an area and an unbroken number, all unbroken
+    r"(?<![\w.:/+-])(?<!\b\d\d[ .])0[1-9](?:[ .-]\d\d){4}(?![\w-]|[ .]\d\d(?!\d))",
+    r"(?<![\w.:/+-])0[1-9]\d[ .-]\d{3}[ .-]\d\d[ .-]\d\d(?![\w-])",
+    r"(?<![\w.:/+-])(?:\(\d{2,5}\)[ .-]?|0[1-9]\d{0,3}[ /-])\d{5,9}(?![\w-]|[.,:]\d)",
+    r"(?<![\w.:/+-])0[1-9]\d{8,9}(?![\w-]|[.,:]\d)",
+)
 _INITIAL = r"[^\W\d_]\."
 PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("email", re.compile(r"(?<![\w.%+-])[\w%+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
@@ -63,13 +76,15 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w|:[\w:]|\.\d)")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])")),
+    ("phone", re.compile("|".join(PHONES))),
     ("name", re.compile(rf"(?<!\w)(?:{_ANY})\.?\s+((?:{_INITIAL}\s*)*{_NAME}(?:\s+(?:{_INITIAL}\s*)*{_NAME})?)")),
 )
 #: What a text must contain for a pattern to be tried.
 HINTS: dict[str, Callable[[str], bool]] = {
     "email": lambda t: "@" in t,
+    "ipv6": lambda t: t.count(":") > 1,
     "name": lambda t: _HAS_NAME.search(t) is not None,
 }
 _HAS_NAME = re.compile(rf"(?<!\w)(?:{_ANY})\.?\s")
@@ -85,6 +100,17 @@ def is_name(word: str) -> bool:
     return word[:1].isupper() or unicodedata.category(word[0]) == "Lo"
 
 
+def is_ipv6(value: str) -> bool:
+    """Whether it is an address of two groups at least and a digit, which a mere '::' or '::add' isn't."""
+    if not _HAS_DIGIT.search(value) or sum(map(bool, value.split(":"))) < 2:
+        return False
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
+
+
 def name_end(value: str) -> int:
     """Where a name ends of the words that follow an honorific; 0 if there is none."""
     end = 0
@@ -157,6 +183,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             group = m.lastindex or 0
             a, b = m.span(group)
             gender = ""
+            if kind == "ipv6" and not is_ipv6(text[a:b]):
+                continue
             if kind == "name":
                 b = a + name_end(text[a:b])
                 if a == b:
@@ -264,6 +292,31 @@ def new_name(word: str, key: bytes, tweak: str) -> str:
     return walk(word, lambda w: permute_text(w, key, tweak, lambda i, c: i == last), lambda w: w.lower() not in known)
 
 
+def new_ipv6(value: str, key: bytes) -> str:
+    """An address whose groups of zero are where they were, written alike; of all spellings of an address equal ones."""
+    packed = ipaddress.IPv6Address(value).packed
+    groups = [int.from_bytes(packed[i : i + 2], "big") for i in range(0, 16, 2)]
+    at = [i for i, g in enumerate(groups) if g]
+    for i, v in zip(at, permute([groups[i] - 1 for i in at], [0xFFFF] * len(at), key, f"ipv6{at}")):
+        groups[i] = v + 1
+    head, gap, tail = value.partition("::")
+    sides = [[p for p in side.split(":") if p] for side in (head, tail)]
+    width = lambda side: sum(1 + ("." in p) for p in side)
+    out = []
+    for side, rest in zip(sides, (iter(groups), iter(groups[8 - width(sides[1]) :]))):
+        new = []
+        for p in side:
+            g = next(rest)
+            if "." in p:
+                low = next(rest)
+                new.append(f"{g >> 8}.{g & 255}.{low >> 8}.{low & 255}")
+            else:
+                new.append(f"{g:0{len(p) if p[0] == '0' else 1}x}")
+        out.append(":".join(new))
+    text = gap.join(out) if gap else out[0]
+    return text.upper() if value != value.lower() else text
+
+
 def surrogate(value: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
     """The replacement of an entity."""
     if kind == "email":
@@ -278,11 +331,15 @@ def surrogate(value: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
         return re.sub(r"\d", lambda _: next(new), value)
     if kind == "ip":
         return ".".join(map(str, permute([int(x) for x in value.split(".")], [256] * 4, key, "ip")))
+    if kind == "ipv6":
+        return new_ipv6(value, key)
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=[ .-]?[\d(])", value)
+        country = re.match(rf"(?:\+|00){_COUNTRY}(?=\D*\d)|\(?0+(?=\D*[1-9])", value)
         fixed = country.end() if country else 0
         plain = re.sub(r"\D", "", value[fixed:])
-        new = iter(permute_text(plain, key, f"phone{value[:fixed]}"))
+        prefix = re.sub(r"\D", "", value[:fixed]) if "+" not in value else value[:fixed]
+        # a first digit 0 or 1 stays one, and no other becomes one: some plans forbid them
+        new = iter(walk(plain, lambda v: permute_text(v, key, f"phone{prefix}"), lambda v: min(v[0], "2") == min(plain[0], "2")))
         return value[:fixed] + re.sub(r"\d", lambda _: next(new), value[fixed:])
     if kind == "iban":
         plain = value.replace(" ", "")

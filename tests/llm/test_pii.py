@@ -1,3 +1,4 @@
+import ipaddress
 import re
 
 import pytest
@@ -98,3 +99,35 @@ def test_a_word_of_a_name_has_one_surrogate():
     assert "Smith" not in new and len(pairs) == 2
     new, pairs = pii.replace("Dr 王小明，来了。昨天王小明说。")
     assert "王小明" not in new and len({s for _, _, s in pairs}) == 1
+
+
+PHONES = ["+14155550123", "+33 1 23 45 67 89", "06 12 34 56 78", "06.12.34.56.78", "+49 30 12345678", "030 12345678", "(030) 1234567", "0171/1234567", "044 668 18 00", "0612345678", "+44 (0)20 7946 0958", "0033 6 12 34 56 78", "+290 2345", "+1 (487) 555-7209"]
+IPV6 = ["2001:db8::1", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "fe80::1ff:fe23:4567:890a", "::ffff:192.0.2.128", "2001:db8::"]
+
+
+@pytest.mark.parametrize("kind, value", [*(("phone", v) for v in PHONES), *(("ipv6", v) for v in IPV6)])
+def test_forms_of_phones_and_addresses(kind, value):
+    text = f"Reach {value}, or ({value}): at {value}. Then go."
+    new, pairs = pii.replace(text)
+    assert [(k, v) for k, v, _ in pairs] == [(kind, value)] * 3 and value not in new and len({s for _, _, s in pairs}) == 1
+    out = pairs[0][2]
+    assert [(text[a:b], k) for text in [f"x {out} y"] for a, b, k, _ in pii.find(text)] == [(out, kind)]
+    if kind == "phone":
+        assert re.sub(r"\d", "0", out) == re.sub(r"\d", "0", value)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["on 01.02.2021 at 10:30", "2021-05-06 07:08:09", "10:30:45", "std::vector and ::add or a :: b", "00:1a:2b:3c:4d:5e", "12345678 or 1234567890", "3.14159265 and 0.12345678", "+1000000 points, +5 and +12 %", "01/02/2021", "ids 0000012345", "10 20 30 40 50 60", "1,000,000 and 12 345", "1:2:3", "code 01 02 03 04 05 06 07"],
+)
+def test_clean_numbers_stay(text):
+    assert pii.replace(text) == (text, [])
+
+
+def test_spellings_of_a_number_or_address_share_a_surrogate():
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(pii.surrogate("+14875557209", "phone")) == digits(pii.surrogate("+1 (487) 555-7209", "phone"))
+    a, b = (ipaddress.IPv6Address(pii.surrogate(v, "ipv6")) for v in ("2001:db8::1", "2001:0DB8:0:0:0:0:0:1"))
+    assert a == b
+    assert len({pii.surrogate(f"2001:db8::{i:x}", "ipv6") for i in range(1, 3000)}) == 2999
+    assert len({pii.surrogate(f"+3310000{i:04d}", "phone") for i in range(10_000)}) == 10_000
