@@ -1,10 +1,10 @@
 """Licence scans: parts of a text compared to licence templates by the Dice coefficient of their word bigrams.
 
-A text is compared whole, line by line, sentence by sentence, and in windows of a template's own size
-wherever one of its bigrams stands, so that a licence is found in the midst of other text and across line breaks.  With
-``need`` as the coefficient to reach, a part of a bigrams can match a template of b only if
-need / (2 - need) * b <= a <= (2 - need) / need * b, and only if they share need / 2 * (a + b): templates out of
-these bounds are pruned before they are compared.
+Of a text the part of highest coefficient is sought among all runs of words, so that a licence is found in the midst of other
+text, across line breaks and with words put in.  The best part begins and ends with bigrams of the template, and its
+first doesn't come again in it.  With ``need`` as the coefficient to reach, a part of a bigrams can match a template of b only if
+need / (2 - need) * b <= a <= (2 - need) / need * b, and only if they share need / 2 * (a + b): what is out of
+these bounds is pruned before it is compared.
 """
 
 from __future__ import annotations
@@ -54,7 +54,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-ENDS = (".", "!", "?", ";", ":")
 
 
 def normal(word: str) -> str:
@@ -86,37 +85,50 @@ def fits(a: int, b: int, need: int) -> bool:
     return need * b <= (2000 - need) * a and need * a <= (2000 - need) * b
 
 
-def scan(grams: np.ndarray, ends: np.ndarray, t: Templates, need: int) -> dict[str, int]:
-    """Best coefficient by licence, in thousandths, of those that reach ``need``.
+def scan(grams: np.ndarray, t: Templates, need: int) -> dict[str, int]:
+    """Best coefficient by licence of any part of a text, in thousandths, of those that reach ``need``.
 
-    ``grams`` are a text's bigrams, those of no template negative and all different; ``ends`` are the
-    bigrams before which a line or sentence begins.
+    ``grams`` are a text's bigrams, those of no template negative.
     """
     hits = np.flatnonzero(grams >= 0)
     best: dict[str, int] = {}
     if not len(hits):
         return best
     values = grams[hits].tolist()
-    edges = np.concatenate([[0], ends, [len(grams)]])
+    every: list[int] = []
     for name, own in zip(t.names, t.sets):
-        mine = [(p, g) for p, g in zip(hits.tolist(), values) if g in own]
-        if 2000 * len({g for _, g in mine}) < need * len(own):  # too few are shared for any part
-            continue
         b = len(own)
-        spans = {(0, len(grams))}
-        for p, _ in mine:
-            k = int(np.searchsorted(edges, p, "right"))
-            spans.add((int(edges[k - 1]), int(edges[k])))
-            spans.add((p, min(p + b, len(grams))))
-        where = np.array([p for p, _ in mine])
-        for x, y in spans:
-            if not fits(y - x, b, need) and y - x <= 4 * b:
-                continue
-            lo, hi = np.searchsorted(where, [x, y])
-            shared = len({g for _, g in mine[lo:hi]})
-            a = len(np.unique(grams[x:y])) if hi - lo else 0
-            if shared and fits(a, b, need) and 2000 * shared >= need * (a + b):
-                best[name] = max(best.get(name, 0), 2000 * shared // (a + b))
+        least = -(-need * b // (2000 - need))  # shared ones without which no part reaches the coefficient
+        mine = [k for k, g in enumerate(values) if g in own]
+        if len({values[k] for k in mine}) < least:
+            continue
+        if not every:
+            every = grams.tolist()
+            new = np.zeros(len(grams), bool)
+            new[np.unique(grams, return_index=True)[1]] = True
+            other = np.cumsum(new & (grams < 0))[hits]  # different bigrams of no template before each hit
+        # of a part from a hit on with the least shared ones, no fewer other bigrams than come up first in it
+        apart = other[mine[least - 1 :]] - other[mine[: len(mine) - least + 1]]
+        again: dict[int, int] = {}
+        stops = {}  # where a hit's bigram comes again: a part from there on is no worse
+        for k in reversed(mine):
+            stops[k] = again.get(values[k], len(grams))
+            again[values[k]] = int(hits[k])
+        for k in np.array(mine)[np.flatnonzero(need * (apart + least) <= (2000 - need) * b)].tolist():
+            seen: set[int] = set()
+            shared = 0
+            for at in range(hits[k], stops[k]):
+                g = every[at]
+                if g in seen:
+                    continue
+                seen.add(g)
+                a = len(seen)
+                if need * a > (2000 - need) * b:
+                    break
+                if g in own:
+                    shared += 1
+                    if fits(a, b, need) and 2000 * shared >= need * (a + b):
+                        best[name] = max(best.get(name, 0), 2000 * shared // (a + b))
     return best
 
 
@@ -133,32 +145,28 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
         t = prepared(templates)
         for part in slices(batches):
             texts = filled(part)
-            # a line's first word is told from others by the line feed before it
-            marked = pc.replace_substring(texts, "\n", " \n")
-            off, words = pieces(pc.split_pattern(marked, " "))
+            off, words = pieces(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
             coded = words.dictionary_encode()
-            raw = coded.dictionary.to_pylist()
-            forms = [normal(w) for w in raw]
-            ids = np.array([-2 if not f else t.ids.get(f, -1) for f in forms], np.int64)
-            breaks = np.array([w.startswith("\n") for w in raw], bool)
-            stops = np.array([w.endswith(ENDS) for w in raw], bool)
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            word, line, stop = ids[code], breaks[code], stops[code]
+            forms = [normal(w) for w in coded.dictionary.to_pylist()]
+            codes = t.ids | {f: t.size + i for i, f in enumerate(sorted({*forms} - {*t.ids, ""}))}
+            ids = np.array([codes.get(f, -1) for f in forms], np.int64)
+            word = ids[coded.indices.to_numpy(zero_copy_only=False)]
             found = []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                w, begins, ended = word[a:b], line[a:b], stop[a:b]
-                if (w >= 0).sum() < 2:
+                w = word[a:b]
+                w = w[w >= 0]
+                plain = w < t.size
+                if plain.sum() < 2:
+                    found.append({})
+                    continue
+                known = np.flatnonzero(plain[:-1] & plain[1:])
+                known = known[t.known[w[known] * t.size + w[known + 1]]]
+                if not len(known):
                     found.append({})
                     continue
-                real = w != -2
-                starts = begins | np.concatenate([[True], ended[:-1]])
-                group = np.cumsum(starts)[real]
-                w = w[real]
-                grams = np.where((w[:-1] >= 0) & (w[1:] >= 0), w[:-1] * t.size + w[1:], -1)
-                grams = np.where((grams >= 0) & t.known[np.maximum(grams, 0)], grams, -1 - np.arange(len(grams)))
-                # a bigram over the end of a sentence or line is cut off from both by an edge on each side
-                over = np.flatnonzero(group[1:] != group[:-1])
-                found.append(scan(grams, np.unique(np.concatenate([over, over + 1])), t, need) if (grams >= 0).any() else {})
+                grams = -1 - (w[:-1] * len(codes) + w[1:])
+                grams[known] = w[known] * t.size + w[known + 1]
+                found.append(scan(grams, t, need))
             best = [min(f, key=lambda n: (-f[n], n)) if f else None for f in found]
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(best, pa.string()), pa.array([f[n] if f else 0 for f, n in zip(found, best)], pa.int64()), pa.array([",".join(sorted(f)) for f in found], pa.string())], [key, "license", "dice", "licenses"])
 

@@ -51,3 +51,35 @@ def test_table(make_docs, odd_rows):
     rows = [(r[0], r[1]) for r in odd_rows]
     assert licenses.license_scan(make_docs(rows, extra=True)).count() == len(rows)
     assert licenses.license_scan(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "notice",
+    [
+        "this work is licensed under the terms of the GNU General Public License version 3",
+        "this work is licensed under the terms\nof the GNU General Public\n   License version 3",
+        "This work is licensed under the terms of the\nGNU General Public License, version 3.",
+    ],
+)
+def test_inserted_words_and_wrapped_lines(make_docs, words, notice):
+    text = words(12, 5) + " as " + notice + " and " + words(12, 6)
+    row = found(make_docs, text)
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0")
+    assert row.license == "GPL-3.0" and row.dice == dice(notice, gpl) >= 800
+
+
+def test_best_part_against_brute_force(make_docs):
+    import random
+
+    templates = (("A", "a b c d e f a c"), ("B", "c d b"), ("C", "e a"))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefxyz   \n") for _ in range(40)).replace("", " ") for _ in range(150)]
+    texts += [" ".join(rng.choices(("a b c d", "e f a c", "x", "a b", "c d b"), k=9)) for _ in range(150)]
+    for need in (600, 800, 1000):
+        got = {r.doc_id: r for r in licenses.license_scan(make_docs(list(enumerate(texts))), templates=templates, need=need).collect()}
+        for i, text in enumerate(texts):
+            w = text.split()
+            parts = [" ".join(w[x:y]) for x in range(len(w)) for y in range(x + 2, len(w) + 1)]
+            best = {n: max((dice(p, t) for p in parts), default=0) for n, t in templates}
+            assert got[i].licenses == ",".join(n for n in sorted(best) if best[n] >= need)
+            assert got[i].dice == max((d for d in best.values() if d >= need), default=0)
