@@ -28,6 +28,9 @@ RATIOS = (
     ("repeats", "n_repeat_words", "n_words", 1000, False, 300),
     ("echoes", "n_echo_words", "n_words", 1000, False, 100),
 )
+#: A nearer least reach, below the fixed rule's 300 per thousand, and the repeated words that are let pass at any ratio: a line of 16 words, twice.
+NEARER = {"repeats": 100}
+PASS = {"repeats": 32}
 REACH = 3  # quartile ranges from the nearer quartile to the fence
 MIN_DOCS = 50  # of a group that has thresholds of its own
 SALTS = 16  # parts of a hot group in the join with thresholds
@@ -155,7 +158,7 @@ def thresholds(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")
     fences = joined.select(*(F.col(f"o.{c}").alias(c) for c in groups), F.col("o.ratio").alias("ratio"), chosen("q1").alias("q1"), chosen("q3").alias("q3"))
     cells = []
     for name, _, _, _, below, least in RATIOS:
-        room = F.greatest((F.col("q3") - F.col("q1")) * reach, F.lit(least))
+        room = F.greatest((F.col("q3") - F.col("q1")) * reach, F.lit(NEARER.get(name, least)))
         pick = lambda x, name=name: F.max(F.when(F.col("ratio") == name, x))
         cells += [pick(F.col("q1") - room if below else F.lit(-1)).alias(f"{name}_low"), pick(F.col("q3") + room).alias(f"{name}_high")]
     return fences.groupBy(*groups).agg(*cells)
@@ -166,7 +169,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
 
     A document fails the fixed rules with under 20 words, or with over 30 % of its words in windows
     of 8 words that it repeats.  Of the others, those are kept whose ratios lie within the fences of
-    their (lang, source).
+    their (lang, source); one short line that is repeated doesn't count.
 
     null text: no words, so ``base_failed``.  null lang or source: a group of its own.  Empty text:
     as null.  Ties at a fence are kept.  Repeated rows each count and each give a row.  Columns
@@ -182,7 +185,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     salted = measured.withColumn("salt", F.pmod(F.hash(key, *COUNTS), F.lit(SALTS)))
     within = ~F.col("base_failed")
     for name, a, b, scale, _, _ in RATIOS:
-        within = within & ratio(a, b, scale).between(F.col(f"t_{name}_low"), F.col(f"t_{name}_high"))
+        inside = ratio(a, b, scale).between(F.col(f"t_{name}_low"), F.col(f"t_{name}_high"))
+        within = within & (inside | (F.col(a) <= PASS[name]) if name in PASS else inside)
     return salted.join(limits, on, "left").select(key, *groups, *also, *COUNTS, "base_failed", F.coalesce(within, F.lit(False)).alias("kept"))
 
 

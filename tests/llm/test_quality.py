@@ -77,3 +77,12 @@ def test_small_groups_borrow_thresholds(make_docs, words):
     rows = [(i, words(60, i), "en", "big", 1) for i in range(80)] + [(100, words(60, 100), "en", "small", 1), (101, words(60, 101), "xx", "tiny", 1)]
     limits = {(r.lang, r.source): (r.word_length_low, r.word_length_high) for r in quality.thresholds(quality.measure(make_docs(rows)).selectExpr("*", "false as base_failed")).collect()}
     assert len(limits) == 3 and limits["en", "small"][1] - limits["en", "small"][0] >= 200
+
+
+def test_repeats_alone_reject_below_the_fixed_rule(make_docs, words):
+    clean = [(i, words(200, i)) for i in range(100)]
+    passage, line = words(28, 500), words(9, 501)
+    rows = [(200, f"{words(72, 502)} {passage} {words(72, 503)} {passage}"), (201, f"{words(31, 504)} {line} {words(31, 505)} {line}")]
+    got = {r.doc_id: r for r in quality.quality_rules(make_docs(clean + rows)).collect()}
+    assert got[200].n_repeat_words == 56 and got[200].n_words == 200 and got[200].n_dup_lines == 0 and not got[200].base_failed
+    assert not got[200].kept and got[201].n_repeat_words == 18 and got[201].kept and all(got[i].kept for i, _ in clean)
