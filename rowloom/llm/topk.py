@@ -9,7 +9,7 @@ d from pivot p and a query q at distance e from p, |q - v| >= |e - d|, so
 
 A query goes on to those blocks alone whose annulus and greatest norm leave this bound at its score
 or above, and within a block expands from its own distance outwards as far as the bound allows.  Scores are integers
-and compared exactly; the bound is loosened by more than the rounding of distances.
+and compared exactly: in float64 where sums stay below 2^53, else as int64 or Python integers; the bound is loosened by more than the rounding of distances.
 """
 
 from __future__ import annotations
@@ -24,26 +24,47 @@ from rowloom.llm.common import materialise
 PIVOTS = 32  # vectors, of the least hashes of their ids
 ANNULI = 16  # of the range of distances
 BLOCK = 4096  # vectors, or queries, of a block
-LIMIT = 1 << 24  # components beyond it could overflow exact scores
+LIMIT = float(1 << 63)  # scaled components from it on don't fit a long
+MOST = (1 << 63) - 1  # scores beyond it are held at it and refused if they are among the results
 SLACK = 1e-6
-NONE = -(1 << 62)
+NONE = -(1 << 63)  # below all scores
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column as floats, with zeros after a shorter one's end."""
+    """Rows of a list column of longs, with zeros after a shorter one's end."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     off = lists.offsets.to_numpy().astype(np.int64)
-    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.diff(off)
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), width), np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(off[0], off[-1]) - np.repeat(off[:-1], sizes)] = values[off[0] : off[-1]]
     return out
 
 
-def reach(norm_q: np.ndarray, norm_v: np.ndarray, score: np.ndarray) -> np.ndarray:
+def products(v: np.ndarray, norm: np.ndarray, q: np.ndarray, floats: np.ndarray | None = None) -> np.ndarray:
+    """Exact inner products of rows of integers with one, held within MOST.  ``norm`` are the rows' squared lengths, ``floats`` the rows as such.
+
+    Every partial sum lies within the product of the lengths, which tells what arithmetic is exact.
+    """
+    size = np.sqrt(norm) * np.sqrt(np.square(q.astype(np.float64)).sum())
+    if not len(size) or size.max() < 1 << 52:
+        return ((v.astype(np.float64) if floats is None else floats) @ q.astype(np.float64)).astype(np.int64)
+    out = v @ q  # wraps around where the next lines put it right
+    for i in np.flatnonzero(size >= 1 << 62).tolist():
+        out[i] = max(-MOST, min(MOST, sum(map(int.__mul__, v[i].tolist(), q.tolist()))))
+    return out
+
+
+def loose(width: int) -> float:
+    """A factor of lengths by which distances may be off: the root of the relative rounding of their squares, and more."""
+    return 8 * float(np.sqrt(np.finfo(np.float64).eps * (width + 8)))
+
+
+def reach(norm_q: np.ndarray, norm_v: np.ndarray, score: np.ndarray, fuzz: np.ndarray) -> np.ndarray:
     """How far a vector's distance to the pivot may lie from the query's, for a score of at least ``score``."""
-    return np.sqrt(np.maximum(norm_q + norm_v - 2.0 * score, 0)) * (1 + SLACK) + SLACK
+    far = np.sqrt(np.maximum(norm_q + norm_v - 2.0 * score, 0)) * (1 + SLACK) + SLACK + fuzz
+    return np.where(score == NONE, np.inf, far)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
@@ -71,15 +92,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     Components x become floor(scale * x), x as double; the score is the inner product.  Returns ``query_id``,
     ``rank`` from 1, ``vec_id`` and ``score``; equal scores by smaller key.
 
-    Vectors that are null or hold a null or non-finite component, or one beyond 2^24 after scaling, and rows of null key
-    take no part.  Vectors of different lengths are compared as if zeros followed the shorter.
+    Vectors that are null or hold a null or non-finite component, or one that doesn't fit a long after scaling, and rows of null key
+    take no part.  A score among the results that doesn't fit a long is an error, as in SQL.  Vectors of different lengths are compared as if zeros followed the shorter.
     Equal vectors and repeated rows are rows of their own: each is a candidate for the other, and a query
     that occurs twice is answered twice.  Fewer than k candidates: all of them.  Other columns aren't read.
     Empty table: empty result.
     """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LIMIT))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(fine)
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
     # ids first, so that a task sends a few numbers and not a few vectors to the driver
     ids = [r.id for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
     pivots = [r.v for r in rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").collect()]
@@ -87,8 +108,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     points = np.zeros((max(len(pivots), 1), width))
     for i, p in enumerate(pivots):
         points[i, : len(p)] = p
+    off, longest = loose(width), float(np.sqrt((points * points).sum(1).max()))
 
     def to_pivots(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = v.astype(np.float64)
         norm = (v * v).sum(1)
         return norm, np.maximum(norm[:, None] + (points * points).sum(1) - 2 * v @ points.T, 0)
 
@@ -99,7 +122,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             dist = np.sqrt(far[np.arange(len(near)), near])
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(dist), pa.array(norm)], ["id", "v", "pivot", "dist", "norm"])
 
-    placed = rows.mapInArrow(place, "id bigint, v array<int>, pivot int, dist double, norm double")
+    placed = rows.mapInArrow(place, "id bigint, v array<bigint>, pivot int, dist double, norm double")
     placed = materialise(placed.withColumn("uid", F.monotonically_increasing_id()), "placed")
     n_queries, farthest = placed.agg(F.count(F.when(F.col("id") % every == 0, 1)), F.max("dist")).first()
     step = max(farthest or 0.0, 1.0) / ANNULI
@@ -113,16 +136,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     def seed(group: pa.Table) -> pa.Table:
         """Best scores within the block of each of its queries."""
         ids, uids = group["id"].to_numpy(), group["uid"].to_numpy()
-        v = matrix(group["v"], width)
+        v, norm = matrix(group["v"], width), group["norm"].to_numpy()
+        floats = v.astype(np.float64)
         found = []
         for q in np.flatnonzero(ids % every == 0).tolist():
-            scores = v @ v[q]
+            scores = products(v, norm, v[q], floats)
             others = np.flatnonzero(uids != uids[q])
             at = others[best(scores[others], ids[others], uids[others], k)]
             found.append((uids[q], ids[q], uids[at], ids[at], scores[at]))
         return result(found)
 
-    seeded = materialise(index.select(*block, "id", "uid", "v").groupBy(*block).applyInArrow(seed, FOUND), "seeded")
+    seeded = materialise(index.select(*block, "id", "uid", "v", "norm").groupBy(*block).applyInArrow(seed, FOUND), "seeded")
     floor = seeded.groupBy("q_uid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE)).alias("floor"))
     queries = index.where(is_query).select(F.col("uid").alias("q_uid"), F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"), *(F.col(c).alias(f"own_{c}") for c in block))
     queries = queries.join(floor, "q_uid", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE)))
@@ -140,6 +164,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     blocks = index.groupBy(*block).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm").alias("most"))
     gap = F.greatest(F.col("low") - F.col("q_dist"), F.col("q_dist") - F.col("high"), F.lit(0.0))
     room = F.sqrt(F.greatest(F.col("q_norm") + F.col("most") - 2.0 * F.col("floor"), F.lit(0.0))) * (1 + SLACK) + SLACK
+    room = room + off * (F.sqrt("q_norm") + F.sqrt("most") + longest)
+    room = F.when(F.col("floor") == NONE, F.lit(float("inf"))).otherwise(room)
     own = (F.col("pivot") == F.col("own_pivot")) & (F.col("annulus") == F.col("own_annulus")) & (F.col("part") == F.col("own_part"))
     visits = apart.join(blocks, "pivot").where((gap <= room) & ~own).select("q_uid", *block, "q_dist")
     visits = visits.join(queries.select("q_uid", "query_id", "q", "q_norm", "floor"), "q_uid").withColumn("chunk", F.pmod(F.xxhash64("q_uid"), F.lit(chunks)).cast("int"))
@@ -151,15 +177,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             return result([])
         left = left.sort_by("dist")
         v, dist, ids, uids = matrix(left["v"], width), left["dist"].to_numpy(), left["id"].to_numpy(), left["uid"].to_numpy()
-        most = left["norm"].to_numpy().max()
+        norm, floats = left["norm"].to_numpy(), v.astype(np.float64)
+        most = norm.max()
         q = matrix(right["q"], width)
-        e, floors = right["q_dist"].to_numpy(), right["floor"].to_numpy().astype(np.float64)
-        far = reach(right["q_norm"].to_numpy(), most, floors)
+        e, floors, q_norm = right["q_dist"].to_numpy(), right["floor"].to_numpy(), right["q_norm"].to_numpy()
+        far = reach(q_norm, most, floors, off * (np.sqrt(q_norm) + np.sqrt(most) + longest))
         lows, highs = np.searchsorted(dist, e - far, "left"), np.searchsorted(dist, e + far, "right")
         found = []
         for i, (q_uid, query_id) in enumerate(zip(right["q_uid"].to_pylist(), right["query_id"].to_pylist())):
             a, b = lows[i], highs[i]
-            scores = v[a:b] @ q[i]
+            scores = products(v[a:b], norm[a:b], q[i], floats[a:b])
             ok = np.flatnonzero((scores >= floors[i]) & (uids[a:b] != q_uid))
             if len(ok):
                 at = ok[best(scores[ok], ids[a:b][ok], uids[a:b][ok], k)]
@@ -169,4 +196,5 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     more = stored.groupBy(*block, "chunk").cogroup(visits.groupBy(*block, "chunk")).applyInArrow(expand, FOUND)
     order = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
     ranked = seeded.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    score = F.when(F.abs("score") < MOST, F.col("score")).otherwise(F.raise_error(F.lit("a score doesn't fit a long: scale the vectors down")).cast("long"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))

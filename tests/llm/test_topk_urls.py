@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -40,6 +42,34 @@ def test_ties_copies_and_rows_that_take_no_part(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, 10, 50)
 
 
+def exact(rows, k, every):
+    v = [(i, [math.floor(float(np.float32(c)) * 1024) for c in x]) for i, x in rows]
+    out = []
+    for i, q in v:
+        if i % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in v if j != i)[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [2e4, 3e5, 4e5])
+def test_large_vectors_take_part_and_score_exactly(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=64) * (size if i % 2 else 1) * 0.7).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(400 + i, (np.array(rows[1][1]) + i).astype(np.float32).tolist()) for i in range(40)]
+    got = topk.top_k(spark.createDataFrame([(*r, 0) for r in rows], VECTORS), 5, 7).collect()
+    assert sorted(map(tuple, got)) == exact(rows, 5, 7)
+
+
+def test_products_beyond_each_arithmetic():
+    rng = np.random.default_rng(2)
+    for bits in (10, 24, 28, 40, 62):
+        v = rng.integers(-(1 << bits), 1 << bits, (20, 8))
+        want = [max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(x, v[3].tolist())))) for x in v.tolist()]
+        assert topk.products(v, np.square(v.astype(float)).sum(1), v[3]).tolist() == want
+
+
 PAGES = "page_id long, url string, html string"
 
 
