@@ -20,25 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the one set for checkpoints.
 
-    Only where it is unset, as in local tests, a temporary folder of this machine is set instead.
+    Only where neither is set and all runs on one machine, as in local tests, it is a temporary folder.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='rowloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, as objects of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: computed once, lineage cut.
 
-    The files survive the loss of any executor.  They stay until the shared folder is emptied.
+    The files survive the loss of any executor, and go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,9 +80,8 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = _folder(self.spark, self.path)
+        files.delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
