@@ -10,17 +10,20 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _quality() -> str:
-    values = " union all ".join(f"select lang, source, '{n}' as ratio, cast({a} * {scale} // {b} as bigint) as v from b where not base_failed" for n, a, b, scale, _, _ in quality.RATIOS)
-    limits = " union all ".join(f"select '{n}' as ratio, {str(low).lower()} as below, {least} as least" for n, _, _, _, low, least in quality.RATIOS)
-    inside = " and ".join(
-        f"cast({a} * {scale} // {b} as bigint) between {'q.' + n + '_low' if low else '-1'} and q.{n}_high" for n, a, b, scale, low, _ in quality.RATIOS
-    )
+    values = " union all ".join(f"select lang, source, '{n}' as ratio, cast({a} * {scale} // {b} as bigint) as v from b where not base_failed" for n, a, b, scale, *_ in quality.RATIOS)
+    steps = " union all ".join(f"select '{n}' as ratio, {str(low).lower()} as below, {least} as least" for n, _, _, _, low, _, least in quality.RATIOS)
+    ranks = ", ".join(f"({i}, {r})" for i, r in enumerate((quality.ORIGIN, *quality.RANKS)))
+    inside = " and ".join(f"greatest({a} - {e}, 0) * {scale} // {b} <= q.{n}_high" + (f" and ({a} + {e}) * {scale} // {b} >= q.{n}_low" if low else "") for n, a, b, scale, low, e, _ in quality.RATIOS)
     cells = ", ".join(f"max(case when ratio = '{n}' then low end) as {n}_low, max(case when ratio = '{n}' then high end) as {n}_high" for n, *_ in quality.RATIOS)
 
-    def quartile(name: str, keys: str) -> str:
-        on = f"partition by {keys}ratio" if keys else "partition by ratio"
-        return f"""{name} as (select {keys}ratio, max(docs) as docs, min(case when upto * 4 >= docs then floor_ end) as q1, min(case when upto * 4 >= docs * 3 then floor_ end) as q3
-        from (select *, sum(n) over ({on} order by bin) as upto, sum(n) over ({on}) as docs from (select {keys}ratio, bin, floor_, sum(n) as n from sketch group by {keys}ratio, bin, floor_) s) t group by {keys}ratio)"""
+    def fence(name: str, keys: str) -> str:
+        """By group and ratio, the first quantile that a leap follows, both ways from the other quartile."""
+        by = f"{keys}ratio"
+        return f"""{name}_s as (select {by}, docs, j, min(case when upto * 1000 >= docs * r then top end) as u, min(case when upto * 1000 >= docs * (1000 - r) then floor_ end) as d
+        from (select *, sum(n) over (partition by {by} order by bin) as upto, sum(n) over (partition by {by}) as docs from (select {by}, bin, floor_, top, sum(n) as n from sketch group by {by}, bin, floor_, top) s) t, (values {ranks}) x(j, r) group by {by}, docs, j),
+    {name}_l as (select *, lag(u) over o as bu, lag(d) over o as bd, first_value(u) over o as mu, first_value(d) over o as md from {name}_s window o as (partition by {by} order by j)),
+    {name} as (select {by}, docs, case when any_value(below) then coalesce(max(case when j > 1 and md - d > {quality.LEAP} * (md - bd) + least then bd end), min(d)) else -1 end as low,
+      coalesce(min(case when j > 1 and u - mu > {quality.LEAP} * (bu - mu) + least then bu end), max(u)) as high from {name}_l join st using (ratio) group by {by}, docs)"""
 
     return rf"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
     e as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from w),
@@ -39,13 +42,11 @@ def _quality() -> str:
     b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
     v as ({values}),
     k as (select lang, source, ratio, v, greatest(length(bin(v)) - 6, 0) as e from v),
-    sketch as (select lang, source, ratio, e * 32 + (v >> e) as bin, (v >> e) << e as floor_, count(*) as n from k group by all),
-    {quartile('qo', 'lang, source, ')}, {quartile('ql', 'lang, ')}, {quartile('qa', '')},
-    lim as ({limits}),
-    f as (select o.lang, o.source, o.ratio, case when o.docs >= {quality.MIN_DOCS} then o.q1 when l.docs >= {quality.MIN_DOCS} then l.q1 else a.q1 end as q1,
-      case when o.docs >= {quality.MIN_DOCS} then o.q3 when l.docs >= {quality.MIN_DOCS} then l.q3 else a.q3 end as q3
+    sketch as (select lang, source, ratio, e * 32 + (v >> e) as bin, (v >> e) << e as floor_, (((v >> e) + 1) << e) - 1 as top, count(*) as n from k group by all), st as ({steps}),
+    {fence('qo', 'lang, source, ')}, {fence('ql', 'lang, ')}, {fence('qa', '')},
+    h as (select o.lang, o.source, o.ratio, case when o.docs >= {quality.MIN_DOCS} then o.low when l.docs >= {quality.MIN_DOCS} then l.low else a.low end as low,
+      case when o.docs >= {quality.MIN_DOCS} then o.high when l.docs >= {quality.MIN_DOCS} then l.high else a.high end as high
       from qo o join ql l on l.ratio = o.ratio and l.lang is not distinct from o.lang join qa a on a.ratio = o.ratio),
-    h as (select f.*, case when below then q1 - greatest((q3 - q1) * {quality.REACH}, least) else -1 end as low, q3 + greatest((q3 - q1) * {quality.REACH}, least) as high from f join lim using (ratio)),
     q as (select lang, source, {cells} from h group by lang, source)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, case when base_failed then false else coalesce({inside}, false) end as kept
     from b left join q on q.lang is not distinct from b.lang and q.source is not distinct from b.source"""

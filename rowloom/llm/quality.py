@@ -1,10 +1,15 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each text gives counts; from them come four ratios.  The distribution of each ratio per (lang,
+Each text gives counts; from them come five ratios.  The distribution of each ratio per (lang,
 source) is summarised by a mergeable quantile sketch: counts of logarithmic bins, 32 to an octave,
 so that quantiles are within 1/32 of their value.  Sketches merge by adding counts, in any order,
 with the same outcome.  Small groups use the merged sketch of their language, then of everything.
-A document is rejected where a ratio lies beyond a fence set from the quartiles of its group.
+
+A group's fence is where its quantiles leave off growing steadily: from a quartile outwards, rank by rank, the
+distance from the other quartile may double, and grow by the ratio's resolution, from one rank to the next.  The last quantile before
+a longer leap is the fence, the last rank's if there is none.  So a group whose texts all repeat some lines
+allows them, and one where a few do nothing else rejects those.  A document is rejected where a ratio lies beyond
+its group's fence by more than a few events, as a short text's ratios are rough.
 """
 
 from __future__ import annotations
@@ -15,23 +20,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import filled, fresh, materialise, pieces, slices
+from rowloom.llm.common import filled, materialise, pieces, slices
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8  # words
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_echo_words")
-#: Ratio, its numerator, denominator and scale, whether it is fenced below too, and the least reach of the fence from a quartile.
+#: Ratio, its numerator, denominator and scale, whether it is fenced below too, the events by which a text may pass the fence
+#: (characters, symbols, lines, words: a line of 16 words twice, words), and the resolution: about what one event makes of a short text.
 RATIOS = (
-    ("word_length", "word_chars", "n_words", 100, True, 150),
-    ("symbols", "n_symbols", "word_chars", 1000, False, 20),
-    ("dup_lines", "n_dup_lines", "n_words", 1000, False, 40),
-    ("repeats", "n_repeat_words", "n_words", 1000, False, 300),
-    ("echoes", "n_echo_words", "n_words", 1000, False, 100),
+    ("word_length", "word_chars", "n_words", 100, True, 30, 35),
+    ("symbols", "n_symbols", "word_chars", 1000, False, 3, 4),
+    ("dup_lines", "n_dup_lines", "n_words", 1000, False, 2, 20),
+    ("repeats", "n_repeat_words", "n_words", 1000, False, 32, 80),
+    ("echoes", "n_echo_words", "n_words", 1000, False, 3, 20),
 )
-#: A nearer least reach, below the fixed rule's 300 per thousand, and the repeated words that are let pass at any ratio: a line of 16 words, twice.
-NEARER = {"repeats": 100}
-PASS = {"repeats": 32}
-REACH = 3  # quartile ranges from the nearer quartile to the fence
+RANKS = (750, 800, 850, 900, 925, 950, 970, 980, 990, 995)  # of 1000, from a quartile outwards
+ORIGIN = 250  # the rank of the other quartile
+LEAP = 2  # times the distance from there that the next rank's quantile may have
 MIN_DOCS = 50  # of a group that has thresholds of its own
 SALTS = 16  # parts of a hot group in the join with thresholds
 
@@ -102,11 +107,11 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", others: tu
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *others)) + "".join(f", {c} bigint" for c in COUNTS)
 
     def run(batches):
-        for part in slices(batches):
-            found = text_counts(filled(part))
+        for part in slices(batches, text):
+            found = text_counts(filled(part, text))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, *others)), *(pa.array(x, pa.int64()) for x in found)], [key, *others, *COUNTS])
 
-    return docs.select(key, *others, docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((key, *others, text))).mapInArrow(run, schema)
 
 
 def to_bin(v: Column) -> Column:
@@ -121,14 +126,19 @@ def bin_floor(b: Column) -> Column:
     return ((b - e * 32) * F.pow(F.lit(2.0), e)).cast("long")
 
 
-def ratio(a: str, b: str, scale: int) -> Column:
+def bin_top(b: Column) -> Column:
+    """The greatest value of a bin."""
+    return bin_floor(b + 1) - 1
+
+
+def ratio(a: str | Column, b: str, scale: int) -> Column:
     """In whole parts of 1 / scale; the denominator is only 0 where the fixed rules fail."""
-    return F.floor(F.col(a) * scale / F.greatest(F.col(b), F.lit(1))).cast("long")
+    return F.floor((F.col(a) if isinstance(a, str) else a) * scale / F.greatest(F.col(b), F.lit(1))).cast("long")
 
 
 def sketch(measured: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Bin counts per group and ratio, of the documents that pass the fixed rules."""
-    values = F.array(*(F.struct(F.lit(name).alias("ratio"), to_bin(ratio(a, b, scale)).alias("bin")) for name, a, b, scale, _, _ in RATIOS))
+    values = F.array(*(F.struct(F.lit(name).alias("ratio"), to_bin(ratio(a, b, scale)).alias("bin")) for name, a, b, scale, _, _, _ in RATIOS))
     return measured.where(~F.col("base_failed")).select(*groups, F.explode(values).alias("v")).groupBy(*groups, "v.ratio", "v.bin").agg(F.count("*").alias("n"))
 
 
@@ -136,40 +146,48 @@ def merge(sketches: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return sketches.groupBy(*groups, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+def fences(sketches: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """A row per group and ratio: ``docs``, and the fences ``low`` and ``high``."""
     by = Window.partitionBy(*groups, "ratio")
     ranked = sketches.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("docs", F.sum("n").over(by))
-    value = bin_floor(F.col("bin"))
-    return ranked.groupBy(*groups, "ratio").agg(F.max("docs").alias("docs"), F.min(F.when(F.col("upto") * 4 >= F.col("docs"), value)).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("docs") * 3, value)).alias("q3"))
+    at = lambda rank, value: F.min(F.when(F.col("upto") * 1000 >= F.col("docs") * rank, value(F.col("bin"))))
+    quantiles = [c for r in (ORIGIN, *RANKS) for c in (at(r, bin_top).alias(f"u{r}"), at(1000 - r, bin_floor).alias(f"d{r}"))]
+    found = ranked.groupBy(*groups, "ratio").agg(F.max("docs").alias("docs"), *quantiles)
+    step = F.create_map(*(F.lit(x) for name, *_, least in RATIOS for x in (name, least)))[F.col("ratio")]
+    below = F.col("ratio").isin(*(name for name, _, _, _, low, _, _ in RATIOS if low))
+
+    def fence(side: str, sign: int, nearer) -> Column:
+        away = lambda r: (F.col(f"{side}{r}") - F.col(f"{side}{ORIGIN}")) * sign
+        leaps = [F.when(away(r) > away(q) * LEAP + step, F.col(f"{side}{q}")) for q, r in zip(RANKS, RANKS[1:])]
+        return nearer(F.col(f"{side}{RANKS[-1]}"), *leaps)
 
+    low = F.when(below, fence("d", -1, F.greatest)).otherwise(F.lit(-1))
+    return found.select(*groups, "ratio", "docs", low.alias("low"), fence("u", 1, F.least).alias("high"))
 
-def thresholds(measured: DataFrame, groups: tuple[str, str] = ("lang", "source"), min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
+
+def thresholds(measured: DataFrame, groups: tuple[str, str] = ("lang", "source"), min_docs: int = MIN_DOCS) -> DataFrame:
     """A row per group: the fences of each ratio, from the group's own sketch or a merged one."""
-    own = sketch(measured, groups)
-    lang, rest = groups[:1], ()
-    joined = quartiles(own, groups).alias("o")
-    for name, some in (("l", lang), ("a", rest)):
-        up = quartiles(merge(own, some), some).select(*(F.col(c).alias(f"{name}_{c}") for c in (*some, "ratio", "docs", "q1", "q3")))
-        on = F.col("o.ratio") == F.col(f"{name}_ratio")
-        for c in some:
-            on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"{name}_{c}"))
-        joined = joined.join(up, on)
-    chosen = lambda q: F.when(F.col("o.docs") >= min_docs, F.col(f"o.{q}")).when(F.col("l_docs") >= min_docs, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    fences = joined.select(*(F.col(f"o.{c}").alias(c) for c in groups), F.col("o.ratio").alias("ratio"), chosen("q1").alias("q1"), chosen("q3").alias("q3"))
-    cells = []
-    for name, _, _, _, below, least in RATIOS:
-        room = F.greatest((F.col("q3") - F.col("q1")) * reach, F.lit(NEARER.get(name, least)))
-        pick = lambda x, name=name: F.max(F.when(F.col("ratio") == name, x))
-        cells += [pick(F.col("q1") - room if below else F.lit(-1)).alias(f"{name}_low"), pick(F.col("q3") + room).alias(f"{name}_high")]
-    return fences.groupBy(*groups).agg(*cells)
-
-
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), min_docs: int = MIN_DOCS, reach: int = REACH, also: tuple[str, ...] = ()) -> DataFrame:
+    lang, source = groups
+    own = sketch(measured, groups).select(F.lit(2).alias("level"), F.col(lang).alias("_l"), F.col(source).alias("_s"), "ratio", "bin", "n")
+    # sketches of a language and of everything are the sums of the groups' ones
+    wider = own.select(F.explode(F.array(F.lit(1), F.lit(0))).alias("level"), "_l", F.lit(None).cast(own.schema["_s"].dataType).alias("_s"), "ratio", "bin", "n")
+    wider = wider.withColumn("_l", F.when(F.col("level") == 1, F.col("_l")))
+    by = ("level", "_l", "_s")
+    found = fences(own.unionByName(merge(wider, by).select(own.columns)), by)
+    cells = [F.max(F.when(F.col("ratio") == name, F.col(side))).alias(f"{name}_{side}") for name, *_ in RATIOS for side in ("low", "high")]
+    limits = found.groupBy(*by).agg(F.max("docs").alias("docs"), F.struct(*cells).alias("fence")).alias("o")
+    up = lambda level, name: limits.where(F.col("level") == level).select(F.col("_l").alias(f"{name}_l"), F.col("docs").alias(f"{name}_docs"), F.col("fence").alias(f"{name}_fence"))
+    joined = limits.where("level = 2").join(up(1, "b"), F.col("o._l").eqNullSafe(F.col("b_l"))).join(up(0, "a"), F.lit(True))
+    chosen = F.when(F.col("o.docs") >= min_docs, F.col("o.fence")).when(F.col("b_docs") >= min_docs, F.col("b_fence")).otherwise(F.col("a_fence"))
+    return joined.select(F.col("o._l").alias(lang), F.col("o._s").alias(source), chosen.alias("fence")).select(lang, source, "fence.*")
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source"), min_docs: int = MIN_DOCS, also: tuple[str, ...] = ()) -> DataFrame:
     """Counts and verdict of every document: key, groups, columns ``also``, COUNTS, ``base_failed`` and ``kept``.
 
     A document fails the fixed rules with under 20 words, or with over 30 % of its words in windows
     of 8 words that it repeats.  Of the others, those are kept whose ratios lie within the fences of
-    their (lang, source); one short line that is repeated doesn't count.
+    their (lang, source), or beyond them by a few events.
 
     null text: no words, so ``base_failed``.  null lang or source: a group of its own.  Empty text:
     as null.  Ties at a fence are kept.  Repeated rows each count and each give a row.  Columns
@@ -177,22 +195,28 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", grou
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = materialise(measure(docs, key, text, (*groups, *also)).withColumn("base_failed", failed), "quality")
-    limits = thresholds(measured, groups, min_docs, reach).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    limits = materialise(thresholds(measured, groups, min_docs), "fences").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     limits = limits.select(*(F.col(c).alias(f"t_{c}") for c in limits.columns))
     on = F.col("salt") == F.col("t_salt")
     for c in groups:
         on = on & F.col(c).eqNullSafe(F.col(f"t_{c}"))
     salted = measured.withColumn("salt", F.pmod(F.hash(key, *COUNTS), F.lit(SALTS)))
     within = ~F.col("base_failed")
-    for name, a, b, scale, _, _ in RATIOS:
-        inside = ratio(a, b, scale).between(F.col(f"t_{name}_low"), F.col(f"t_{name}_high"))
-        within = within & (inside | (F.col(a) <= PASS[name]) if name in PASS else inside)
+    for name, a, b, scale, low, events, _ in RATIOS:
+        within = within & (ratio(F.greatest(F.col(a) - events, F.lit(0)), b, scale) <= F.col(f"t_{name}_high"))
+        if low:
+            within = within & (ratio(F.col(a) + events, b, scale) >= F.col(f"t_{name}_low"))
     return salted.join(limits, on, "left").select(key, *groups, *also, *COUNTS, "base_failed", F.coalesce(within, F.lit(False)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """The documents that are kept, with all their columns.  Nulls and repeats as in ``quality_rules``."""
-    own, digest = fresh(docs.columns, "_key"), fresh(docs.columns, "_digest")
-    marked = docs.select(key, *groups, text, F.xxhash64(text).alias(digest))
-    good = quality_rules(marked, key, text, groups, also=(digest,)).where("kept").select(F.col(key).alias(own), digest).distinct()
-    return docs.join(good, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(digest)), "left_semi")
+    """The documents that are kept, with all their columns.  Nulls and repeats as in ``quality_rules``.
+
+    The texts are written once beside their counts and stay dealt out as they are; only counts are shuffled.
+    """
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that can't clash
+    plain = docs.select(*(docs[c].alias(p) for c, p in place.items()))
+    named = (place[groups[0]], place[groups[1]])
+    also = tuple(p for c, p in place.items() if c not in (key, *groups))
+    good = quality_rules(plain, place[key], place[text], named, also=also).where("kept")
+    return good.select(*(F.col(p).alias(c) for c, p in place.items()))

@@ -73,10 +73,58 @@ def test_sketches_merge_in_any_order(spark, make_docs, words):
     assert sorted(parts.collect()) == sorted(quality.sketch(measured, ("lang",)).select(*parts.columns).collect())
 
 
+def fences(docs):
+    measured = quality.measure(docs).selectExpr("*", "n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed")
+    return {(r.lang, r.source): r.asDict() for r in quality.thresholds(measured).collect()}
+
+
 def test_small_groups_borrow_thresholds(make_docs, words):
     rows = [(i, words(60, i), "en", "big", 1) for i in range(80)] + [(100, words(60, 100), "en", "small", 1), (101, words(60, 101), "xx", "tiny", 1)]
-    limits = {(r.lang, r.source): (r.word_length_low, r.word_length_high) for r in quality.thresholds(quality.measure(make_docs(rows)).selectExpr("*", "false as base_failed")).collect()}
-    assert len(limits) == 3 and limits["en", "small"][1] - limits["en", "small"][0] >= 200
+    limits = fences(make_docs(rows))
+    assert len(limits) == 3
+    merged = fences(make_docs([(r[0], r[1], "en", "one", 1) for r in rows if r[2] == "en"]))["en", "one"]
+    assert {k: v for k, v in limits["en", "small"].items() if k != "source"} == {k: v for k, v in merged.items() if k != "source"}
+
+
+def noisy(words, i):
+    """A text with some of all that is counted, more of it with rising i."""
+    line = words(10, 1000 + i)
+    some = " ".join(w + "ing" + "#" * (k % 20 < 1 + i % 5) for k, w in enumerate(words(150, i).split()))
+    return "\n".join([some, *([line] * (2 + i % 2)), "so so " * (1 + i % 4)])
+
+
+def test_every_fence_follows_its_group(make_docs, words):
+    rows = [(i, words(200, i), "en", "plain", 1) for i in range(100)] + [(200 + i, noisy(words, i), "en", "noisy", 1) for i in range(100)]
+    limits = fences(make_docs(rows))
+    for name, *_ in quality.RATIOS:
+        assert limits["en", "noisy"][f"{name}_high"] > limits["en", "plain"][f"{name}_high"], name
+    verdict = {r.doc_id: r.kept for r in quality.quality_rules(make_docs(rows + [(400, noisy(words, 3), "en", "plain", 1)])).collect()}
+    assert all(v for i, v in verdict.items() if i < 400) and not verdict[400]
+
+
+def brute_fence(values, ranks, step, sign):
+    """The quantile before the first leap, by the definition, over exact values below 64."""
+    values = sorted(values)
+    at = lambda r: values[max(-(-r * len(values) // 1000), 1) - 1]
+    origin, *q = [at(r if sign > 0 else 1000 - r) for r in (quality.ORIGIN, *ranks)]
+    for last, new in zip(q, q[1:]):
+        if (new - origin) * sign > quality.LEAP * (last - origin) * sign + step:
+            return last
+    return q[-1]
+
+
+def test_fences_by_definition(spark):
+    import random
+
+    rng = random.Random(3)
+    groups = {f"s{k}": [min(int(rng.expovariate(0.2)) + (40 if rng.random() < k / 20 else 0), 63) for _ in range(60 + 17 * k)] for k in range(8)}
+    rows = [(g, "echoes", v, 1) for g, vs in groups.items() for v in vs] + [(g, "word_length", v, 1) for g, vs in groups.items() for v in vs]
+    made = spark.createDataFrame(rows, "source string, ratio string, bin long, one long").groupBy("source", "ratio", "bin").count().withColumnRenamed("count", "n")
+    steps = {name: least for name, *_, least in quality.RATIOS}
+    for r in quality.fences(made, ("source",)).collect():
+        assert r.docs == len(groups[r.source])
+        assert r.high == brute_fence(groups[r.source], quality.RANKS, steps[r.ratio], 1)
+        assert r.low == (brute_fence(groups[r.source], quality.RANKS, steps[r.ratio], -1) if r.ratio == "word_length" else -1)
 
 
 def test_repeats_alone_reject_below_the_fixed_rule(make_docs, words):
