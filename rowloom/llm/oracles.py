@@ -56,16 +56,18 @@ _TOP_K = """with v as (select vec_id, list_transform(embedding, lambda x: cast(f
     s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
     select query_id, cast(r as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) t where r <= 10"""
 
+#: Texts in hexadecimal, cut into pieces of 256 windows, so that no long string is read anew for each of its bytes.
 _REPEATS = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-    p as (select doc_id, h, unnest(range(0, len(h) // 2)) as i from d),
-    w as (select doc_id, i, case when i + 50 <= len(h) // 2 then substr(h, 2 * i + 1, 100) end as s, substr(h, 2 * i + 1, 2) as byte from p),
-    f as (select s, min(doc_id) as least from w where s is not null group by s),
-    m as (select w.doc_id, i, byte, case when f.least < w.doc_id then 1 else 0 end as hit from w left join f using (s)),
-    c as (select doc_id, i, byte, max(hit) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from m),
-    e as (select *, case when gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 then 1 else 0 end as start from c),
-    a as (select doc_id, sum(gone) as n_removed, sum(start) as n_spans, sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (gone = 0), ''))) as kept from e group by doc_id)
-    select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, coalesce(kept, sha256('')) as kept_sha256
-    from d left join a using (doc_id)"""
+    q as (select doc_id, o, substr(h, 2 * o + 1, 610) as h from (select doc_id, h, unnest(range(0, len(h) // 2, 256)) as o from d) x),
+    w as (select doc_id, o + j as i, md5_number_lower(substr(h, 2 * j + 1, 100)) as s from (select doc_id, o, h, unnest(range(0, least(len(h) // 2 - 49, 256))) as j from q) x),
+    f as (select s, min(doc_id) as least from w group by s having count(distinct doc_id) > 1),
+    m as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w join f using (s) where f.least < w.doc_id),
+    n as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as span from m),
+    r as (select doc_id, span, min(i) as a, max(i) + 50 as b from n group by doc_id, span),
+    g as (select doc_id, list(a order by a) as starts, list(b order by a) as ends from r group by doc_id),
+    e as (select d.doc_id, h, coalesce(starts, []) as starts, coalesce(ends, []) as ends from d left join g using (doc_id)),
+    k as (select *, array_to_string(list_transform(range(0, len(starts) + 1), lambda x: substr(h, cast(2 * coalesce(ends[x], 0) + 1 as bigint), cast(2 * (coalesce(starts[x + 1], len(h) // 2) - coalesce(ends[x], 0)) as bigint))), '') as kept from e)
+    select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(list_sum(ends) - list_sum(starts), 0) as bigint) as n_removed, cast(len(starts) as bigint) as n_spans, sha256(unhex(kept)) as kept_sha256 from k"""
 
 _JACCARD = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as ws from documents),
     s as (select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),

@@ -10,11 +10,13 @@ A string of ``length`` bytes is removed from a document if it also starts in a d
 3.  Documents with a shared anchor give the contexts of these anchors: the bytes of all windows that have
     it.  Contexts are gathered by anchor, and equal ones are kept once with their smallest id: the context of
     any larger id is marked whole.
-4.  Over the distinct contexts of anchors that have several stands a run-length index: the Burrows-Wheeler transform as
-    runs, with the suffix position sampled at each run's end, and the least id of each interval of suffixes
-    that share ``length`` bytes.  Contexts are streamed against it from right to left, a step for all at a
-    time, which gives the matching statistics; a match of ``length`` or more whose interval has a smaller
-    id than the document's own marks its bytes.
+4.  The distinct contexts of an anchor are ordered by id, and later ones streamed against a run-length index of
+    earlier ones: of each two neighbouring contexts, pairs, fours and so on the second half against the first, so that each
+    meets all before it.  The index is the Burrows-Wheeler transform as runs, with the suffix position sampled at both
+    ends of each run, and the least id of each interval of suffixes that share ``length`` bytes.  Streaming goes from right to
+    left, a byte of all contexts at a step: where the transform doesn't go on with the byte, the match moves to the nearer end of
+    a run that does, and the samples tell how much of it is left.  That gives the matching statistics; a match of
+    ``length`` or more whose interval has a smaller id than the document's own marks its bytes.
 """
 
 from __future__ import annotations
@@ -134,14 +136,16 @@ def unique_pairs(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class RunIndex:
-    """A run-length compressed Burrows-Wheeler transform with what the marking needs."""
+    """A run-length compressed Burrows-Wheeler transform with what matching statistics need."""
 
-    size: int
+    symbol: np.ndarray  # the texts: bytes + 1, with a 0 after each text
     first: np.ndarray  # of each symbol: how many smaller ones the text has
     run_key: np.ndarray  # of each run, ordered by symbol, then place: symbol * (size + 1) + start
     run_before: np.ndarray  # of each run: how often its symbol stands before it
     run_length: np.ndarray
-    run_end_sample: np.ndarray  # suffix position at each run's end
+    run_head: np.ndarray  # suffix position at each run's first place
+    run_end: np.ndarray  # and at its last
+    top: int  # the suffix at the first place of all
     class_start: np.ndarray  # of each interval of suffixes with ``length`` equal bytes
     class_least: np.ndarray  # least id there
 
@@ -197,21 +201,60 @@ class RunIndex:
         total = np.cumsum(lens) - lens
         counts = np.bincount(symbol, minlength=257)
         first = np.cumsum(counts) - counts
-        return cls(n, first, heads * (n + 1) + starts[by], total - first[heads], lens, order[starts + lengths - 1][by], class_start, class_least)
+        return cls(symbol, first, heads * (n + 1) + starts[by], total - first[heads], lens, order[starts][by], order[starts + lengths - 1][by], int(order[0]), class_start, class_least)
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, length: int) -> np.ndarray:
+        """How many bytes the suffixes at a and b have in common, ``most`` or ``length`` at most."""
+        n, out = len(self.symbol), np.minimum(most, length)
+        for at in range(0, length, 8):  # most differ soon
+            some = np.flatnonzero(out > at)
+            if not len(some):
+                break
+            step = np.arange(at, min(at + 8, length))
+            same = self.symbol[np.minimum(a[some][:, None] + step, n - 1)] == self.symbol[np.minimum(b[some][:, None] + step, n - 1)]
+            differ = ~same.all(1)
+            out[some[differ]] = np.minimum(out[some[differ]], at + same[differ].argmin(1))
+        return out
+
+    def statistics(self, grid: np.ndarray, live: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """After each step from the right, the length of each text's match that begins there, and a suffix of the index that has it.
 
-    def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        """How often each symbol stands in the transform before a place."""
-        key = symbol * (self.size + 1) + upto
-        run = np.searchsorted(self.run_key, key, "left") - 1
-        run = np.maximum(run, 0)
-        mine = self.run_key[run] // (self.size + 1) == symbol
-        inside = np.minimum(key - self.run_key[run], self.run_length[run])
-        return np.where(mine & (key > self.run_key[run]), self.run_before[run] + inside, 0)
+        ``grid`` has a step's symbols in each row, ``live`` how many texts go on so far.  A match is counted up to
+        ``length`` where it is cut, so it may be told shorter than it is, but not as under ``length`` if it isn't.
+        """
+        n, runs = len(self.symbol), len(self.run_key)
+        start, heads = self.run_key % (n + 1), self.run_key // (n + 1)
+        row, where, matched = (np.full(grid.shape[1], x, np.int64) for x in (0, self.top, 0))
+        for step in range(len(grid)):
+            m = int(live[step])
+            c, r = grid[step, :m], row[:m]
+            run = np.searchsorted(self.run_key, c * (n + 1) + r, "right") - 1
+            at = np.maximum(run, 0)
+            before = (run >= 0) & (heads[at] == c)  # a run of this byte that begins here or before
+            inside = before & (r < start[at] + self.run_length[at])
+            place = r - start[at]
+            cut = np.flatnonzero(~inside)
+            if len(cut):
+                low, high = at[cut], np.minimum(run[cut] + 1, runs - 1)
+                has_low, has_high = before[cut], (run[cut] + 1 < runs) & (heads[high] == c[cut])
+                here, held = where[cut], matched[cut]
+                left = np.where(has_low, self.common(here, self.run_end[low], np.where(has_low, held, 0), length), -1)
+                right = np.where(has_high, self.common(here, self.run_head[high], np.where(has_high, held, 0), length), -1)
+                up = right > left
+                at[cut] = np.where(up, high, low)
+                place[cut] = np.where(up, 0, self.run_length[low] - 1)
+                where[cut] = np.where(up, self.run_head[high], self.run_end[low])
+                matched[cut] = np.maximum(left, right)  # -1, and 0 after the byte, if the index doesn't have it
+            known = ~(~inside & (matched[:m] < 0))
+            row[:m] = np.where(known, self.first[c] + self.run_before[at] + place, 0)
+            where[:m] = np.where(known, where[:m] - 1, self.top)
+            matched[:m] += 1
+            yield step, matched[:m], row[:m]
 
     def least_ids(self, texts: list[bytes], length: int, none: int) -> list[np.ndarray]:
-        """For each text and each of its windows the least id of a text with that window; ``none`` if it has none.
+        """For each text and each of its windows the least id of an indexed text with that window; ``none`` if there is none.
 
-        The matching statistics of all texts are streamed together, a character of each at a step.
+        The matching statistics of all texts are streamed together, a byte of each at a step.
         """
         sizes = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-sizes, kind="stable")
@@ -220,23 +263,11 @@ class RunIndex:
         for k, i in enumerate(order.tolist()):
             grid[: sizes[i], k] = np.frombuffer(texts[i], np.uint8)[::-1].astype(np.int64) + 1
         live = np.searchsorted(-sizes[order], -np.arange(width), "left")  # texts longer than each step
-        low, high = np.zeros(len(texts), np.int64), np.full(len(texts), self.size, np.int64)
-        matched = np.zeros(len(texts), np.int64)
         out = np.full((max(width - length + 1, 0), len(texts)), none, np.int64)
-        for step in range(width):
-            m = int(live[step])
-            c = grid[step, :m]
-            lo = self.first[c] + self.rank(c, low[:m])
-            hi = self.first[c] + self.rank(c, high[:m])
-            lost = hi <= lo
-            if lost.any():  # the match ends here; the next starts at this character
-                lo = np.where(lost, self.first[c], lo)
-                hi = np.where(lost, np.append(self.first, self.size)[c + 1], hi)
-            matched[:m] = np.where(lost, hi > lo, matched[:m] + 1)
-            low[:m], high[:m] = lo, np.maximum(hi, lo)
+        for step, matched, row in self.statistics(grid, live, length):
             if step >= length - 1:
-                long = np.flatnonzero(matched[:m] >= length)
-                out[step - length + 1, long] = self.class_least[np.searchsorted(self.class_start, lo[long], "right") - 1]
+                long = np.flatnonzero(matched >= length)
+                out[step - length + 1, long] = self.class_least[np.searchsorted(self.class_start, row[long], "right") - 1]
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         for k, i in enumerate(order.tolist()):
             found[i] = out[: max(sizes[i] - length + 1, 0), k][::-1]
@@ -422,25 +453,41 @@ def may_share(h: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.A
 def partial_marks(h, ids, place, code, distinct: pa.Array, sizes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Contexts and window starts that a smaller id has too, for one context of each sort at each anchor.
 
-    Contexts are given in order of their anchors, those of an anchor together; they are indexed in parts.
+    Contexts are given in order of their anchors and ids.  Those of an anchor are numbered, and for each power of two
+    the ones whose number has that bit are streamed against those before them that differ in it first; many anchors
+    stand under one index.
     """
     new = np.concatenate([[True], h[1:] != h[:-1]])
-    part = (np.cumsum(sizes[code]) // INDEX_BYTES)[np.flatnonzero(new)][np.cumsum(new) - 1]
+    anchor = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    nth = np.arange(len(h)) - first[anchor]
+    last = (np.concatenate([first[1:], [len(h)]]) - first - 1)[anchor]  # greatest number of the anchor
     none = np.iinfo(np.int64).max
-    for _, at in parts(part, int(part[-1]) + 1):
-        own, local = np.unique(code[at], return_inverse=True)
-        texts = distinct.take(pa.array(own)).to_pylist()
-        least = np.full(len(own), none)
-        np.minimum.at(least, local, ids[at])
-        by_window = RunIndex.build(texts, least, length).least_ids(texts, length, none)
-        counts = np.array([len(x) for x in by_window], np.int64)
-        first = np.cumsum(counts) - counts
-        flat = np.concatenate(by_window)
-        n = counts[local]
-        row = np.repeat(np.arange(len(at)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hit = flat[first[local][row] + step] < ids[at][row]
-        yield at[row[hit]], (place[at][row] + step)[hit]
+    for bit in range(int(last.max()).bit_length()):
+        later = (nth >> bit) & 1 == 1
+        earlier = ~later & ((nth >> bit) + 1 << bit <= last)  # with a half beside them
+        some = np.flatnonzero(later | earlier)
+        # an index holds whole pairs of halves; more than its size only where one pair does
+        pair = np.concatenate([[0], np.cumsum((anchor[some][1:] != anchor[some][:-1]) | (nth[some][1:] >> bit + 1 != nth[some][:-1] >> bit + 1))])
+        fill = np.cumsum(sizes[code[some]])
+        part = (fill // INDEX_BYTES)[np.searchsorted(pair, pair)]
+        for _, at in parts(part, int(part[-1]) + 1):
+            at = some[at]
+            old, streamed = at[earlier[at]], at[later[at]]
+            own, local = np.unique(code[old], return_inverse=True)
+            least = np.full(len(own), none)
+            np.minimum.at(least, local, ids[old])
+            index = RunIndex.build(distinct.take(pa.array(own)).to_pylist(), least, length)
+            own, local = np.unique(code[streamed], return_inverse=True)
+            by_window = index.least_ids(distinct.take(pa.array(own)).to_pylist(), length, none)
+            counts = np.array([len(x) for x in by_window], np.int64)
+            begin = np.cumsum(counts) - counts
+            flat = np.concatenate(by_window)
+            n = counts[local]
+            row = np.repeat(np.arange(len(streamed)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            hit = flat[begin[local][row] + step] < ids[streamed][row]
+            yield streamed[row[hit]], (place[streamed][row] + step)[hit]
 
 
 def marked(length: int):
@@ -461,6 +508,7 @@ def marked(length: int):
             # an anchor's sorts are compared only where several may share a window
             rest = np.flatnonzero(~whole)
             rest = rest[may_share(h[rest], code[rest], ahead[rest], distinct, sizes, length)]
+            rest = rest[np.lexsort((ids[rest], h[rest]))]
             if len(rest):
                 for x, start in partial_marks(h[rest], ids[rest], place[rest], code[rest], distinct, sizes, length):
                     x = rest[x]

@@ -68,22 +68,48 @@ def test_texts_without_repeats(make_docs, words):
     assert left[9] == dict(rows)[9] and 11 not in left and left[50] is None and left[10] != dict(rows)[10] and 47 not in left and left[44] == "k" * 49
 
 
-@given(st.lists(st.binary(min_size=1, max_size=60).map(lambda b: bytes(97 + c % 3 for c in b)), min_size=1, max_size=8, unique=True))
-@settings(max_examples=60, deadline=None)
-def test_index_finds_least_ids(texts):
+TEXTS = st.lists(st.binary(min_size=1, max_size=60).map(lambda b: bytes(97 + c % 3 for c in b)), min_size=1, max_size=8, unique=True)
+
+
+@given(TEXTS, TEXTS)
+@settings(max_examples=80, deadline=None)
+def test_index_finds_least_ids_for_texts_of_its_own_and_others(texts, others):
     length = 9
     ids = np.arange(len(texts))[::-1] + 5
-    found = repeats.RunIndex.build(texts, ids, length).least_ids(texts, length, -1)
-    for t, got in zip(texts, found):
-        assert got.tolist() == [min(i for u, i in zip(texts, ids) if t[k : k + length] in u) for k in range(len(t) - length + 1)]
+    every = texts + others
+    found = repeats.RunIndex.build(texts, ids, length).least_ids(every, length, -1)
+    for t, got in zip(every, found):
+        assert got.tolist() == [min((i for u, i in zip(texts, ids) if t[k : k + length] in u), default=-1) for k in range(len(t) - length + 1)]
+
+
+@given(TEXTS, st.binary(min_size=1, max_size=80).map(lambda b: bytes(97 + c % 4 for c in b)))
+@settings(max_examples=80, deadline=None)
+def test_matching_statistics(texts, pattern):
+    length = 12
+    index = repeats.RunIndex.build([*texts, b"a" * len(pattern)], np.arange(len(texts) + 1), length)
+    grid = np.frombuffer(pattern, np.uint8)[::-1].astype(np.int64)[:, None] + 1
+    lost = 0
+    for step, matched, _ in index.statistics(grid, np.ones(len(pattern), np.int64), length):
+        rest = pattern[len(pattern) - 1 - step :]
+        longest = max(k for k in range(len(rest) + 1) if any(rest[:k] in t for t in [*texts, b"a" * len(pattern)]))
+        assert min(int(matched[0]), length) == min(longest, length)
+        lost += matched[0] <= step
+    assert lost or pattern in b"a" * len(pattern) or any(pattern in t for t in texts)
 
 
 def test_patterns_that_are_not_in_the_index():
     index = repeats.RunIndex.build([b"abcabcabcabd", b"bbbbbbbbbb"], np.array([3, 4]), 5)
     assert index.least_ids([b"zabcabz", b"bbbbbb", b"zzzzz"], 5, -1)[0].tolist() == [-1, 3, -1]
     assert index.least_ids([b"bbbbbb"], 5, -1)[0].tolist() == [4, 4]
-    # the transform is run-compressed: every run has its end sampled
-    assert len(index.run_key) == len(index.run_end_sample) < index.size
+    # the transform is run-compressed: every run has its ends sampled
+    assert len(index.run_key) == len(index.run_end) == len(index.run_head) < len(index.symbol)
+
+
+def test_a_match_is_shortened_from_the_right():
+    x, y, z = (bytes(random.Random(k).choices(range(97, 123), k=60)) for k in range(3))
+    index = repeats.RunIndex.build([b"Y" + x[:55], b"Z" + x[:49] + y], np.array([7, 3]), 50)
+    assert index.least_ids([b"Z" + x[:55]], 50, -1)[0].tolist() == [3] + [7] * 6
+    assert index.least_ids([z + x[:52] + z], 50, -1)[0].tolist() == [-1] * 60 + [7] * 3 + [-1] * 60
 
 
 def test_anchors_do_not_depend_on_segments(monkeypatch):
