@@ -1,9 +1,9 @@
 """Order-preserving packing of tokenised documents by dynamic programming.
 
 The documents of an input partition form one stream of ids in their order.  Windows are cut from it
-at document ends and sentence ends and, at a higher penalty, at every quarter of a window and at every
-``HARD_STEP`` ids of a stretch without natural ends.  The cuts minimise padding plus a penalty for each cut inside a
-document.  With f(j) the least cost of a stream cut at boundary j at position p(j),
+at document ends and sentence ends; only a stretch longer than a window without either may be cut
+elsewhere.  The cuts minimise padding plus a penalty for each cut inside a document.  With f(j) the least
+cost of a stream cut at boundary j at position p(j),
 
     f(j) = penalty(j) + min(  min over p(j)-p(i) <= size of  f(i) + size - (p(j) - p(i)),
                               min over powers of two L with a boundary at p(j) - L of  f(i) ).
@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 
 from rowloom.llm.common import filled, slices
 
-HARD_STEP = 128  # ids without a natural boundary after which a cut is allowed, or a sequence's size if that is less
+HARD_STEP = 128  # ids between cuts in a stretch without natural boundary that is longer than a sequence, or a sequence's size if that is less
 BLOCK = 1 << 18  # ids
-CUT_SENTENCE, CUT_HARD = 0.125, 4.0  # penalties in ids of padding, for a cut inside a document
+CUT_SENTENCE, CUT_HARD = 0.125, 256.0  # penalties in ids of padding, for a cut inside a document
 SPECIAL = "<|endoftext|>"
 
 
@@ -61,11 +61,12 @@ def encode(text: str, enc, special: int = 50256) -> list[int]:
 
 @functools.lru_cache(maxsize=2)
 def sentence_ends(ranks: str) -> np.ndarray:
-    """For each id whether it ends a sentence: its last character is '.', '!', '?' or a line feed."""
+    """For each id whether it ends a sentence: '.', '!', '?' or a line feed, and closing quotes or brackets after it."""
     enc = encoder(ranks)
     flags = np.zeros(max(enc.n_vocab, 50257) + 1, bool)
     for i in range(enc.n_vocab):
-        flags[i] = enc.decode_single_token_bytes(i)[-1:] in (b".", b"!", b"?", b"\n")
+        word = enc.decode_single_token_bytes(i)
+        flags[i] = word[-1:] == b"\n" or word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?")
     return flags
 
 
@@ -78,8 +79,8 @@ def boundaries(lengths: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.nda
     kind[0] = kind[total] = 2
     at = np.flatnonzero(kind)
     step = min(HARD_STEP, size)
-    more = [np.arange(at[g] + step, at[g + 1], step) for g in np.flatnonzero(np.diff(at) > step)]
-    at = np.union1d(at, np.concatenate([np.arange(0, total, max(size // 4, 1)), *more]))
+    more = [np.arange(at[g] + step, at[g + 1], step) for g in np.flatnonzero(np.diff(at) > size)]
+    at = np.union1d(at, np.concatenate(more)) if more else at
     return at, np.array([CUT_HARD, CUT_SENTENCE, 0.0])[kind[at]]
 
 
