@@ -2,13 +2,17 @@
 
 Each entity is replaced by the outcome of a keyed permutation of all strings of its type and format: a
 Feistel network over its characters, each within its own class (digits, hexadecimal digits, vowels
-and consonants by script and case).  So replacements keep length, punctuation, script, case and, for names, the last
-letter, which carries gender in many languages; names from the lexicon stay within their gender's list.
+and consonants by script and case, and for other letters those of the same script and block).  So replacements keep length,
+punctuation, script, case and, for names, the last letter, which carries gender in many languages; names from the
+lexicon stay within their gender's list, and other given names have a permutation for each gender that a title tells.
+The network stands between a step to the next string and its own inverse, so that no string is replaced by itself.
 A permutation maps different entities to different surrogates, and equal entities to equal ones in
 all documents, without a table of them.  Where a surrogate would break its type (a card number whose checksum
-changes, a name that falls into the lexicon), the permutation is applied again, which keeps it one to one.
-A word of a name has one surrogate wherever it stands in a name, and every other mention of a found name in its text is replaced too.
-``collisions`` checks a corpus's pairs, and each document's are checked as it is rewritten.
+changes, a name that falls into the lexicon), the permutation is applied again, which keeps it one to one; check digits
+of an account number are computed anew.  Every other mention of a found name in its text is replaced too.
+Distinctness is checked within each text as it is rewritten, and by ``checked`` over the corpus.
+
+Who has the key can undo all surrogates, so it comes from the caller.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowloom.llm.common import filled, slices
+from rowloom.llm.common import materialise, slices
 
-KEY = b"surrogates, round one"
 ROUNDS = 6
+ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())]))
 KINDS = ("email", "phone", "card", "ssn", "iban", "ipv6", "ip", "secret", "name")
 
 #: Honorifics by the gender they tell, and given names by gender.
@@ -56,7 +61,16 @@ CLASSES = (
 RANGES = ((0x4E00, 0x9FA5), (0x3041, 0x3094), (0x30A1, 0x30F4), (0xAC00, 0xD7A3), (0x05D0, 0x05EA), (0x0621, 0x063A), (0x0905, 0x0939))
 
 _ANY = "|".join(re.escape(h) for hs in HONORIFICS.values() for h in sorted(hs, key=len, reverse=True))
-_NAME = r"[^\W\d_][\w'’-]*"
+
+
+def marks() -> str:
+    """Combining marks, as a character class's ranges."""
+    at = [c for c in range(0x300, 0x3100) if unicodedata.category(chr(c))[0] == "M"]
+    ends = [i for i in range(len(at)) if i + 1 == len(at) or at[i + 1] != at[i] + 1]
+    return "".join(f"{chr(at[a])}-{chr(at[b])}" for a, b in zip([0, *(e + 1 for e in ends)], ends))
+
+
+_NAME = rf"[^\W\d_][\w'’{marks()}-]*"
 _COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
 _GAPS = r"(?:[ ./-]|[ -]?\(|\)[ -]?)?"  # between two digits of a phone number
 PHONES = (
@@ -93,7 +107,7 @@ _PART = re.compile(rf"{_INITIAL}|{_NAME}")
 _TAIL = re.compile(r"(?:['’][sS])?['’-]*$")  # a possessive's ending
 _CAPITALISED = re.compile(rf"(?<!\w)(?![a-z]){_NAME}")  # or of a script without case, which is_name tells
 _GAP = re.compile(r"\s+")
-_UNSPACED = re.compile(r"[\u4e00-\u9fa5\u3041-\u3094\u30a1-\u30f4\uac00-\ud7a3]{2,}")  # of scripts that don't part words
+_UNSPACED = re.compile(r"[\u0e01-\u0e4e\u4e00-\u9fa5\u3041-\u3094\u30a1-\u30f4\uac00-\ud7a3]{2,}")  # of scripts that don't part words
 
 
 def is_name(word: str) -> bool:
@@ -192,21 +206,40 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 title = m.group()[: a - m.start()].strip().rstrip(".")
                 gender = next((g for g, hs in HONORIFICS.items() if title in hs), "n")
             if add(a, b, kind, gender) and kind == "name":
-                names |= {w.lower(): gender for w in _PART.findall(text[a:b]) if len(w) > 1 and not w.endswith(".")}
+                words = [w.lower() for w in _PART.findall(text[a:b]) if len(w) > 1 and not w.endswith(".")]
+                names |= {w: names.get(w, "") for w in words}
+                if len(words) > 1 and gender != "n":
+                    names[words[0]] = names[words[0]] or gender  # a given name, by the first title that tells
     if names:
         for a, b, gender in mentions(text, names, taken):
             add(a, b, "name", gender)
-    return sorted(found)
+    # of each name the genders of its words, which are one through the text but for what its own title tells
+    return sorted((a, b, kind, genders(text[a:b], gender, names) if kind == "name" else gender) for a, b, kind, gender in found)
+
+
+def genders(name: str, titled: str, names: dict[str, str]) -> str:
+    """For each word of a name m or f if it is a given name of known gender, else -."""
+    words = re.findall(r"\S+", name)
+    out = [names.get(_TAIL.sub("", w).lower(), "") for w in words]
+    if len(words) > 1 and out[0] and titled in ("m", "f"):
+        out[0] = titled
+    return "".join(g or "-" for g in out)
 
 
 @functools.lru_cache(maxsize=1)
 def letters() -> dict[str, tuple[int, int, str]]:
     """Of each character: class, index in it, and the class's letters."""
-    out = {}
-    for k, chars in enumerate((*CLASSES, *("".join(map(chr, range(a, b + 1))) for a, b in RANGES))):
-        for i, c in enumerate(chars):
-            out[c] = (k, i, chars)
-    return out
+    classes = [*CLASSES, *("".join(map(chr, range(a, b + 1))) for a, b in RANGES)]
+    known = {c for chars in classes for c in chars}
+    more: dict[tuple, str] = {}  # letters of the same script and case in a block of 128
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if c in known or kind not in ("Ll", "Lo") or kind == "Ll" and not (len(c.upper()) == 1 and c.upper().lower() == c):
+            continue
+        place = (unicodedata.name(c, "").split(" ")[0], kind, code >> 7)
+        more[place] = more.get(place, "") + c
+    return {c: (k, i, chars) for k, chars in enumerate([*classes, *(chars for chars in more.values() if len(chars) > 1)]) for i, c in enumerate(chars)}
 
 
 def shifts(key: bytes, tweak: str, other: list[int], n: int) -> Iterator[int]:
@@ -219,16 +252,27 @@ def shifts(key: bytes, tweak: str, other: list[int], n: int) -> Iterator[int]:
         yield int.from_bytes(block[i % 8 * 8 : i % 8 * 8 + 8], "big")
 
 
-def permute(values: list[int], radix: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of all number strings of these radixes: each half is shifted by a function of the other."""
+def network(values: list[int], radix: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
+    """A keyed permutation of all number strings of these radixes, or its inverse: each half is shifted by a function of the other."""
     half = (len(values) + 1) // 2
     halves, limits = [values[:half], values[half:]], [radix[:half], radix[half:]]
-    for r in range(ROUNDS):
+    sign = -1 if back else 1
+    for r in sorted(range(ROUNDS), reverse=back):
         k = r % 2
-        halves[k] = [(v + s) % m for v, m, s in zip(halves[k], limits[k], shifts(key, f"{tweak}/{r}", halves[1 - k], len(halves[k])))]
+        halves[k] = [(v + sign * s) % m for v, m, s in zip(halves[k], limits[k], shifts(key, f"{tweak}/{r}", halves[1 - k], len(halves[k])))]
     return halves[0] + halves[1]
 
 
+def permute(values: list[int], radix: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of all number strings of these radixes that leaves none where it is, if there are two at least."""
+    out = network(values, radix, key, tweak)
+    for i, m in enumerate(radix):  # the next string, round and round
+        out[i] = (out[i] + 1) % m
+        if out[i]:
+            break
+    return network(out, radix, key, tweak, back=True)
+
+
 def permute_text(text: str, key: bytes, tweak: str, keep: Callable[[int, str], bool] = lambda i, c: False) -> str:
     """Each letter and digit within its class; case, other characters and those that ``keep`` names stay."""
     table = letters()
@@ -283,11 +327,12 @@ def cased(like: str, name: str) -> str:
     return name.upper() if like.isupper() and len(like) > 1 else name.lower() if like.islower() else name
 
 
-def new_name(word: str, key: bytes, tweak: str) -> str:
-    known = given_names()
-    gender = known.get(word.lower())
-    if gender:
-        return cased(word, lexicon(key, gender)[word.capitalize()])
+def new_name(word: str, key: bytes, gender: str = "-") -> str:
+    """For a word of a name; ``gender`` is m or f for a given name."""
+    known, tweak = given_names(), f"name{gender.strip('-')}"
+    listed = known.get(word.lower())
+    if listed:
+        return cased(word, lexicon(key, listed)[word.capitalize()])
     last = len(word) - 1 if len(word) > 3 else -1
     return walk(word, lambda w: permute_text(w, key, tweak, lambda i, c: i == last), lambda w: w.lower() not in known)
 
@@ -317,8 +362,20 @@ def new_ipv6(value: str, key: bytes) -> str:
     return text.upper() if value != value.lower() else text
 
 
-def surrogate(value: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
-    """The replacement of an entity."""
+def iban_check(country: str, rest: str) -> str:
+    """The two check digits of an account number."""
+    digits = "".join(str(int(c, 36)) for c in f"{rest}{country}00".upper())
+    return f"{98 - int(digits) % 97:02d}"
+
+
+def surrogate(value: str, kind: str, gender: str = "", *, key: bytes) -> str:
+    """The replacement of an entity, which is never the entity itself.  ``gender`` has a letter for each word of a name."""
+    new = _surrogate(value, kind, gender, key)
+    # what holds no letter or digit that can be changed
+    return new if new != value else f"{kind}-{hashlib.blake2b(value.encode(), key=key, digest_size=8).hexdigest()}"
+
+
+def _surrogate(value: str, kind: str, gender: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         head, _, top = domain.rpartition(".")
@@ -343,32 +400,39 @@ def surrogate(value: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
         return value[:fixed] + re.sub(r"\d", lambda _: next(new), value[fixed:])
     if kind == "iban":
         plain = value.replace(" ", "")
-        new = iter(permute_text(plain, key, "iban", lambda i, c: i < 2))
+        country, check, rest = plain[:2], plain[2:4], plain[4:]
+        if iban_check(country, rest) == check:
+            rest = permute_text(rest, key, f"iban{country}")
+            new = iter(country + iban_check(country, rest) + rest)
+        else:
+            step = lambda v: permute_text(v, key, "account", lambda i, c: i < 2)
+            new = iter(walk(plain, step, lambda v: iban_check(v[:2], v[4:]) != v[2:4]))
         return "".join(c if c == " " else next(new) for c in value)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         new = "".join("0123456789abcdef"[v] for v in permute([int(c, 16) for c in value], [16] * len(value), key, f"hex{len(value)}"))
         return new if value == value.lower() else new.upper()
     if kind == "name":
-        return re.sub(r"[^\s]+", lambda m: new_name(m.group(), key, "family"), value)
+        each = iter(gender)
+        return re.sub(r"\S+", lambda m: new_name(m.group(), key, next(each, "-")), value)
     return permute_text(value, key, kind)
 
 
-def replace(text: str, key: bytes = KEY, found: list[tuple[int, int, str, str]] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+def replace(text: str, key: bytes, found: list[tuple[int, int, str, str]] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and its entities as (kind, value, surrogate)."""
     out, done, pairs = [], 0, []
     back: dict[tuple[str, str], str] = {}
     for a, b, kind, gender in find(text) if found is None else found:
         value = text[a:b]
-        new = surrogate(value, kind, gender, key)
+        new = surrogate(value, kind, gender, key=key)
         while back.setdefault((kind, new), value).lower() != value.lower():  # taken by another entity
-            new = surrogate(new, kind, gender, key)
+            new = surrogate(new, kind, gender, key=key)
         pairs.append((kind, value, new))
         out += [text[done:a], new]
         done = b
     return "".join([*out, text[done:]]), pairs
 
 
-def replace_pii(docs: DataFrame, secret: bytes = KEY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents: key, ``text`` with surrogates, ``n_entities``, ``kinds`` (a comma-separated list), ``entities``.
 
     ``entities`` lists kind, value and surrogate of each occurrence; keep it apart from the texts.
@@ -380,7 +444,6 @@ def replace_pii(docs: DataFrame, secret: bytes = KEY, key: str = "doc_id", text:
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{text}` string, n_entities bigint, kinds string, entities array<struct<kind:string,value:string,surrogate:string>>"
-    entity = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches):
         for part in slices(batches):
@@ -396,7 +459,7 @@ def replace_pii(docs: DataFrame, secret: bytes = KEY, key: str = "doc_id", text:
                     pa.array(new, pa.string()),
                     pa.array([len(p) for p in pairs], pa.int64()),
                     pa.array([",".join(sorted({x[0] for x in p})) for p in pairs], pa.string()),
-                    pa.array([[dict(zip(("kind", "value", "surrogate"), x)) for x in p] for p in pairs], entity),
+                    pa.array([[dict(zip(("kind", "value", "surrogate"), x)) for x in p] for p in pairs], ENTITIES),
                 ],
                 [key, text, "n_entities", "kinds", "entities"],
             )
@@ -410,13 +473,31 @@ def collisions(replaced: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("values")).where("values > 1")
 
 
-def anonymise(docs: DataFrame, secret: bytes = KEY, text: str = "text") -> DataFrame:
-    """The documents, all columns as they are but ``text``, which has surrogates."""
+def checked(replaced: DataFrame) -> DataFrame:
+    """The outcome of ``replace_pii``, written once, after a check of all its surrogates; an error if two values share one."""
+    done = materialise(replaced, "surrogates")
+    clash = collisions(done).first()
+    if clash:
+        raise ValueError(f"{clash['values']} entities of kind {clash.kind} share a surrogate")
+    return done
+
+
+def anonymise(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:
+    """The documents, all columns as they are but ``text``, which has surrogates; they are checked over the corpus.
+
+    null and empty texts stay, very long ones are taken whole, repeated rows give a row each, and columns of any name are kept.
+    Empty table: empty result.
+    """
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that can't clash
     at = docs.columns.index(text)
+    plain = docs.select(*(docs[c].alias(p) for c, p in place.items()))
+    schema = T.StructType([*plain.schema.fields, *T.StructType.fromDDL("entities array<struct<kind:string,value:string,surrogate:string>>").fields])
 
     def run(batches):
-        for part in slices(batches, text):
-            new = [replace(t, secret)[0] if t else t for t in part.column(text).to_pylist()]
-            yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+        for part in slices(batches, place[text]):
+            done = [replace(t, secret) if t else (t, []) for t in part.column(at).to_pylist()]
+            columns = [*part.columns, pa.array([[dict(zip(("kind", "value", "surrogate"), x)) for x in pairs] for _, pairs in done], ENTITIES)]
+            columns[at] = pa.array([new for new, _ in done], part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "entities"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return checked(plain.mapInArrow(run, schema)).select(*(F.col(p).alias(c) for c, p in place.items()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key of surrogates, ``spark.rowloom.pii.key``; where none is set, one is drawn for this session.
+
+    Set it where surrogates of several runs are to agree.
+    """
+    key = spark.conf.get("spark.rowloom.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.rowloom.pii.key", key)
+    return hashlib.blake2b(key.encode()).digest()
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -31,7 +45,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "kinds")
+    return pii.checked(pii.replace_pii(table(spark, sf_dir, "documents"), pii_key(spark))).select("doc_id", "text", "n_entities", "kinds")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
