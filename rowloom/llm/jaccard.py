@@ -8,7 +8,8 @@
     the parity of the hashes that fall on it) differ in no more bits than linked sets can differ
     in.  A spanning forest of these candidates is kept, never all pairs; its components over
     all keys are coarse clusters.  A link lies within one cluster.  Clusters are split once more in the same
-    way, with sketches of a bit or two for each hash, which tell long texts apart as well.
+    way, with sketches of a bit or two for each hash, which tell long texts apart as well.  Of a key that very many classes have,
+    those may link only that share another key of prefixes longer by one, so they are compared by such pairs of keys.
 4.  Within a cluster the links are searched by T-occurrence with DivideSkip: a set's inverted lists
     are ordered by length, the short ones are merged, and the long ones, T - 1 at most, are
     probed by binary search for the candidates met so far.  A pair that reaches the needed overlap is checked
@@ -300,11 +301,11 @@ def frequent_keys(docs: DataFrame, text: str, width: int, percent: int, scratch:
 
 
 def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """``id``, ``n``, ``sig`` (digest of the set), ``sketch``, ``wide`` (sketch) and ``prefix`` of every document."""
+    """``id``, ``n``, ``sig`` (digest of the set), ``sketch``, ``wide`` (sketch) and ``prefix`` (keys in their order, and one more) of every document."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_keys(docs, text, width, percent, scratch))  # 800 KB at most
 
     def keys_of(s: np.ndarray) -> np.ndarray:
-        n = prefix_length(len(s), percent)
+        n = prefix_length(len(s), percent) + 1  # one more, for pairs of keys
         known = frequent.value
         late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
         return np.concatenate([s[~late][:n], s[late]])[:n]
@@ -401,13 +402,22 @@ def _jaccard_components(docs: DataFrame, width: int, percent: int, key: str, tex
     member = usable.select("id", "sig").join(classes, "sig").where("id <> rep").select("id", "rep")
     reps = usable.join(classes, "sig").where("id = rep").dropDuplicates(["id", "sig"])
 
-    keys = reps.select("id", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("least")).where("held > 1")
+    upto = F.least(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.size("prefix"))  # keys proper
+    keys = reps.select("id", F.explode(F.slice("prefix", F.lit(1), upto.cast("int"))).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     held = scratch.write(keys.join(shared.hint("shuffle_hash"), "key"), "held")
-    # a key of very many classes makes one cluster of them, which the next step splits
-    crowded = held.where((F.col("held") > key_block) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))
-    described = held.where(F.col("held") <= key_block).select("id", F.col("key").alias("task")).join(reps.select("id", "n", F.col("sketch").alias("data")), "id")
-    coarse = clustered(searched_groups(described, candidates(percent)).unionByName(crowded), scratch)
+    # a key of very many classes: two that link share another one of the longer prefixes, but for sets of which one shingle is enough
+    crowded = held.where(F.col("held") > key_block).select("id", "key").join(reps.select("id", "n", "prefix"), "id")
+    alone = F.when(F.col("n") * percent <= 100, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    second = F.concat(F.transform(F.filter("prefix", lambda x: x != F.col("key")), lambda x: F.xxhash64(F.least(x, F.col("key")), F.greatest(x, F.col("key")))), F.transform(alone, lambda x: F.xxhash64("key", x, F.lit("alone"))))
+    pairs = crowded.select("id", F.explode(second).alias("key")).distinct()
+    paired = pairs.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("least")).where("held > 1")
+    held_pairs = scratch.write(pairs.join(paired, "key"), "pairs")
+    # a pair of keys of very many classes makes one cluster of them, which the next step splits
+    joined = held_pairs.where((F.col("held") > key_block) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    tasks = held.where(F.col("held") <= key_block).select("id", F.col("key").alias("task")).unionByName(held_pairs.where(F.col("held") <= key_block).select("id", F.col("key").alias("task")))
+    described = tasks.join(reps.select("id", "n", F.col("sketch").alias("data")), "id")
+    coarse = clustered(searched_groups(described, candidates(percent)).unionByName(joined), scratch)
     wide = filled_clusters(coarse.withColumn("weight", F.lit(1.0 / key_block)), scratch).join(reps.select("id", "n", F.col("wide").alias("data")), "id")
     dealt, near = dealt_out(wide, percent, False, scratch)
     fine = clustered(searched_groups(dealt, candidates(percent)).unionByName(near), scratch)
@@ -430,13 +440,26 @@ def _jaccard_components(docs: DataFrame, width: int, percent: int, key: str, tex
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the least of their component, with all their columns.
+    """One document of each component, the one of least key, with all its columns.
 
-    Of repeated rows of a key one stays, the first by text.  Rows of null key stay all.  Texts without words are no
-    group, so they stay.
+    Of repeated rows of a key and text one stays.  Different texts of one key are documents of their own; a further one
+    counts as of a key beyond all.  Rows of null key stay all.  Texts without words are no group, so they stay.  Very long texts are taken
+    whole.  Empty table: empty result.  What goes is listed and joined, so that texts stay where they are while the list is short.
     """
-    kept, nth = fresh(docs.columns, "_kept"), fresh(docs.columns, "_nth")
-    found = jaccard_components(docs, width, percent, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias(kept)).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(found, F.col(key) == F.col(kept), "left_semi")
-    first = named.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(nth) == 1).drop(nth)
-    return first.unionByName(docs.where(F.col(key).isNull()))
+    node, nth, digest, gone = (fresh(docs.columns, c) for c in ("_node", "_nth", "_digest", "_gone"))
+    rows = docs.where(F.col(key).isNotNull())
+    several = materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias(gone)), "several")
+    if several.isEmpty():
+        named = docs.withColumn(node, F.col(key).cast("long"))
+    else:
+        again = rows.join(several, F.col(key) == F.col(gone), "left_semi").withColumn(digest, F.coalesce(F.md5(text), F.lit("")))
+        same = Window.partitionBy(key, digest).orderBy(*(F.xxhash64(c) for c in docs.columns))
+        again = again.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
+        again = again.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(digest)))
+        other = F.xxhash64(key, digest).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        again = again.withColumn(node, F.when(F.col(nth) == 1, F.col(key).cast("long")).otherwise(other)).drop(digest, nth)
+        once = docs.join(several, F.col(key) == F.col(gone), "left_anti").withColumn(node, F.col(key).cast("long"))
+        named = once.unionByName(again)
+    found = jaccard_components(named, width, percent, node, text)
+    far = materialise(found.where(F.col("component_id") != F.col(node)).select(F.col(node).alias(gone)).distinct(), "far")
+    return named.join(far, F.col(node) == F.col(gone), "left_anti").select(*docs.columns)

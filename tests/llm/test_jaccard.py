@@ -48,7 +48,7 @@ def near_copies(words):
     return rows
 
 
-@pytest.mark.parametrize("width, percent, block", [(3, 90, 8192), (3, 90, 2), (5, 80, 3)])
+@pytest.mark.parametrize("width, percent, block", [(3, 90, 8192), (3, 90, 2), (5, 80, 8192), (5, 80, 3), (1, 60, 4)])
 def test_equals_brute_force(make_docs, odd_rows, words, width, percent, block):
     rows = near_copies(words) + [(r[0], r[1]) for r in odd_rows]
     got = jaccard.jaccard_components(make_docs(rows, extra=True).repartition(3), width, percent, key_block=block, cluster_block=block).collect()
@@ -70,7 +70,22 @@ def test_one_of_each(make_docs, words, odd_rows):
     want = sorted(i for i, _, c in brute(list(dict(rows).items()), 3, 90) if i is not None and i == c)
     got = [r.doc_id for r in out.collect()]
     assert out.columns == docs.columns and got.count(None) == 2
-    assert sorted(i for i in got if i is not None and i not in (5, 6)) == [i for i in want if i not in (5, 6)] and got.count(5) == 1
+    assert sorted(i for i in got if i is not None and i not in (5, 6)) == [i for i in want if i not in (5, 6)] and got.count(5) == 1 and got.count(6) == 2
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(make_docs, words):
+    rows = [(1, words(60, 1)), (1, words(60, 2)), (1, words(60, 2)), (2, words(60, 2)), (3, words(60, 3)), (3, words(60, 4)), (4, words(60, 5))]
+    got = [(r.doc_id, r.text) for r in jaccard.one_of_each(make_docs(rows, extra=True)).collect()]
+    assert sorted(t for _, t in got) == sorted({t for _, t in rows}) and sorted(i for i, _ in got if i > 2) == [3, 3, 4]
+
+
+def test_hot_nodes(spark, monkeypatch):
+    from rowloom.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", 3)
+    links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 100) for i in range(1, 30)] + [(500 + i, 400) for i in range(9)], "a long, b long")
+    got = {r.node: r.root for r in components(links, "a", "b").collect()}
+    assert got == {i: 0 for i in (*range(1, 30), *range(101, 130))} | {500 + i: 400 for i in range(9)}
 
 
 def test_empty_table(make_docs):
