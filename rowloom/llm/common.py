@@ -79,10 +79,18 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def drop(self) -> None:
         at, files = _folder(self.spark, self.path)
         files.delete(at, True)
 
+    def drop_at_end(self) -> None:
+        """When the driver ends."""
+        at, files = _folder(self.spark, self.path)
+        files.deleteOnExit(at)
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each; a longer value stands alone.

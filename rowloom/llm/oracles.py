@@ -79,40 +79,35 @@ _JACCARD = rf"""with recursive w as (select doc_id, regexp_extract_all(translate
     select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from w left join n using (doc_id) join c using (doc_id)"""
 
 
-def _urls(rules: Sequence[tuple[str, str, str]] = urls.RULES, depth: int = urls.DEPTH) -> str:
+def _urls(rules: Sequence[tuple[str, str, str]] = urls.RULES, levels: int = 10) -> str:
+    """``levels`` bound the depth at which a node may have children enough for a wildcard, not that of paths."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     when = lambda pick: "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{pick(v, h, p)}'" for v, h, p in ordered) + " end"
-    names = [f"s{i}" for i in range(depth + 1)]
-    split = f"string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/')"
-    parts = ", ".join([*(f"coalesce({split}[{i + 1}], '') as s{i}" for i in range(depth)), f"coalesce(array_to_string({split}[{depth + 1}:], '/'), '') as s{depth}"])
-    levels, last = [f"t_0 as (select host, {', '.join(names)}, {', '.join(f's{i} as t{i}' for i in range(depth + 1))}, n, blocked, labelled from counted)"], "t_0"
-    for i in range(depth + 1):
-        parent = ", ".join(["host", *(f"t{j}" for j in range(i))])
-        kept = ", ".join(f"t{j}" for j in range(depth + 1) if j != i)
-        levels.append(
-            f"""w_{i} as (select {parent} from (select {parent}, t{i}, sum(n) as n from {last} group by {parent}, t{i}) x group by {parent} having count(*) >= {urls.MANY} and sum(n) <= count(*) * {urls.PER_CHILD}),
-            t_{i + 1} as (select {last}.host, {', '.join(names)}, {kept}, case when w_{i}.host is not null and t{i} <> '' then '*' else t{i} end as t{i}, n, blocked, labelled from {last} left join w_{i} using ({parent}))"""
-            if i
-            else f"""w_0 as (select host from (select host, t0, sum(n) as n from t_0 group by host, t0) x group by host having count(*) >= {urls.MANY} and sum(n) <= count(*) * {urls.PER_CHILD}),
-            t_1 as (select t_0.host, {', '.join(names)}, {kept}, case when w_0.host is not null and t0 <> '' then '*' else t0 end as t0, n, blocked, labelled from t_0 left join w_0 on w_0.host = t_0.host)"""
-        )
-        last = f"t_{i + 1}"
-    below = " || '/' || ".join(f"t{i}" for i in range(1, depth + 1))
-    pure = f"(sum(blocked) + {urls.PRIOR} * any_value(share)) / (sum(labelled) + {urls.PRIOR})"
-    leaf = ", ".join(f"t{i}" for i in range(1, depth + 1))
+    split = "string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/')"
+    alike = lambda b, n: f"({n} * ((b * {n} - {b} * l) * (b * {n} - {b} * l)) <= {urls.DIFFERENT} * (l * ({n} - l) * ({b} * ({n} - {b}))) or {b} = 0 or {b} = {n} or l = {n})"
+    steps = ["l0 as (select host, segs, segs as t, n, blocked, labelled from counted)"]
+    for i in range(levels):
+        up = f"t[1:{i}]"
+        steps += [
+            f"w{i} as (select host, {up} as p from l{i} where len(segs) > {i} group by host, {up} having count(distinct t[{i + 1}]) >= {urls.MANY} and sum(n) <= count(distinct t[{i + 1}]) * {urls.PER_CHILD})",
+            f"l{i + 1} as (select l.host, segs, case when w.host is not null and t[{i + 1}] <> '' then list_concat({up}, ['*'], t[{i + 2}:]) else t end as t, n, blocked, labelled from l{i} l left join w{i} w on w.host = l.host and w.p = l.{up} and len(segs) > {i})",
+        ]
     return f"""with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
     x as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from u),
-    y as (select page_id, host, path, {when(lambda v, h, p: h + p)} as rule, {when(lambda v, h, p: v)} as said, {parts} from x),
-    counted as (select host, {', '.join(names)}, count(*) as n, count(*) filter (said = 'block') as blocked, count(said) as labelled from y group by host, {', '.join(names)}),
-    sh as (select cast(sum(blocked) as double) / sum(n) as share from counted), {', '.join(levels)},
-    br as (select host, t0, sum(labelled) as labelled, {pure} as p from {last}, sh group by host, t0),
-    li as (select host, t0, count(*) as kinds, string_agg(below, chr(10) order by below) as digest from (select distinct host, t0, {below} as below from {last}) c group by host, t0),
-    me as (select br.host, br.t0, case when labelled > 0 then floor(p * {urls.BANDS}) else -1 end as band, kinds, digest from br join li using (host, t0)),
-    na as (select host, band, kinds, digest, min(t0) as branch from me group by all),
-    pl as (select l.*, branch from {last} l join me using (host, t0) join na using (host, band, kinds, digest)),
-    pu as (select host, branch, {leaf}, {pure} as purity from pl, sh group by host, branch, {leaf}),
-    ju as (select pl.host, {', '.join(names)}, purity from pl join pu using (host, branch, {leaf}))
-    select page_id, host, path, rule, coalesce(said, case when purity >= {urls.REJECT} then 'block' else 'allow' end) as verdict from y left join ju using (host, {', '.join(names)})"""
+    y as (select page_id, host, path, {when(lambda v, h, p: h + p)} as rule, {when(lambda v, h, p: v)} as said, {split} as segs from x),
+    counted as (select host, segs, count(*) as n, count(*) filter (said = 'block') as blocked, count(said) as labelled from y group by host, segs),
+    sh as (select cast(sum(blocked) as double) / sum(n) as share from counted), {', '.join(steps)},
+    st as (select host, segs, j, t[1:j] as node, t[1:j - 1] as up, t[j] as seg, blocked, labelled from (select *, unnest(range(1, len(t) + 1)) as j from l{levels}) z),
+    no as (select host, node, up, seg, cast(sum(blocked) as double) as b, cast(sum(labelled) as double) as l from st group by all),
+    po as (select *, sum(b) over (partition by host, up) as ab, sum(l) over (partition by host, up) as al from no),
+    si as (select *, case when l = 0 then '?' when {alike('ab', 'al')} then '~' when b * al > ab * l then '+' else '-' end as side from po),
+    ps as (select *, sum(b) over (partition by host, up, side) as sb, sum(l) over (partition by host, up, side) as sl from si),
+    br as (select host, node, case when side in ('?', '~') or {alike('sb', 'sl')} then side else '=' || seg end as branch from ps),
+    te as (select st.host, segs, string_agg(branch, '/' order by j) as template from st join br using (host, node) group by st.host, segs),
+    pl as (select c.*, template from counted c join te using (host, segs)),
+    pu as (select host, template, (sum(blocked) + {urls.PRIOR} * any_value(share)) / (sum(labelled) + {urls.PRIOR}) as purity from pl, sh group by host, template),
+    ju as (select host, segs, purity from pl join pu using (host, template))
+    select page_id, host, path, rule, coalesce(said, case when purity >= {urls.REJECT} then 'block' else 'allow' end) as verdict from y left join ju using (host, segs)"""
 
 
 ORACLE_SQL = {"op1_quality_rules": _quality(), "op6_top_k": _TOP_K, "op7_repeats": _REPEATS, "op9_jaccard_join": _JACCARD, "op10_url_filter": _urls()}

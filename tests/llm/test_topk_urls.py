@@ -124,4 +124,45 @@ def test_templates_learn_from_rules(spark):
 def test_many_children_become_a_wildcard(spark):
     rows = [(i, f"http://h.com/user/{'abcdefghijklmnopqrstuvwxyz'[i]}{'zyxwvu'[i % 6]}/home", "") for i in range(26)]
     got = urls.filter_urls(spark.createDataFrame(rows, PAGES), [])
-    assert {r.template for r in got.collect()} == {"user/*/home/"}
+    assert {r.template for r in got.collect()} == {"user/*/home"}
+
+
+def test_alike_branches_are_merged_at_every_level_and_others_are_not(spark):
+    """Two branches of other children share a template's labels; one of another purity, one without labels and a mixed one don't."""
+    paths = [f"/{top}/{a}/{leaf}/p" for top in ("t", "u") for a, leaves in (("a", "xy"), ("b", "xz"), ("c", "xw"), ("d", "xv")) for leaf in leaves]
+    rows = [(i, f"http://h.org{p}{'?'}{i}", "") for i, p in enumerate(paths * 8)]
+    rules = [(word, "h.org", f"/{top}/{a}/{leaf}") for top in ("t", "u") for word, a, leaf in (("block", "a", "x"), ("block", "b", "x"), ("allow", "c", "x"))]
+    judged = {r.path: r for r in urls.filter_urls(spark.createDataFrame(rows, PAGES), rules).collect()}
+    assert judged["/t/a/x/p"].purity == judged["/t/b/x/p"].purity == judged["/u/a/x/p"].purity > 0.8
+    assert judged["/t/c/x/p"].purity < 0.2 and judged["/t/d/x/p"].rule is None and judged["/t/d/x/p"].verdict == "allow"
+    # of what has no labels nothing is known
+    assert {judged[f"/t/{p}/p"].verdict for p in ("a/y", "b/z", "c/w", "d/v")} == {"allow"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_branches_by_definition(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    kids = [(f"n{i}", "p", f"s{i}", *(lambda n: (min(n, int(n * rng.choice([0, 0.1, 0.5, 1]) + 0.5)), n))(rng.choice([0, 3, 20, 60])), 1) for i in range(12)]
+
+    def like(b, n, all_b, all_n):
+        return all_b in (0, all_n) or n == all_n or all_n * (b * all_n - all_b * n) ** 2 <= urls.DIFFERENT * (n * (all_n - n) * all_b * (all_n - all_b))
+
+    everything = sum(k[3] for k in kids), sum(k[4] for k in kids)
+    side = {k[0]: "?" if not k[4] else "~" if like(k[3], k[4], *everything) else "+" if k[3] * everything[1] > everything[0] * k[4] else "-" for k in kids}
+    want = {}
+    for k in kids:
+        same = [o for o in kids if side[o[0]] == side[k[0]]]
+        sums = sum(o[3] for o in same), sum(o[4] for o in same)
+        want[k[0]] = side[k[0]] if side[k[0]] in "?~" or like(k[3], k[4], *sums) else f"={k[2]}"
+    made = spark.createDataFrame(kids, "node string, up string, seg string, b long, l long, size long")
+    assert {r.node: r.branch for r in urls.merged_branches(made, 12).collect()} == want
+
+
+def test_wildcards_at_any_depth_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(urls, "HOT", 5)
+    deep = "/a" * 6
+    rows = [(i, f"http://h.com{deep}/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'zyxw'[i // 26]}/home", "") for i in range(60)] + [(100 + i, "http://h.com/a/a/b", "") for i in range(30)]
+    got = urls.filter_urls(spark.createDataFrame(rows, PAGES), [("block", "h.com", "/a/a/a")]).collect()
+    assert len(got) == 90 and {r.template for r in got if r.page_id < 100} == {deep[1:] + "/*/home"} and {r.verdict for r in got if r.page_id >= 100} == {"allow"}
