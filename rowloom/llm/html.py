@@ -84,6 +84,8 @@ def parse(source: str) -> Page:
     """The block tree of a page and its blocks of text; unclosed and stray tags are put up with."""
     page = Page([Node("#root", -1, ["tag=#root"])])
     open_: list[tuple[str, int]] = [("#root", 0)]  # tag, node of it or of the block it stands in
+    places: dict[str, list[int]] = {}  # of each open tag, where it stands in ``open_``
+    blocks: list[int] = [0]  # where open tags of blocks stand
     run: list[str] = []
     links = 0
 
@@ -96,12 +98,26 @@ def parse(source: str) -> Page:
                 page.blocks.append((node, text))
                 page.nodes[node].chars += len(text)
 
+    def begin(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(open_))
+        if tag not in INLINE:
+            blocks.append(len(open_))
+        open_.append((tag, node))
+
     def close(upto: int) -> None:
         nonlocal links
-        if any(t not in INLINE for t, _ in open_[upto:]):
+        if blocks[-1] >= upto:
             flush()
-        links -= sum(t == "a" for t, _ in open_[upto:])
-        del open_[upto:]
+        while len(open_) > upto:
+            tag, _ = open_.pop()
+            places[tag].pop()
+            links -= tag == "a"
+        while blocks[-1] >= upto:
+            blocks.pop()
+
+    def last(tags: Iterable[str]) -> int:
+        """Where the innermost of some open tags stands, 0 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def text(part: str) -> None:
         run.append(part)
@@ -121,45 +137,36 @@ def parse(source: str) -> Page:
             continue
         tag, end = m.group(2).lower(), bool(m.group(1))
         if end:
-            if tag == "p" and not any(t == "p" for t, _ in open_):
+            found = last((tag,))
+            if tag == "p" and not found:
                 flush()
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and open_[i][0] not in INLINE:
-                    break
+            if found and (tag not in INLINE or blocks[-1] < found):
+                close(found)
             continue
         if tag == "br":
             run.append(" ")
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             if not m.group(3).rstrip().endswith("/") or tag not in ("svg", "math"):
+                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = stop.end() if stop else n
             if tag not in ("script", "style", "template", "svg", "math", "noscript"):
                 flush()
             continue
         if tag in INLINE:
             if tag not in VOID:
-                open_.append((tag, open_[-1][1]))
+                begin(tag, open_[-1][1])
                 links += tag == "a"
             continue
         if tag in CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == "p":
-                    close(i)
-                    break
-                if open_[i][0] in ("table", "td", "th", "button", "object"):
-                    break
+            found = last(("p",))
+            if found > last(("table", "td", "th", "button", "object")):
+                close(found)
         if tag in IMPLIED:
             ended, within = IMPLIED[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in ended:
-                    close(i)
-                    if tag != "tr" or open_[-1][0] not in ("tr", "td", "th"):
-                        break
-                elif open_[i][0] in within:
+            while last(ended) > last(within):
+                close(last(ended))
+                if tag != "tr" or open_[-1][0] not in ("tr", "td", "th"):
                     break
         flush()
         if tag in HEAD_ONLY and tag not in ("head", "html"):
@@ -175,7 +182,7 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         page.nodes.append(Node(tag, open_[-1][1], features))
-        open_.append((tag, len(page.nodes) - 1))
+        begin(tag, len(page.nodes) - 1)
     flush()
     return page
 
@@ -314,6 +321,7 @@ def generated_pages() -> Iterator[str]:
                 yield "<html><body>" + shell.format(inner) + "</body></html>" if k % 6 == 0 else "<html><body>" + bare[0] + some[0] + some[1] + shell.format(inner) + some[2] + some[3] + bare[1] + bare[2] + "</body></html>"
 
 
+MARKS_ARTICLE = "(?i)<(article|main)[ >]"
 MARKED = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
 
 
@@ -378,10 +386,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_colum
     bears on blocks; a page cut off keeps what it has.  Very long pages are taken whole.  Repeated rows give a row
     each; null keys and urls are kept.  Other columns aren't read.  Empty table: empty result.
     """
-    some = pages.where(F.col(html_column).rlike("(?i)<(article|main)[ >]") & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(html_column).alias("h"))
+    some = pages.where(F.col(html_column).rlike(MARKS_ARTICLE) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(html_column).alias("h"))
     # keys first, so that a task sends a few numbers and not a few pages to the driver
     keys = [r.k for r in some.select("k").orderBy(F.xxhash64("k"), "k").limit(sample).collect()]
-    model = train(r.h for r in some.where(F.col("k").isin(keys)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect())
+    chosen = pages.where(F.col(key).isin(keys)).where(F.col(html_column).rlike(MARKS_ARTICLE)).select(F.col(key).alias("k"), F.col(html_column).alias("h"))
+    model = train(r.h for r in chosen.groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect())
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
 
     def run(batches):

@@ -80,3 +80,18 @@ def test_table(spark):
     assert len(got) == 5 and [r.text for r in got if r.page_id == 1] == [TEXT, TEXT] and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got}[2] == "" and {r.page_id: r.text for r in got}[3].count("\n\n") == 19_999
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p><b>", "</section>", "<ul><li>", "<table><tr><td>", "<svg/>", "<span></div>", "<a href='", "<em></b>"])
+def test_parsing_takes_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            html.parse("<div>" * 50 + piece * n)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(16_000) < 12 * seconds(4_000) + 0.05
