@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.operators.order import OBS
+from rowloom.operators.order import OBS, ONE_TASK, _range_of
 
 EPS = 1e-5
 
@@ -39,31 +39,45 @@ def unsqueeze(x: Column | str, dims: int, ndims: int = 1) -> Column:
     return F.transform(x, lambda e: unsqueeze(e, dims, ndims - 1) if ndims > 1 else F.array(e))
 
 
-def stack(*xs: Column | str, dims: int = 2) -> Column:
-    """Arrays of equal length as one; ``dims=2`` sets them side by side, ``dims=1`` zips their elements."""
+def stack(*xs: Column | str, dims: int = 2, ndims: int = 1) -> Column:
+    """Arrays of ``ndims`` dimensions and equal sizes as one: a new dimension at place ``dims``, counted from the innermost.
+
+    For plain arrays ``dims=2`` sets them side by side, ``dims=1`` zips their elements.
+    """
+    if not 1 <= dims <= ndims + 1:
+        raise ValueError(f"dims must be between 1 and {ndims + 1}")
     columns = [_col(x) for x in xs]
-    if dims == 2:
+    if dims == ndims + 1:
         return F.array(*columns)
-    if dims == 1:
-        zipped = F.arrays_zip(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
-        return F.transform(zipped, lambda e: F.array(*(e[f"c{i}"] for i in range(len(columns)))))
-    raise ValueError("dims must be 1 or 2")
+    zipped = F.arrays_zip(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
+    return F.transform(zipped, lambda e: stack(*(e[f"c{i}"] for i in range(len(columns))), dims=dims, ndims=ndims - 1))
+
+
+def unstack(data: DataFrame, column: str, dims: int = 2, ndims: int = 2) -> DataFrame:
+    """A row per slice along dimension ``dims``, counted from the innermost, of an array of ``ndims`` dimensions, numbered in ``_pos`` from 1."""
+    if not 1 <= dims <= ndims:
+        raise ValueError(f"dims must be between 1 and {ndims}")
 
+    def slice_at(x: Column, i: Column, depth: int) -> Column:
+        return F.get(x, i) if depth == 0 else F.transform(x, lambda inner: slice_at(inner, i, depth - 1))
 
-def unstack(data: DataFrame, column: str, dims: int = 2) -> DataFrame:
-    """A row per slice of an array of arrays, numbered in ``_pos`` from 1; ``dims=1`` slices the inner arrays."""
     x = F.col(column)
-    if dims == 1:
-        x = F.transform(F.sequence(F.lit(0), F.size(x[0]) - 1), lambda i: F.transform(F.col(column), lambda inner: F.get(inner, i)))
-    elif dims != 2:
-        raise ValueError("dims must be 1 or 2")
+    if dims < ndims:
+        first = x
+        for _ in range(ndims - dims):
+            first = F.get(first, F.lit(0))
+        x = F.transform(F.sequence(F.lit(1), F.size(first)), lambda i: slice_at(F.col(column), i - 1, ndims - dims))
+        x = F.when(F.size(first) > 0, x)
     others = [c for c in data.columns if c != column]
     return data.select(*others, F.posexplode(x).alias("_p", column)).select(*others, (F.col("_p") + 1).cast("long").alias("_pos"), column)
 
 
-def flatten(x: Column | str) -> Column:
-    """All dimensions but the rows as one."""
-    return F.flatten(_col(x))
+def flatten(x: Column | str, ndims: int = 2) -> Column:
+    """An array of ``ndims`` dimensions as one of a single dimension: with the rows, all dimensions but the rows as one."""
+    out = _col(x)
+    for _ in range(ndims - 1):
+        out = F.flatten(out)
+    return out
 
 
 def rpad_constant(x: Column | str, n: int, val: object = 0, kind: str = "double") -> Column:
@@ -232,27 +246,33 @@ def searchsortedlast(xp: Column, x: Column | str, rev: bool = False) -> Column:
     return F.size(F.filter(xp, lambda e: _no_more(x, e) if rev else _no_more(e, x)))
 
 
-def searchsorted_rows(data: DataFrame, column: str, bounds: DataFrame, bound: str, key: str, name: str = "_first") -> DataFrame:
-    """``searchsortedfirst`` of each row in a long column of bounds: 1 + how many bounds lie below.
+def searchsorted_rows(data: DataFrame, column: str, bounds: DataFrame, bound: str, name: str = "_first") -> DataFrame:
+    """``searchsortedfirst`` of each row in a long column of bounds: 1 + how many bounds lie below, null and NaN ones left out.
 
-    Values and bounds are sorted together within ranges of values, and each range adds the bounds of those
-    before it, so bounds needn't fit in an array.
+    Different values and bounds are sorted together within ranges, each adds the bounds of those before it, and rows
+    take their value's place: bounds needn't fit in an array, and a value of very many rows is one to sort.
+    A null or NaN value has no bound below.
     """
-    both = bounds.select(F.col(bound).alias("_x"), F.lit(1).alias("_b"), F.lit(None).cast(data.schema[key].dataType).alias(key)).unionByName(data.select(F.col(column).alias("_x"), F.lit(0).alias("_b"), key))
-    low, high = bounds.agg(F.min(bound), F.max(bound)).first()
-    if low is None:
-        return data.withColumn(name, F.lit(1).cast("long"))
-    ranges = 256
-    width = (high - low) / ranges or 1.0
-    both = both.withColumn("_r", F.least(F.greatest(F.floor((F.col("_x") - F.lit(low)) / F.lit(width)), F.lit(-1)), F.lit(ranges)).cast("int"))
-    per = {r["_r"]: r["n"] for r in both.where("_b = 1").groupBy("_r").agg(F.count("*").alias("n")).collect()}  # ranges + 2 rows
+    def real(df: DataFrame) -> Column:
+        floating = isinstance(df.schema["_x"].dataType, (T.FloatType, T.DoubleType))
+        return F.col("_x").isNotNull() & ~F.isnan("_x") if floating else F.col("_x").isNotNull()
+
+    some, values = bounds.select(F.col(bound).alias("_x")), data.select(F.col(column).alias("_x"))
+    some = some.where(real(some)).groupBy("_x").agg(F.count("*").alias("_b"))
+    values = values.where(real(values)).distinct().withColumn("_b", F.lit(0).cast("long"))
+    both = some.unionByName(values).groupBy("_x").agg(F.sum("_b").alias("_b"))
+    n = both.count()
+    part, _ = _range_of(both, [F.col("_x")], n, False) if n > ONE_TASK else (F.lit(0), 1)
+    both = both.withColumn("_r", part)
+    per = {r["_r"]: r["n"] for r in both.groupBy("_r").agg(F.sum("_b").alias("n")).collect()}  # MOST_RANGES rows at most
     before, offsets = 0, []
-    for r in range(-1, ranges + 1):
+    for r in range(max(per, default=0) + 1):
         offsets.append(before)
         before += per.get(r, 0)
-    order = Window.partitionBy("_r").orderBy("_x", "_b").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn(name, F.sum("_b").over(order) + F.element_at(F.array(*map(F.lit, offsets)), F.col("_r") + 2) + 1)
-    return data.join(counted.where("_b = 0").select(key, F.col(name).cast("long").alias(name)), key)
+    order = Window.partitionBy("_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.get(F.from_json(F.lit(str(offsets)), "array<bigint>"), F.col("_r"))
+    found = both.select("_x", (F.coalesce(F.sum("_b").over(order), F.lit(0)) + offset + 1).alias("_place"))
+    return data.join(found, F.col(column) == F.col("_x"), "left").withColumn(name, F.coalesce("_place", F.lit(1).cast("long"))).drop("_x", "_place")
 
 
 def topk(x: Column | str, k: int, rev: bool = True) -> Column:

@@ -98,11 +98,11 @@ class DataLoader:
     """Epochs of mini-batches; with ``shuffle`` each epoch has a permutation of its own, the same for the same seed.
 
     ``table(epoch)`` is the distributed form: a table with a batch number.  Iteration streams the rows of an epoch to
-    the driver, partition by partition, and yields lists of rows, or what ``collate`` makes of one.  A batchsize of
-    0 or less yields rows.
+    the driver, partition by partition.  ``collate``: None or False yields a batch as a list of rows, True as a dict
+    of lists, one for each column, and a function what it makes of the list of rows.  A batchsize of 0 or less yields rows.
     """
 
-    def __init__(self, data: DataFrame, order_by: Key, batchsize: int = 1, shuffle: bool = False, partial: bool = True, collate: Callable[[list[Row]], object] | None = None, seed: int = 0) -> None:
+    def __init__(self, data: DataFrame, order_by: Key, batchsize: int = 1, shuffle: bool = False, partial: bool = True, collate: bool | Callable[[list[Row]], object] | None = None, seed: int = 0) -> None:
         self.data, self.order_by, self.batchsize, self.shuffle, self.partial, self.collate, self.seed = data, order_by, batchsize, shuffle, partial, collate, seed
         self.epoch = 0
         self._then: list[Callable] = []
@@ -118,9 +118,11 @@ class DataLoader:
         return batched(numbered, self.batchsize, self.partial) if self.batchsize > 0 else numbered
 
     def map(self, f: Callable) -> DataLoader:
-        """A loader whose batches go through ``f`` after collation."""
+        """A loader whose batches go through ``f`` after collation, which must be set."""
         if self.batchsize <= 0:
             raise ValueError("batchsize must be 1 at least to map over batches")
+        if self.collate is None:
+            raise ValueError("set collate to True, False or a function to map over batches")
         new = DataLoader(self.data, self.order_by, self.batchsize, self.shuffle, self.partial, self.collate, self.seed)
         new._then = [*self._then, f]
         return new
@@ -143,7 +145,11 @@ class DataLoader:
             yield self._made(rows)
 
     def _made(self, rows: list[Row]) -> object:
-        out: object = self.collate(rows) if self.collate else rows
+        out: object = rows
+        if callable(self.collate):
+            out = self.collate(rows)
+        elif self.collate:
+            out = {c: [r[c] for r in rows] for c in self.data.columns}
         for f in self._then:
             out = f(out)
         return out

@@ -19,6 +19,7 @@ ONE_TASK = 250_000
 ROWS_PER_RANGE = 1_000_000
 MOST_RANGES = 4096
 SAMPLE = 20_000
+STEP = 64  # bounds between two that a row is compared with first
 
 Key = str | Sequence[str]
 
@@ -37,19 +38,27 @@ def seeded_key(key: Key, seed: int, epoch: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *(F.col(c).cast("string") for c in names(key))))
 
 
-def _range_of(df: DataFrame, column: Column, kind: T.DataType, n: int, hexadecimal: bool) -> tuple[Column, int]:
-    """The number of a row's range of the order, and how many ranges there are."""
+def _range_of(df: DataFrame, columns: Sequence[Column], n: int, hexadecimal: bool) -> tuple[Column, int]:
+    """The number of a row's range of the order by all ``columns``, and how many ranges there are.
+
+    Bounds are quantiles of a sample, one constant of the plan; a row is compared with every 64th of them and then with
+    those between two.
+    """
     ranges = min(MOST_RANGES, n // ROWS_PER_RANGE + 2)
     if hexadecimal:  # the first digits of a digest are uniform
         ranges = 1 << (ranges - 1).bit_length()
-        return (F.conv(F.substring(column, 1, 3), 16, 10).cast("int") * ranges / 4096).cast("int"), ranges
-    fraction = min(1.0, 2.0 * SAMPLE / max(n, 1))
-    sample = sorted(r[0] for r in df.select(column.alias("k")).sample(fraction, seed=1).where("k is not null").limit(SAMPLE).collect())
-    bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+        return (F.conv(F.substring(columns[0], 1, 3), 16, 10).cast("int") * ranges / 4096).cast("int"), ranges
+    place = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)))
+    sample = df.select(place.alias("k")).sample(min(1.0, SAMPLE / max(n, 1)), seed=1)
+    found = [r.j for r in sample.orderBy("k").select(F.to_json("k").alias("j")).collect()]
+    bounds = list(dict.fromkeys(found[len(found) * i // ranges] for i in range(1, ranges))) if found else []
     if not bounds:
         return F.lit(0), 1
-    below = F.filter(F.array(*(F.lit(b).cast(kind) for b in bounds)), lambda b: b < column)
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.size(below)), len(bounds) + 1
+    kind = T.ArrayType(df.select(place.alias("k")).schema["k"].dataType)
+    constant = lambda some: F.from_json(F.lit(f"[{','.join(some)}]"), kind)
+    below = lambda bs: F.size(F.filter(bs, lambda b: b < place))
+    coarse = below(constant(bounds[STEP - 1 :: STEP])) * STEP if len(bounds) >= STEP else F.lit(0)
+    return coarse + below(F.slice(constant(bounds), coarse + 1, STEP)), len(bounds) + 1
 
 
 def with_obs(df: DataFrame, order_by: Key, seed: int | None = None, epoch: int = 0, name: str = OBS, one_task: int = ONE_TASK) -> DataFrame:
@@ -66,15 +75,14 @@ def with_obs(df: DataFrame, order_by: Key, seed: int | None = None, epoch: int =
     if n <= one_task:
         out = df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long"))
         return out.drop("_shuffle") if seed is not None else out
-    first = "_shuffle" if seed is not None else names(order_by)[0]
-    part, _ = _range_of(df, F.col(first), df.schema[first].dataType, n, seed is not None)
+    part, _ = _range_of(df, keys, n, seed is not None)
     df = df.withColumn("_range", part)
     counts = {r["_range"]: r["count"] for r in df.groupBy("_range").count().collect()}  # MOST_RANGES rows at most
     offsets, total = [], 0
     for r in range(max(counts, default=0) + 1):
         offsets.append(total)
         total += counts.get(r, 0)
-    offset = F.element_at(F.array(*map(F.lit, offsets)), F.col("_range") + 1).cast("long")
+    offset = F.get(F.from_json(F.lit(str(offsets)), "array<bigint>"), F.col("_range"))
     numbered = df.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*keys)).cast("long") + offset)
     return numbered.drop("_range", "_shuffle") if seed is not None else numbered.drop("_range")
 
@@ -93,8 +101,7 @@ def ranked_within(data: DataFrame, group: str, order_by: Key | None = None, seed
     n = data.count()
     if n <= one_task:
         return data.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("long")).drop("_order")
-    first = "_order" if seed is not None else names(by)[0]
-    part, _ = _range_of(data, F.col(first), data.schema[first].dataType, n, seed is not None)
+    part, _ = _range_of(data, keys, n, seed is not None)
     data = data.withColumn("_range", part)
     counts = data.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_c"))  # a row per group and range
     before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,8 +147,7 @@ def obsview(data: DataFrame, indices: int | range | Sequence[int] | None = None)
         indices = [indices]
     if isinstance(indices, range) and len(indices) and indices.step > 0:
         low, high, step = indices[0], indices[-1], indices.step
-        if low < 1:
-            raise IndexError(f"observation {low} is outside 1..n")
+        _check([low, high], data.count())
         inside = F.col(OBS).between(low, high)
         if step > 1:
             inside = inside & ((F.col(OBS) - low) % step == 0)
@@ -154,17 +160,17 @@ def obsdim(data: DataFrame, column: str, level: int = 1, key: Key | None = None,
     """Observations along an inner dimension of an array column.
 
     ``level`` 1 is the outermost level of the array: observation i holds, in the rows' order, every row's
-    i-th element.  Level 2 takes the i-th element of each inner array.  With ``rows`` an observation's elements stay
+    i-th element.  Level 2 takes the i-th element of each inner array, and so on inwards.  With ``rows`` an observation's elements stay
     rows of their own, with the key of the row they come from: for tables whose rows don't fit in an array.
     """
+    if level < 1:
+        raise ValueError("level must be 1 at least")
     order = names(key) if key is not None else [OBS]
-    if level == 1:
-        pos = data.select(*order, F.posexplode(column).alias("_p", "_v"))
-    elif level == 2:
-        pos = data.select(*order, F.posexplode(column).alias("_o", "_inner")).select(*order, "_o", F.posexplode("_inner").alias("_p", "_v"))
-        order = [*order, "_o"]
-    else:
-        raise ValueError("level must be 1 or 2")
+    pos = data.select(*order, F.col(column).alias("_v"))
+    for k in range(1, level):
+        pos = pos.select(*order, F.posexplode("_v").alias(f"_o{k}", "_v"))
+        order = [*order, f"_o{k}"]
+    pos = pos.select(*order, F.posexplode("_v").alias("_p", "_v"))
     if rows:
         return pos.select((F.col("_p") + 1).cast("long").alias("_dim"), *order, F.col("_v").alias(column))
     entry = F.struct(*(F.col(c) for c in order), F.col("_v").alias("_v"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rowloom import functions as A
 from rowloom import operators as O
 from rowloom import sources as S
-from rowloom.operators.transform import in_group
+from rowloom import streaming as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +82,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as n from orders")
 def numobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(O.numobs(read(spark, sf_dir, "orders")),)], "n long")
+
+
+@query(f"{EVENTS} select obs, event_id from o")
+def getobs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.getobs(numbered(spark, sf_dir, "events", "event_id")).select(F.col("_obs").alias("obs"), "event_id")
+
+
+@query("select row_number() over (order by n_name desc) as obs, n_name from nation")
+def container_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names met in a loop over a container, from its end."""
+    met = [r.n_name for r in O.Obs(read(spark, sf_dir, "nation"), "n_name")]
+    return spark.createDataFrame(list(enumerate(reversed(met), 1)), "obs long, n_name string")
 
 
 @query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate) as obs from lineitem")
@@ -178,7 +190,7 @@ def groupobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groupobs_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = numbered(spark, sf_dir, "events", "event_id")
     least = events.agg(F.min("event_type")).first()[0]
-    return in_group(O.groupobs("event_type", events), least).select(F.col("_obs").alias("obs"), "event_id")
+    return O.in_group(O.groupobs("event_type", events), least).select(F.col("_obs").alias("obs"), "event_id")
 
 
 @query(
@@ -373,6 +385,36 @@ def collate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", F.size("role").cast("long").alias("turns"), F.array_join("role", ",").alias("roles"), chars.alias("chars"))
 
 
+@query(f"{EVENTS} select obs, event_id from o where (obs - 1) // 32 + 1 = 5")
+def batchview_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.BatchView(numbered(spark, sf_dir, "events", "event_id"), 32)[5].select(F.col("_obs").alias("obs"), "event_id")
+
+
+@query(f"{EVENTS} select obs, event_id, (select cast(count(*) // 48 as bigint) from events) as batches from o")
+def batchview_getobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations of a view whose last, smaller batch is left out."""
+    view = O.BatchView(numbered(spark, sf_dir, "events", "event_id"), 48, partial=False)
+    return view.getobs().select(F.col("_obs").alias("obs"), "event_id", F.lit(len(view)).cast("long").alias("batches"))
+
+
+@query(
+    """with o as (select *, row_number() over (order by n_nationkey) as obs from nation)
+    select (obs - 1) // 10 + 1 as batch, string_agg(n_name, ',' order by obs) as names, cast(sum(n_regionkey) as bigint) as regions from o group by 1"""
+)
+def dataloader_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function mapped over a loader's collated batches."""
+    loader = O.DataLoader(read(spark, sf_dir, "nation"), "n_nationkey", 10, collate=True)
+    made = [(i, *pair) for i, pair in enumerate(loader.map(lambda b: (",".join(b["n_name"]), sum(b["n_regionkey"]))), 1)]
+    return spark.createDataFrame(made, "batch long, names string, regions long")
+
+
+@query("select row_number() over (order by s_suppkey) as obs, s_name from supplier")
+def eachobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations one by one."""
+    met = [(i, r.s_name) for i, r in enumerate(O.eachobs(read(spark, sf_dir, "supplier"), "s_suppkey"), 1)]
+    return spark.createDataFrame(met, "obs long, s_name string")
+
+
 @query(f"{EVENTS} select (obs - 1) // 64 + 1 as batch, max(value) as most, count(distinct user_id) as users from o group by 1")
 def collate_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = O.batched(numbered(spark, sf_dir, "events", "event_id"), 64)
@@ -516,6 +558,48 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(read(spark, sf_dir, "embeddings"), A.flatten(A.chunk_array(F.col("embedding").cast("array<double>"), size=8)))
 
 
+@query(f"{VECTORS} select vec_id, cast(pos as bigint) as pos, cast(v as double) as v from o")
+def flatten_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of chunks of a vector, put together again."""
+    chunks = F.transform(A.chunk_array(F.col("embedding").cast("array<double>"), size=16), lambda x: A.chunk_array(x, size=4))
+    return _elements(read(spark, sf_dir, "embeddings"), A.flatten(chunks, ndims=3))
+
+
+@query(f"{VECTORS}, g as (select vec_id, unnest(range(1, 73)) as pos from embeddings) select g.vec_id, cast((g.pos - 1) // 12 + 1 as bigint) as part, cast((g.pos - 1) % 12 + 1 as bigint) as pos, coalesce(cast(o.v as double), -1.0) as v from g left join o on o.vec_id = g.vec_id and o.pos = ((g.pos - 1) // 12) * 10 + (g.pos - 1) % 12 + 1 and (g.pos - 1) % 12 < 10 and o.pos <= 50 and (g.pos - 1) // 12 < 5")
+def rpad_constant_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five parts of ten components, filled up to six of twelve."""
+    parts = A.chunk_array(F.slice(F.col("embedding").cast("array<double>"), 1, 50), size=10)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(A.rpad_constant2(parts, (12, 6), -1.0)).alias("p", "x"))
+    return rows.select("vec_id", (F.col("p") + 1).cast("long").alias("part"), F.posexplode("x").alias("q", "v")).select("vec_id", "part", (F.col("q") + 1).cast("long").alias("pos"), "v")
+
+
+@query(f"{VECTORS} select vec_id, cast(pos as bigint) as last, cast(pos as bigint) as first, cast(v as double) as v from o")
+def unsqueeze_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components through a new dimension after and one before them."""
+    x = F.col("embedding").cast("array<double>")
+    pairs = F.arrays_zip(A.unsqueeze(x, 2)[0].alias("a"), A.unsqueeze(x, 1).alias("b"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(pairs).alias("p", "e")).where(F.col("e.a") == F.col("e.b")[0])
+    return rows.select("vec_id", (F.col("p") + 1).cast("long").alias("last"), (F.col("p") + 1).cast("long").alias("first"), F.col("e.a").alias("v"))
+
+
+@query(f"{VECTORS} select vec_id, cast((pos - 1) // 8 + 1 as bigint) as pos, cast((pos - 1) % 8 + 1 as bigint) as pos2, cast(floor(v * 1024) as bigint) as a, cast(floor(v * 1024) as bigint) * 2 as b from o")
+def stack_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of two dimensions stacked along a new innermost one, and taken apart along each."""
+    x = A.chunk_array(F.transform("embedding", lambda v: F.floor(v.cast("double") * 1024).cast("long")), size=8)
+    twice = F.transform(x, lambda r: F.transform(r, lambda v: v * 2))
+    both = read(spark, sf_dir, "embeddings").select("vec_id", A.stack(x, twice, dims=1, ndims=2).alias("x"))
+    rows = A.unstack(both, "x", dims=3, ndims=3).withColumnRenamed("_pos", "pos")
+    return A.unstack(rows, "x", dims=2, ndims=2).select("vec_id", "pos", F.col("_pos").alias("pos2"), F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+
+
+@query(f"{VECTORS} select cast((pos - 1) % 8 + 1 as bigint) as obs, count(*) as n, cast(sum(cast(floor(v * 1024) as bigint)) as bigint) as total from o group by 1")
+def obsdim_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations along the inner dimension of vectors in chunks of 8."""
+    chunks = read(spark, sf_dir, "embeddings").select("vec_id", A.chunk_array("embedding", size=8).alias("x"))
+    turned = O.obsdim(chunks, "x", level=2, key="vec_id", rows=True)
+    return turned.groupBy(F.col("_dim").alias("obs")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("x").cast("double") * 1024)).alias("total"))
+
+
 @query("select vec_id, cast(1 as bigint) as outer_last, cast(len(embedding) as bigint) as inner_last, cast(len(embedding) as bigint) as outer_first, cast(1 as bigint) as inner_first from embeddings")
 def unsqueeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     last, first = A.unsqueeze("embedding", 2), A.unsqueeze("embedding", 1)
@@ -600,7 +684,7 @@ def searchsorted_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def searchsorted_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of prices among all orders' totals."""
-    found = A.searchsorted_rows(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", read(spark, sf_dir, "orders"), "o_totalprice", "p_partkey", "first")
+    found = A.searchsorted_rows(read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", read(spark, sf_dir, "orders"), "o_totalprice", "first")
     return found.select("p_partkey", "first")
 
 
@@ -656,6 +740,88 @@ def make_spiral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.make_spiral(spark, noise=0.0).select(F.col("_obs").alias("obs"), scaled("x1").alias("x1"), scaled("x2").alias("x2"), "y")
 
 
-@query()
+def _noise_sql(salt: int) -> str:
+    u = lambda k: f"(cast(('0x' || substr(md5('{SEED}:{k}:' || i), 1, 13))::bigint as double) / 4503599627370496.0)"
+    return f"sqrt(-2 * ln(1 - {u(2 * salt)})) * cos(2 * pi() * {u(2 * salt + 1)})"
+
+
+@query(f"select i + 1 as obs, cast(floor((sin(i * {2 * math.pi / 99!r}) + 0.3 * {_noise_sql(0)}) * 10000 + 0.5) as bigint) as y from range(100) t(i)")
+def make_sin_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.make_sin(spark, 100, seed=SEED).select(F.col("_obs").alias("obs"), scaled("y").alias("y"))
+
+
+@query(f"select i as obs, cast(floor((2.0 * (i / 10.0) - 1.0 + 0.1 * {_noise_sql(0)}) * 10000 + 0.5) as bigint) as y from range(1, 101) t(i)")
+def make_poly_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xs = spark.range(1, 101).select(F.col("id").alias("_obs"), (F.col("id") / 10.0).alias("x"))
+    return S.make_poly(xs, [2.0, -1.0], seed=SEED).select(F.col("_obs").alias("obs"), scaled("y").alias("y"))
+
+
+@query(
+    f"""with p as (select i, case when i < 97 then i else i - 97 end as k, case when i < 97 then 1.0 else -1.0 end as s from range(194) t(i)),
+    q as (select i, s, k * {math.pi / 16!r} as a, 6.5 * (104 - k) / 104.0 as r from p)
+    select i + 1 as obs, cast(floor((s * r * sin(a) + 0.1 * {_noise_sql(0)}) * 10000 + 0.5) as bigint) as x1, cast(floor((s * r * cos(a) + 0.1 * {_noise_sql(1)}) * 10000 + 0.5) as bigint) as x2 from q"""
+)
+def make_spiral_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.make_spiral(spark, seed=SEED).select(F.col("_obs").alias("obs"), scaled("x1").alias("x1"), scaled("x2").alias("x2"))
+
+
+_MOON = f"pi() * (cast(('0x' || substr(md5('{SEED}:100:' || i), 1, 13))::bigint as double) / 4503599627370496.0)"
+
+
+@query(
+    f"""with p as (select i, {_MOON} as t from range(200) r(i)),
+    q as (select i, case when i < 100 then cos(t) else 1 - cos(t) end + 0.1 * {_noise_sql(0)} as x1, case when i < 100 then sin(t) else 0.5 - sin(t) end + 0.1 * {_noise_sql(1)} as x2, cast(case when i < 100 then 1 else 2 end as integer) as y from p)
+    select row_number() over (order by md5('{SEED}:0:' || i), i) as obs, cast(floor(x1 * 10000 + 0.5) as bigint) as x1, cast(floor(x2 * 10000 + 0.5) as bigint) as x2, y from q"""
+)
 def make_moons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.make_moons(spark, 200, noise=0.1, seed=SEED)
+    return S.make_moons(spark, 200, noise=0.1, seed=SEED).select(F.col("_obs").alias("obs"), scaled("x1").alias("x1"), scaled("x2").alias("x2"), "y")
+
+
+# -- containers, files, sinks, streams -----------------------------------------------------------
+
+
+@query("select cast(i as bigint) as obs, cast(i * i as bigint) as square, 'n' || i as name from range(1, 101) t(i)")
+def from_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = S.from_arrays(spark, {"square": [i * i for i in range(1, 101)], "name": [f"n{i}" for i in range(1, 101)]}, "square long, name string")
+    return made.withColumnRenamed("_obs", "obs")
+
+
+@query("select row_number() over (order by r_regionkey) as obs, r_regionkey, r_name from region")
+def from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [tuple(r) for r in read(spark, sf_dir, "region").orderBy("r_regionkey").select("r_regionkey", "r_name").collect()]
+    return S.from_rows(spark, rows, "r_regionkey int, r_name string").withColumnRenamed("_obs", "obs")
+
+
+@query("select cast(i as bigint) as obs, cast(i * i as bigint) as square from range(1, 1001) t(i)")
+def custom_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container given by its size and a function of the index."""
+    S.register_container(spark, "squares", lambda: 1000, lambda i: (i * i,), "square long")
+    return spark.read.format("squares").load().withColumnRenamed("_obs", "obs")
+
+
+@query("select species, count(*) as n, cast(sum(cast(sepal_length as decimal(18,2))) as double) as total from (select event_type as species, (event_id % 50) / 10.0 as sepal_length from events) x group by 1")
+def load_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of the iris layout, here made of events."""
+    path = S.working_folder(spark, "iris")
+    lengths = [((F.col("event_id") % 50) / 10.0).alias(c) for c in "abcd"]
+    S.write_table(read(spark, sf_dir, "events").select(*lengths, "event_type"), path, "csv")
+    return S.load_iris(spark, path).groupBy("species").agg(F.count("*").alias("n"), exact("sepal_length").alias("total"))
+
+
+@query("select n_regionkey, n_nationkey, n_name from nation")
+def sink_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written in folders by a column, and read again."""
+    path = S.working_folder(spark, "nations")
+    S.write_table(read(spark, sf_dir, "nation"), path, by=["n_regionkey"])
+    return spark.read.parquet(path).select(F.col("n_regionkey").cast("int").alias("n_regionkey"), "n_nationkey", "n_name")
+
+
+@query("select event_type, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from events where value > 50 group by event_type")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator on each micro-batch of a stream of files."""
+    source = read(spark, sf_dir, "events")
+    files, out = S.working_folder(spark, "files"), S.working_folder(spark, "stream")
+    S.write_table(source, files)
+    stream = spark.readStream.schema(source.schema).parquet(files)
+    R.each_batch(stream, lambda b: O.filterobs("value > 50", b).select("event_type", "value"), out, S.working_folder(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), exact("value").alias("total"))

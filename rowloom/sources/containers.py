@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +64,20 @@ def write_table(data: DataFrame, path: str, kind: str = "parquet", by: Sequence[
     """Write a table in one of Spark's file formats, in folders by the columns ``by``."""
     writer = data.write.format(kind).mode(mode)
     (writer.partitionBy(*by) if by else writer).save(path)
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Only where none is set and all runs on one machine it is a temporary one.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='rowloom-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

@@ -95,10 +95,41 @@ def test_searchsorted(spark):
 def test_searchsorted_rows(spark):
     bounds = spark.createDataFrame([(float(b),) for b in range(0, 1000, 7)], "b double")
     data = spark.createDataFrame([(i, float(i * 3 - 50)) for i in range(400)], "k long, x double")
-    got = {r.k: r._first for r in A.searchsorted_rows(data, "x", bounds, "b", "k").collect()}
+    got = {r.k: r._first for r in A.searchsorted_rows(data, "x", bounds, "b").collect()}
     assert got == {i: 1 + sum(b < i * 3 - 50 for b in range(0, 1000, 7)) for i in range(400)}
 
 
+def test_searchsorted_rows_with_nulls_repeats_and_ranges(spark, monkeypatch):
+    from rowloom.operators import order
+
+    nan = float("nan")
+    bounds = [1.0, None, 3.0, 3.0, nan, 7.5]
+    rows = [(1, 0.5), (2, 3.0), (2, 3.0), (None, 4.0), (5, None), (6, nan), (7, 1e9), (8, 1.0)]
+    want = sorted(((k, 1 + sum(b is not None and x is not None and b < x for b in bounds)) for k, x in rows), key=repr)
+    for one_task in (1000, 0):
+        monkeypatch.setattr("rowloom.functions.arrays.ONE_TASK", one_task)
+        monkeypatch.setattr(order, "ROWS_PER_RANGE", 1)
+        found = A.searchsorted_rows(spark.createDataFrame(rows, "k long, x double"), "x", spark.createDataFrame([(b,) for b in bounds], "b double"), "b")
+        assert found.columns == ["k", "x", "_first"]
+        assert sorted(((r.k, r._first) for r in found.collect()), key=repr) == want
+
+
+def test_shapes_of_three_dimensions(spark, one):
+    deep = spark.sql("select array(array(array(1, 2), array(3, 4)), array(array(5, 6), array(7, 8))) as x")
+    assert get(deep, A.flatten("x", ndims=3)) == list(range(1, 9)) and len(get(deep, A.flatten("x"))) == 4
+    assert [r.x for r in A.unstack(deep, "x", dims=1, ndims=3).orderBy("_pos").collect()] == [[[1, 3], [5, 7]], [[2, 4], [6, 8]]]
+    assert [r.x for r in A.unstack(deep, "x", dims=2, ndims=3).orderBy("_pos").collect()] == [[[1, 2], [5, 6]], [[3, 4], [7, 8]]]
+    assert [r.x for r in A.unstack(deep, "x", dims=3, ndims=3).orderBy("_pos").collect()] == [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]
+    flat = spark.sql("select array(array(1, 2), array(3, 4)) as x, array(array(5, 6), array(7, 8)) as y")
+    assert get(flat, A.stack("x", "y", dims=1, ndims=2)) == [[[1, 5], [2, 6]], [[3, 7], [4, 8]]]
+    assert get(flat, A.stack("x", "y", dims=2, ndims=2)) == [[[1, 2], [5, 6]], [[3, 4], [7, 8]]]
+    assert get(flat, A.stack("x", "y", dims=3, ndims=2)) == [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]
+    with pytest.raises(ValueError):
+        A.stack("x", "y", dims=4, ndims=2)
+    with pytest.raises(ValueError):
+        A.unstack(deep, "x", dims=4, ndims=3)
+
+
 def test_topk(one, numbers, spark):
     x = one([5.0, 1.0, 4.0, 2.0, 3.0])
     assert tuple(get(x, A.topk("x", 3))) == ([5.0, 4.0, 3.0], [1, 3, 5]) and tuple(get(x, A.topk("x", 2, False))) == ([1.0, 2.0], [2, 4])

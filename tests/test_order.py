@@ -17,6 +17,22 @@ def test_numbers_by_range_are_dense_and_ordered(spark, kind):
     assert sorted(r._obs for r in many.collect()) == list(range(1, 502))
 
 
+@pytest.mark.parametrize("step", [1, 3, 64])
+def test_ranges_by_all_columns_of_the_order(spark, monkeypatch, step):
+    """One value of the first column for all rows, nulls, and quotes in strings."""
+    from rowloom.operators import order
+
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(order, "STEP", step)
+    df = spark.range(400).selectExpr("1 as a", "case when id % 5 = 0 then null else cast(id * 37 % 7 as string) || '\"' end as b", "id * 11 % 400 as c", "timestamp_micros(id * 1001) as t")
+    keys = ["a", "b", "c", "t"]
+    many = with_obs(df, keys, one_task=0)
+    assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, with_obs(df, keys).collect()), key=repr)
+    part, ranges = order._range_of(df, [F.col(c) for c in keys], 400, False)
+    sizes = [r["count"] for r in df.groupBy(part.alias("r")).count().collect()]
+    assert ranges > 15 and len(sizes) == ranges and max(sizes) < 60
+
+
 def test_seeded_order_is_the_same_at_any_parallelism(spark):
     df = spark.range(300).withColumnRenamed("id", "k")
     first = with_obs(df, "k", seed=3).collect()
@@ -49,6 +65,10 @@ def test_views_of_views(numbers):
     view = O.obsview(numbers(100), range(21, 61))
     assert xs(O.obsview(view, range(1, 11, 3))) == [21, 24, 27, 30]
     assert xs(O.obsview(view, [5, 2])) == [25, 22]
+    for bad in (range(3, 42), range(0, 4), [41], 0):
+        with pytest.raises(IndexError):
+            O.obsview(view, bad)
+    assert xs(O.obsview(view, range(5, 5))) == []
     assert xs(O.obsview(view, 3)) == [23]
 
 

@@ -70,6 +70,11 @@ def test_dataloader(spark):
     again = O.DataLoader(data.repartition(3), "k", 5, shuffle=True, seed=2)
     assert [[r.k for r in b] for b in again] == first
     assert list(O.DataLoader(data, "k", 5, collate=lambda rows: sum(r.k for r in rows)).map(lambda s: s + 1)) == [11, 36]
+    assert list(O.DataLoader(data, "k", 4, collate=True)) == [{"k": [0, 1, 2, 3]}, {"k": [4, 5, 6, 7]}, {"k": [8, 9]}]
+    assert list(O.DataLoader(data, "k", 4, collate=True).map(lambda b: sum(b["k"]))) == [6, 22, 17]
+    assert list(O.DataLoader(data, "k", 4, collate=False).map(len)) == [4, 4, 2] and [len(b) for b in O.DataLoader(data, "k", 4, collate=False)] == [4, 4, 2]
+    with pytest.raises(ValueError, match="collate"):
+        plain.map(len)
     assert [r.k for r in O.eachobs(data, "k")] == list(range(10))
     assert list(O.DataLoader(spark.range(0).withColumnRenamed("id", "k"), "k", 3)) == []
     with pytest.raises(ValueError):
