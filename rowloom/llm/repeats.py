@@ -9,8 +9,8 @@ A string of ``length`` bytes is removed from a document if it also starts in a d
     block at most; those of one document alone are dropped.
 3.  Documents with a shared anchor give the contexts of these anchors: the bytes of all windows that have
     it.  Contexts are gathered by anchor, and equal ones are kept once with their smallest id: the context of
-    any larger id is marked whole.
-4.  The distinct contexts of an anchor are ordered by id, and later ones streamed against a run-length index of
+    any larger id is marked whole.  Those that differ are parted once more, by longer strings that their windows hold.
+4.  The distinct contexts of such a string are ordered by id, and later ones streamed against a run-length index of
     earlier ones: of each two neighbouring contexts, pairs, fours and so on the second half against the first, so that each
     meets all before it.  The index is the Burrows-Wheeler transform as runs, with the suffix position sampled at both
     ends of each run, and the least id of each interval of suffixes that share ``length`` bytes.  Streaming goes from right to
@@ -424,37 +424,60 @@ def read_blocks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     return h, ids, nth, place, ahead, coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def may_share(h: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.Array, sizes: np.ndarray, length: int) -> np.ndarray:
-    """Which of the contexts may have a window in common with another sort at the same anchor.
+def half_contexts(h: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.Array, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Parts of contexts that may have a window in common with another's: the group, the context, the place in it, and the bytes.
 
     A window that starts ``half`` or more before the anchor holds the bytes from there to the anchor's end;
-    any other one holds those from the anchor on, but for ``half`` of a window.  So sorts that share a window share one of the two.
+    any other one holds those from the anchor on, but for ``half`` of a window.  So windows are dealt out by these longer strings,
+    which splits an anchor that very many different contexts have.  Parts that are alone in their group are dropped.
     """
     k = min(GRAM, length)
     half = (length - k) // 2
     data = np.frombuffer(distinct.buffers()[2], np.uint8)
     off = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct)].astype(np.int64)
-    at, last = off[code] + ahead, sizes[code] - length  # the anchor, and the last window's start
-    out = np.zeros(len(h), bool)
-    for some, start, width in ((ahead >= half, at - half, half + k), (last > ahead - half, at, length - half)):
+    last = sizes[code] - length  # the last window's start
+    raw = distinct.buffers()[2].to_pybytes()
+    groups, contexts, places, texts = [], [], [], []
+    count = 0
+    sides = (
+        (ahead >= half, ahead - half, half + k, np.zeros(len(h), np.int64), np.minimum(ahead - half, last) + length),
+        (last > ahead - half, ahead, length - half, np.maximum(ahead - half + 1, 0), sizes[code]),
+    )
+    for some, start, width, begin, end in sides:
         x = np.flatnonzero(some)
+        at = off[code[x]]
         digest = np.zeros(len(x), np.uint64)
         for i in range(width):
-            digest = (digest ^ _BYTE[data[start[x] + i]]) * np.uint64(_BASE)
+            digest = (digest ^ _BYTE[data[at + start[x] + i]]) * np.uint64(_BASE)
             digest ^= digest >> np.uint64(29)
         order = np.lexsort((digest, h[x]))
         hs, ds = h[x][order], digest[order]
-        same = (hs[1:] == hs[:-1]) & (ds[1:] == ds[:-1])
-        out[x[order[1:][same]]] = True
-        out[x[order[:-1][same]]] = True
-    return out
+        new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])]) if len(x) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, minlength=1)[group] > 1
+        x, at, group = x[order[several]], at[order[several]], group[several]
+        groups.append(group + count)
+        count += int(new.sum())
+        contexts.append(x)
+        places.append(begin[x])
+        texts += [raw[u:v] for u, v in zip((at + begin[x]).tolist(), (at + end[x]).tolist())]
+    return np.concatenate(groups), np.concatenate(contexts), np.concatenate(places), pa.array(texts, pa.binary()).dictionary_encode()
+
+
+def firsts_and_copies(group: np.ndarray, code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the contexts of each group, those that no smaller id has, in the order of groups and ids; and the others.  A document may have one at several places."""
+    order = np.lexsort((ids, code, group))
+    new = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (code[order][1:] != code[order][:-1])]) if len(order) else np.zeros(0, bool)
+    least = ids[order][new][np.cumsum(new) - 1]
+    whole, rest = order[ids[order] > least], order[ids[order] == least]
+    return rest[np.lexsort((ids[rest], group[rest]))], whole
 
 
 def partial_marks(h, ids, place, code, distinct: pa.Array, sizes: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts and window starts that a smaller id has too, for one context of each sort at each anchor.
+    """Contexts and window starts that a smaller id has too, for one context of each sort in each group ``h``.
 
-    Contexts are given in order of their anchors and ids.  Those of an anchor are numbered, and for each power of two
-    the ones whose number has that bit are streamed against those before them that differ in it first; many anchors
+    Contexts are given in order of their groups and ids.  Those of a group are numbered, and for each power of two
+    the ones whose number has that bit are streamed against those before them that differ in it first; many groups
     stand under one index.
     """
     new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -497,22 +520,22 @@ def marked(length: int):
         for _, rows in _by_bucket(batches):
             h, ids, nth, place, ahead, code, distinct = read_blocks(rows)
             sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-            # sorts of context at each anchor, with their least id
-            order = np.lexsort((ids, code, h))
-            h, ids, nth, place, ahead, code = (x[order] for x in (h, ids, nth, place, ahead, code))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
-            sort = np.cumsum(new) - 1
-            least = ids[new][sort]
-            whole = ids > least
+            # of contexts that are equal at an anchor, those of larger ids are marked whole
+            rest, whole = firsts_and_copies(h, code, ids)
             spans = [np.stack([ids[whole], nth[whole], place[whole], place[whole] + sizes[code[whole]]], 1)]
-            # an anchor's sorts are compared only where several may share a window
-            rest = np.flatnonzero(~whole)
-            rest = rest[may_share(h[rest], code[rest], ahead[rest], distinct, sizes, length)]
-            rest = rest[np.lexsort((ids[rest], h[rest]))]
             if len(rest):
-                for x, start in partial_marks(h[rest], ids[rest], place[rest], code[rest], distinct, sizes, length):
-                    x = rest[x]
-                    spans.append(np.stack([ids[x], nth[x], start, start + length], 1))
+                group, x, at, coded = half_contexts(h[rest], code[rest], ahead[rest], distinct, sizes, length)
+                x = rest[x]
+                part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                own = pa.compute.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+                at += place[x]
+                left, equal = firsts_and_copies(group, part, ids[x])
+                spans.append(np.stack([ids[x[equal]], nth[x[equal]], at[equal], at[equal] + own[part[equal]]], 1))
+                left = left[np.bincount(group[left], minlength=1)[group[left]] > 1]
+                if len(left):
+                    for y, start in partial_marks(group[left], ids[x[left]], at[left], part[left], coded.dictionary, own, length):
+                        y = x[left[y]]
+                        spans.append(np.stack([ids[y], nth[y], start, start + length], 1))
             found = np.concatenate(spans)
             found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
             # runs of spans that touch are joined
