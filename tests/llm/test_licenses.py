@@ -59,6 +59,7 @@ def test_table(make_docs, odd_rows):
         "this work is licensed under the terms of the GNU General Public License version 3",
         "this work is licensed under the terms\nof the GNU General Public\n   License version 3",
         "This work is licensed under the terms of the\nGNU General Public License, version 3.",
+        "This work is licensed\tunder the terms of\tthe\r\nGNU General Public License, version 3.",
     ],
 )
 def test_inserted_words_and_wrapped_lines(make_docs, words, notice):
