@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import filled, materialise, slices
+from rowloom.llm.common import filled, give_back, materialise, slices
 
 GRAM = 20  # bytes of an anchor
 SEGMENT = 2 << 20  # windows whose anchors are found at a time
@@ -326,28 +326,34 @@ def anchor_blocks(length: int, buckets: int):
     return run
 
 
+def shared(rows: list[tuple]) -> pa.RecordBatch:
+    """The anchors of two documents or more in a bucket, by document."""
+    hashes, ids = [], []
+    for least, block in rows:
+        planes = block[0]
+        n = (len(block) - 1) // (HASH_BYTES + 2 * planes)
+        hashes.append(unpacked(block[1 : 1 + HASH_BYTES * n]))
+        cols = np.frombuffer(block[1 + HASH_BYTES * n :], "<u2").reshape(planes, n)
+        ids.append(sum(cols[p].astype(np.int64) << (16 * p) for p in range(planes)) + least)
+    h, i = np.concatenate(hashes), np.concatenate(ids)
+    order = np.argsort(h, kind="stable")
+    h, i = h[order], i[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    several = np.minimum.reduceat(i, starts) != np.maximum.reduceat(i, starts)
+    keep = np.repeat(several, np.diff(np.concatenate([starts, [len(h)]])))
+    h, i = h[keep], i[keep]
+    docs, inverse = np.unique(i, return_inverse=True)
+    edges = np.searchsorted(inverse[order := np.argsort(inverse, kind="stable")], np.arange(len(docs) + 1))
+    flat, edges = packed(h[order]), (edges * HASH_BYTES).tolist()
+    blobs = [flat[a:b] for a, b in zip(edges, edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], ["id", "anchors"])
+
+
 def shared_anchors(batches):
-    """For each bucket, the anchors of two documents or more, by document."""
-    for bucket, rows in _by_bucket(batches):
-        hashes, ids = [], []
-        for least, block in rows:
-            planes = block[0]
-            n = (len(block) - 1) // (HASH_BYTES + 2 * planes)
-            hashes.append(unpacked(block[1 : 1 + HASH_BYTES * n]))
-            cols = np.frombuffer(block[1 + HASH_BYTES * n :], "<u2").reshape(planes, n)
-            ids.append(sum(cols[p].astype(np.int64) << (16 * p) for p in range(planes)) + least)
-        h, i = np.concatenate(hashes), np.concatenate(ids)
-        order = np.argsort(h, kind="stable")
-        h, i = h[order], i[order]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        several = np.minimum.reduceat(i, starts) != np.maximum.reduceat(i, starts)
-        keep = np.repeat(several, np.diff(np.concatenate([starts, [len(h)]])))
-        h, i = h[keep], i[keep]
-        docs, inverse = np.unique(i, return_inverse=True)
-        edges = np.searchsorted(inverse[order := np.argsort(inverse, kind="stable")], np.arange(len(docs) + 1))
-        flat, edges = packed(h[order]), (edges * HASH_BYTES).tolist()
-        blobs = [flat[a:b] for a, b in zip(edges, edges[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], ["id", "anchors"])
+    """For each bucket, the anchors of two documents or more, by document.  What a bucket takes is given back before the next."""
+    for _, rows in _by_bucket(batches):
+        yield shared(rows)
+        give_back()
 
 
 def _by_bucket(batches) -> Iterator[tuple[int, list[tuple]]]:
@@ -516,40 +522,44 @@ def partial_marks(h, ids, place, code, distinct: pa.Array, sizes: np.ndarray, le
 def marked(length: int):
     """Marked runs of each document, from the contexts of a bucket."""
 
+    def marks(rows: list[tuple]) -> pa.RecordBatch:
+        h, ids, nth, place, ahead, code, distinct = read_blocks(rows)
+        sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        # of contexts that are equal at an anchor, those of larger ids are marked whole
+        rest, whole = firsts_and_copies(h, code, ids)
+        spans = [np.stack([ids[whole], nth[whole], place[whole], place[whole] + sizes[code[whole]]], 1)]
+        if len(rest):
+            group, x, at, coded = half_contexts(h[rest], code[rest], ahead[rest], distinct, sizes, length)
+            x = rest[x]
+            part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            own = pa.compute.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+            at += place[x]
+            left, equal = firsts_and_copies(group, part, ids[x])
+            spans.append(np.stack([ids[x[equal]], nth[x[equal]], at[equal], at[equal] + own[part[equal]]], 1))
+            left = left[np.bincount(group[left], minlength=1)[group[left]] > 1]
+            if len(left):
+                for y, start in partial_marks(group[left], ids[x[left]], at[left], part[left], coded.dictionary, own, length):
+                    y = x[left[y]]
+                    spans.append(np.stack([ids[y], nth[y], start, start + length], 1))
+        found = np.concatenate(spans)
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        # runs of spans that touch are joined
+        if len(found):
+            doc = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])
+            number = np.cumsum(doc) - 1
+            reach = np.maximum.accumulate(found[:, 3] + number * (1 << 40)) - number * (1 << 40)
+            fresh = np.concatenate([[True], doc[1:] | (found[1:, 2] > reach[:-1])])
+            ends = np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(found) - 1]])
+            found = np.concatenate([found[fresh][:, :3], reach[ends][:, None]], 1)
+        doc = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])) if len(found) else np.zeros(0, np.int64)
+        data = np.ascontiguousarray(found[:, 2:].astype("<i4")).tobytes()
+        edges = [*(doc * 8).tolist(), len(data)]
+        return pa.RecordBatch.from_arrays([pa.array(found[doc, 0], pa.int64()), pa.array(found[doc, 1], pa.int32()), pa.array([data[a:b] for a, b in zip(edges, edges[1:])], pa.binary())], ["_id", "nth", "spans"])
+
     def run(batches):
         for _, rows in _by_bucket(batches):
-            h, ids, nth, place, ahead, code, distinct = read_blocks(rows)
-            sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-            # of contexts that are equal at an anchor, those of larger ids are marked whole
-            rest, whole = firsts_and_copies(h, code, ids)
-            spans = [np.stack([ids[whole], nth[whole], place[whole], place[whole] + sizes[code[whole]]], 1)]
-            if len(rest):
-                group, x, at, coded = half_contexts(h[rest], code[rest], ahead[rest], distinct, sizes, length)
-                x = rest[x]
-                part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                own = pa.compute.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-                at += place[x]
-                left, equal = firsts_and_copies(group, part, ids[x])
-                spans.append(np.stack([ids[x[equal]], nth[x[equal]], at[equal], at[equal] + own[part[equal]]], 1))
-                left = left[np.bincount(group[left], minlength=1)[group[left]] > 1]
-                if len(left):
-                    for y, start in partial_marks(group[left], ids[x[left]], at[left], part[left], coded.dictionary, own, length):
-                        y = x[left[y]]
-                        spans.append(np.stack([ids[y], nth[y], start, start + length], 1))
-            found = np.concatenate(spans)
-            found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-            # runs of spans that touch are joined
-            if len(found):
-                doc = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])
-                number = np.cumsum(doc) - 1
-                reach = np.maximum.accumulate(found[:, 3] + number * (1 << 40)) - number * (1 << 40)
-                fresh = np.concatenate([[True], doc[1:] | (found[1:, 2] > reach[:-1])])
-                ends = np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(found) - 1]])
-                found = np.concatenate([found[fresh][:, :3], reach[ends][:, None]], 1)
-            doc = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])) if len(found) else np.zeros(0, np.int64)
-            data = np.ascontiguousarray(found[:, 2:].astype("<i4")).tobytes()
-            edges = [*(doc * 8).tolist(), len(data)]
-            yield pa.RecordBatch.from_arrays([pa.array(found[doc, 0], pa.int64()), pa.array(found[doc, 1], pa.int32()), pa.array([data[a:b] for a, b in zip(edges, edges[1:])], pa.binary())], ["_id", "nth", "spans"])
+            yield marks(rows)
+            give_back()
 
     return run
 
