@@ -372,7 +372,7 @@ def _by_bucket(batches) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def context_blocks(length: int, buckets: int):
-    """Contexts of shared anchors by bucket: compressed columns of anchor, id, row of the id, place, size, bytes before the anchor, and bytes."""
+    """Contexts of shared anchors by bucket: compressed columns of anchor, id, row of the id, place, bytes before the anchor, and context, and the different contexts' sizes and bytes, each once."""
 
     def run(batches):
         held: list[tuple] = []
@@ -380,12 +380,16 @@ def context_blocks(length: int, buckets: int):
 
         def flush():
             nonlocal held, count
-            h, ids, nth, place, sizes, ahead = (np.concatenate([x[k] for x in held]) for k in range(6))
-            texts = [c for x in held for c in x[6]]
+            h, ids, nth, place, ahead = (np.concatenate([x[k] for x in held]) for k in range(5))
+            coded = pa.array([c for x in held for c in x[5]], pa.binary()).dictionary_encode()
+            codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             held, count = [], 0
             rows: tuple[list, ...] = ([], [], [], [])
             for k, at in parts((h % np.uint64(buckets)).astype(np.int64), buckets):
-                data = b"".join([packed(h[at]), ids[at].astype("<i8").tobytes(), nth[at].astype("<i4").tobytes(), place[at].astype("<i4").tobytes(), sizes[at].astype("<i4").tobytes(), ahead[at].astype("<i4").tobytes(), *[texts[x] for x in at.tolist()]])
+                own, local = np.unique(codes[at], return_inverse=True)
+                texts = distinct.take(pa.array(own)).to_pylist()
+                sizes = np.array([len(own), *map(len, texts)], "<i4")
+                data = b"".join([sizes.tobytes(), packed(h[at]), ids[at].astype("<i8").tobytes(), *(x.astype("<i4").tobytes() for x in (nth[at], place[at], ahead[at], local)), *texts])
                 for row, value in zip(rows, (k, len(at), len(data), pa.compress(data, "zstd", asbytes=True))):
                     row.append(value)
             return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "size", "block"])
@@ -401,7 +405,7 @@ def context_blocks(length: int, buckets: int):
                 if not own.any():
                     continue
                 h, a, b, p = h[own], a[own], b[own], p[own]
-                held.append((h & MASK, np.full(len(h), i), np.full(len(h), nth), a, b - a + length, p - a, [data[x : y + length] for x, y in zip(a.tolist(), b.tolist())]))
+                held.append((h & MASK, np.full(len(h), i), np.full(len(h), nth), a, p - a, [data[x : y + length] for x, y in zip(a.tolist(), b.tolist())]))
                 count += len(h)
                 if count >= FLUSH // 2:
                     yield flush()
@@ -414,20 +418,23 @@ def context_blocks(length: int, buckets: int):
 def read_blocks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     """Anchor, id, row of the id, place, bytes before the anchor and distinct context of each context of a bucket, and the distinct ones."""
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-    texts = []
+    texts, before = [], 0
     for n, size, block in rows:
         data = pa.decompress(block, size, "zstd", asbytes=True)
-        at = HASH_BYTES * n
-        columns[0].append(unpacked(data[:at]))
+        m = int(np.frombuffer(data, "<i4", 1)[0])
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", m, 4))]).astype("<i4")
+        at = 4 + 4 * m
+        columns[0].append(unpacked(data[at : at + HASH_BYTES * n]))
+        at += HASH_BYTES * n
         for k, kind in enumerate(("<i8", "<i4", "<i4", "<i4", "<i4"), 1):
-            width = n * int(kind[2])
-            columns[k].append(np.frombuffer(data[at : at + width], kind).astype(np.int64))
-            at += width
-        off = np.concatenate([[0], np.cumsum(columns[4][-1])]).astype("<i4")
-        texts.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(data[at:])]))
+            columns[k].append(np.frombuffer(data, kind, n, at).astype(np.int64))
+            at += n * int(kind[2])
+        columns[5][-1] += before
+        before += m
+        texts.append(pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(off), pa.py_buffer(data[at:])]))
     coded = pa.chunked_array(texts).combine_chunks().dictionary_encode()
-    h, ids, nth, place, _, ahead = (np.concatenate(c) for c in columns)
-    return h, ids, nth, place, ahead, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    h, ids, nth, place, ahead, local = (np.concatenate(c) for c in columns)
+    return h, ids, nth, place, ahead, coded.indices.to_numpy().astype(np.int64)[local], coded.dictionary
 
 
 def half_contexts(h: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.Array, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
