@@ -158,15 +158,16 @@ class RunIndex:
         n = len(data)
         symbol = data.astype(np.int64) + 1
         symbol[ends] = 0
-        # order by the first characters, then by prefix doubling of those still tied; as no pattern is longer than
-        # the longest text, suffixes that agree beyond it may stand in any order
+        # order by the first characters, then by prefix doubling of those still tied; suffixes that agree up to their
+        # separators stand in the order of their texts, or else the steps of the transform would part from the samples
         key, padded = np.zeros(n, np.int64), np.concatenate([symbol, np.zeros(FIRST, np.int64)])
+        rest = np.repeat(ends, sizes) - np.arange(n)  # characters before the separator
         for k in range(FIRST):
-            key = (key << 9) | padded[k : k + n]
+            key = (key << 9) | np.where(rest >= k, padded[k : k + n], 0)
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-        depth, held, longest = FIRST, None, int(sizes.max())
+        depth, held = FIRST, None
         while True:
             start = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group's rank is its first place
             rank = np.empty(n, np.int64)
@@ -176,10 +177,10 @@ class RunIndex:
             tied = ~head
             tied[:-1] |= ~head[1:]
             at = np.flatnonzero(tied)
-            if depth >= max(longest, length) or not len(at):
+            if not len(at):
                 break
             suffix = order[at]
-            after = np.where(suffix + depth < n, rank[np.minimum(suffix + depth, n - 1)] + 1, 0)
+            after = np.where(rest[suffix] < depth, suffix, rank[np.minimum(suffix + depth, n - 1)])
             key = (start[at] << 32) | after
             by = np.argsort(key, kind="stable")
             order[at] = suffix[by]

@@ -105,6 +105,15 @@ def test_patterns_that_are_not_in_the_index():
     assert len(index.run_key) == len(index.run_end) == len(index.run_head) < len(index.symbol)
 
 
+def test_texts_that_agree_to_their_ends_keep_their_order():
+    rng = random.Random(3)
+    c, d = (bytes(rng.choices(range(97, 123), k=k)) for k in (60, 51))
+    # the texts after those that end alike agree as well, and differ against the order of places
+    index = repeats.RunIndex.build([b"qx" + c, d + b"z", b"ry" + c, d + b"a", b"kx" + c[:48], b"ky" + c[:48]], np.arange(6), 50)
+    assert index.least_ids([b"kx" + c], 50, -1)[0].tolist() == [4] + [0] * 12
+    assert index.least_ids([b"ky" + c], 50, -1)[0].tolist() == [5, 2] + [0] * 11
+
+
 def test_a_match_is_shortened_from_the_right():
     x, y, z = (bytes(random.Random(k).choices(range(97, 123), k=60)) for k in range(3))
     index = repeats.RunIndex.build([b"Y" + x[:55], b"Z" + x[:49] + y], np.array([7, 3]), 50)
