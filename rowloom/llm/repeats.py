@@ -9,7 +9,8 @@ A string of ``length`` bytes is removed from a document if it also starts in a d
     block at most; those of one document alone are dropped.
 3.  Documents with a shared anchor give the contexts of these anchors: the bytes of all windows that have
     it.  Contexts are gathered by anchor, and equal ones are kept once with their smallest id: the context of
-    any larger id is marked whole.  Those that differ are parted once more, by longer strings that their windows hold.
+    any larger id is marked whole.  Those that differ are parted once more, by longer strings that their windows hold,
+    and large groups again and again.
 4.  The distinct contexts of such a string are ordered by id, and later ones streamed against a run-length index of
     earlier ones: of each two neighbouring contexts, pairs, fours and so on the second half against the first, so that each
     meets all before it.  The index is the Burrows-Wheeler transform as runs, with the suffix position sampled at both
@@ -38,6 +39,7 @@ SEGMENT = 2 << 20  # windows whose anchors are found at a time
 FLUSH = 1 << 20  # anchors, or half the contexts, held before they are sent
 FIRST = 7  # characters that are sorted at once
 INDEX_BYTES = 1 << 20  # of contexts under one index
+GROUP_BYTES = 1 << 18  # of contexts that are parted by longer strings once more
 HASH_BYTES = 5  # of an anchor beside its bucket; a false match costs time only
 MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -156,17 +158,18 @@ class RunIndex:
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         ends = np.cumsum(sizes) - 1
         n = len(data)
-        symbol = data.astype(np.int64) + 1
+        symbol = data.astype(np.int16) + np.int16(1)
         symbol[ends] = 0
         # order by the first characters, then by prefix doubling of those still tied; suffixes that agree up to their
         # separators stand in the order of their texts, or else the steps of the transform would part from the samples
-        key, padded = np.zeros(n, np.int64), np.concatenate([symbol, np.zeros(FIRST, np.int64)])
+        key, padded = np.zeros(n, np.int64), np.concatenate([symbol, np.zeros(FIRST, np.int16)])
         rest = np.repeat(ends, sizes) - np.arange(n)  # characters before the separator
         for k in range(FIRST):
             key = (key << 9) | np.where(rest >= k, padded[k : k + n], 0)
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        del key, padded, sorted_key
         depth, held = FIRST, None
         while True:
             start = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group's rank is its first place
@@ -198,7 +201,7 @@ class RunIndex:
         starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         lengths = np.diff(np.concatenate([starts, [n]]))
         by = np.argsort(bwt[starts], kind="stable")
-        heads, lens = bwt[starts][by], lengths[by]
+        heads, lens = bwt[starts][by].astype(np.int64), lengths[by]
         total = np.cumsum(lens) - lens
         counts = np.bincount(symbol, minlength=257)
         first = np.cumsum(counts) - counts
@@ -435,47 +438,44 @@ def read_blocks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
         texts.append(pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(off), pa.py_buffer(data[at:])]))
     coded = pa.chunked_array(texts).combine_chunks().dictionary_encode()
     h, ids, nth, place, ahead, local = (np.concatenate(c) for c in columns)
-    return h, ids, nth, place, ahead, coded.indices.to_numpy().astype(np.int64)[local], coded.dictionary
+    return h, ids, nth, place, ahead, coded.indices.to_numpy()[local], coded.dictionary
 
 
-def half_contexts(h: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.Array, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
-    """Parts of contexts that may have a window in common with another's: the group, the context, the place in it, and the bytes.
+def parted(group: np.ndarray, code: np.ndarray, ahead: np.ndarray, distinct: pa.Array, low: int, high: int, length: int) -> Iterator[tuple]:
+    """Parts of contexts that may have a window in common with another's, for either half of the windows ``low`` to ``high``.
 
-    A window that starts ``half`` or more before the anchor holds the bytes from there to the anchor's end;
-    any other one holds those from the anchor on, but for ``half`` of a window.  So windows are dealt out by these longer strings,
-    which splits an anchor that very many different contexts have.  Parts that are alone in their group are dropped.
+    Windows are told by their start from the anchor on.  Those of a half all hold the bytes from its last start to its
+    first end, so they are dealt out by these: a string longer than what all of them hold, which splits a group
+    that very many different contexts have.  Of a half of one window that is the window itself.  Parts that are alone in their group are dropped.
+    Yields new groups, the contexts, the parts' places in them, their bytes before the anchor, their bytes, and the half.
     """
-    k = min(GRAM, length)
-    half = (length - k) // 2
+    sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False)
     data = np.frombuffer(distinct.buffers()[2], np.uint8)
     off = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct)].astype(np.int64)
-    last = sizes[code] - length  # the last window's start
-    raw = distinct.buffers()[2].to_pybytes()
-    groups, contexts, places, texts = [], [], [], []
-    count = 0
-    sides = (
-        (ahead >= half, ahead - half, half + k, np.zeros(len(h), np.int64), np.minimum(ahead - half, last) + length),
-        (last > ahead - half, ahead, length - half, np.maximum(ahead - half + 1, 0), sizes[code]),
-    )
-    for some, start, width, begin, end in sides:
-        x = np.flatnonzero(some)
+    raw = memoryview(distinct.buffers()[2])
+    last = sizes[code] - length - ahead  # the last window's start
+    mid = (low + high) // 2
+    for a, b in ((low, mid), (mid + 1, high)):
+        x = np.flatnonzero(np.maximum(-ahead, a) <= np.minimum(last, b))
+        if not len(x):
+            continue
+        begin, end = np.maximum(ahead[x] + a, 0), ahead[x] + np.minimum(last[x], b) + length
         at = off[code[x]]
+        core = at + ahead[x] + b
         digest = np.zeros(len(x), np.uint64)
-        for i in range(width):
-            digest = (digest ^ _BYTE[data[at + start[x] + i]]) * np.uint64(_BASE)
+        for i in range(a + length - b):
+            digest = (digest ^ _BYTE[data[core + i]]) * np.uint64(_BASE)
             digest ^= digest >> np.uint64(29)
-        order = np.lexsort((digest, h[x]))
-        hs, ds = h[x][order], digest[order]
-        new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])]) if len(x) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, minlength=1)[group] > 1
-        x, at, group = x[order[several]], at[order[several]], group[several]
-        groups.append(group + count)
-        count += int(new.sum())
-        contexts.append(x)
-        places.append(begin[x])
-        texts += [raw[u:v] for u, v in zip((at + begin[x]).tolist(), (at + end[x]).tolist())]
-    return np.concatenate(groups), np.concatenate(contexts), np.concatenate(places), pa.array(texts, pa.binary()).dictionary_encode()
+        order = np.lexsort((digest, group[x]))
+        gs, ds = group[x][order], digest[order]
+        number = np.cumsum(np.concatenate([[True], (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1])])) - 1
+        several = np.bincount(number)[number] > 1
+        order, number = order[several], number[several]
+        if not len(order):
+            continue
+        x, at, begin, end = x[order], at[order], begin[order], end[order]
+        texts = pa.array([bytes(raw[u:v]) for u, v in zip((at + begin).tolist(), (at + end).tolist())], pa.binary()).dictionary_encode()
+        yield number, x, begin, ahead[x] - begin, texts.indices.to_numpy(zero_copy_only=False), texts.dictionary, a, b
 
 
 def firsts_and_copies(group: np.ndarray, code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -527,28 +527,53 @@ def partial_marks(h, ids, place, code, distinct: pa.Array, sizes: np.ndarray, le
             yield streamed[row[hit]], (place[streamed][row] + step)[hit]
 
 
+def of_several(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the group of each has more than one id; given in order of groups and ids."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    ends = np.concatenate([first[1:], [len(group)]])
+    return np.repeat(ids[first] < ids[ends - 1], ends - first)
+
+
+def spans_of(h, ids, place, ahead, code, distinct: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts that have windows of smaller ids at their anchor, and where these begin and end.
+
+    Of contexts that are equal those of larger ids are marked whole.  The others are parted by longer strings;
+    groups that are still larger than ``GROUP_BYTES`` are so again, down to single windows if need be, and an index decides
+    the rest: none is for much more than ``INDEX_BYTES``, however many contexts an anchor has.
+    """
+    k = min(GRAM, length)
+    todo = [(h, np.arange(len(h)), place, ahead, code, distinct, k - length, 0, True)]
+    while todo:
+        group, x, at, ahead, code, distinct, low, high, whole = todo.pop()
+        sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+        left, equal = firsts_and_copies(group, code, ids[x])
+        yield x[equal], at[equal], at[equal] + sizes[code[equal]]
+        if not len(left):
+            continue
+        left = left[of_several(group[left], ids[x[left]])]
+        if not len(left):
+            continue
+        large = np.ones(len(left), bool)
+        if not whole:
+            new = np.concatenate([[True], group[left][1:] != group[left][:-1]])
+            large = np.add.reduceat(sizes[code[left]], np.flatnonzero(new))[np.cumsum(new) - 1] > GROUP_BYTES
+            large &= low < high
+        small, left = left[~large], left[large]
+        if len(small):
+            for y, start in partial_marks(group[small], ids[x[small]], at[small], code[small], distinct, sizes, length):
+                yield x[small[y]], start, start + length
+        if len(left):
+            for number, y, begin, *part in parted(group[left], code[left], ahead[left], distinct, low, high, length):
+                y = left[y]
+                todo.append((number, x[y], at[y] + begin, *part, False))
+
+
 def marked(length: int):
     """Marked runs of each document, from the contexts of a bucket."""
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
         h, ids, nth, place, ahead, code, distinct = read_blocks(rows)
-        sizes = pa.compute.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-        # of contexts that are equal at an anchor, those of larger ids are marked whole
-        rest, whole = firsts_and_copies(h, code, ids)
-        spans = [np.stack([ids[whole], nth[whole], place[whole], place[whole] + sizes[code[whole]]], 1)]
-        if len(rest):
-            group, x, at, coded = half_contexts(h[rest], code[rest], ahead[rest], distinct, sizes, length)
-            x = rest[x]
-            part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            own = pa.compute.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-            at += place[x]
-            left, equal = firsts_and_copies(group, part, ids[x])
-            spans.append(np.stack([ids[x[equal]], nth[x[equal]], at[equal], at[equal] + own[part[equal]]], 1))
-            left = left[np.bincount(group[left], minlength=1)[group[left]] > 1]
-            if len(left):
-                for y, start in partial_marks(group[left], ids[x[left]], at[left], part[left], coded.dictionary, own, length):
-                    y = x[left[y]]
-                    spans.append(np.stack([ids[y], nth[y], start, start + length], 1))
+        spans = [np.stack([ids[x], nth[x], begin, end], 1) for x, begin, end in spans_of(h, ids, place, ahead, code, distinct, length)]
         found = np.concatenate(spans)
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
         # runs of spans that touch are joined

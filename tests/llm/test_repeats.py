@@ -114,6 +114,39 @@ def test_texts_that_agree_to_their_ends_keep_their_order():
     assert index.least_ids([b"ky" + c], 50, -1)[0].tolist() == [5, 2] + [0] * 11
 
 
+@pytest.mark.parametrize("most", [0, 400, 1 << 18])
+def test_no_index_grows_with_the_contexts_of_an_anchor(monkeypatch, make_docs, words, most):
+    """A passage in documents that all differ beside it: its groups are parted until they are small."""
+    passage, rng = words(16, 1), random.Random(6)
+    other = lambda n: "".join(rng.choices("ab", k=n))
+    rows = [(i, other(rng.randint(0, 60)) + passage[rng.randint(0, 3) :] + other(rng.randint(0, 60))) for i in range(400)]
+    h, built = np.zeros(len(rows), np.uint64), []
+    monkeypatch.setattr(repeats, "GROUP_BYTES", most)
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 2000)
+    build = repeats.RunIndex.build
+    monkeypatch.setattr(repeats.RunIndex, "build", lambda texts, *a: built.append(sum(map(len, texts))) or build(texts, *a))
+    # all contexts of one place of the passage, as one anchor's
+    texts = [t.encode() for _, t in rows]
+    at = [t.index(passage[10:30].encode()) for t in texts]
+    places = [max(a - 30, 0) for a in at]
+    parts = repeats.pa.array([t[p : a + 50] for t, p, a in zip(texts, places, at)], repeats.pa.binary()).dictionary_encode()
+    ids = np.arange(len(rows))
+    gone = [bytearray(len(t)) for t in texts]
+    for x, begin, end in repeats.spans_of(h, ids, np.array(places), np.array(at) - places, parts.indices.to_numpy(), parts.dictionary, 50):
+        for i, a, b in zip(x.tolist(), begin.tolist(), end.tolist()):
+            gone[i][a:b] = b"\1" * (b - a)
+    seen: set = set()
+    for t, a, p, g in zip(texts, at, places, gone):
+        windows = [(k, t[k : k + 50]) for k in range(p, min(a, len(t) - 50) + 1)]
+        want = bytearray(len(t))
+        for k, w in windows:
+            if w in seen:
+                want[k : k + 50] = b"\1" * 50
+        seen |= {w for _, w in windows}
+        assert g == want
+    assert max(built, default=0) <= 2000 + most if most < 1 << 18 else max(built) > 4000
+
+
 def test_a_match_is_shortened_from_the_right():
     x, y, z = (bytes(random.Random(k).choices(range(97, 123), k=60)) for k in range(3))
     index = repeats.RunIndex.build([b"Y" + x[:55], b"Z" + x[:49] + y], np.array([7, 3]), 50)
