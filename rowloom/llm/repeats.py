@@ -5,8 +5,8 @@ A string of ``length`` bytes is removed from a document if it also starts in a d
 1.  Documents equal to one of smaller id are removed whole, if long enough; the rest of the work is
     over one document of each content.
 2.  Winnowing: of each window of ``length`` bytes the least k-gram hash is its anchor, so equal windows
-    have equal anchors.  Anchors travel as packed blocks to the task of their hash, one for each content and
-    block at most; those of one document alone are dropped.
+    have equal anchors.  Anchors travel as packed blocks to the task of their hash, one for each content at most;
+    those of one document alone are dropped.
 3.  Documents with a shared anchor give the contexts of these anchors: the bytes of all windows that have
     it.  Contexts are gathered by anchor, and equal ones are kept once with their smallest id: the context of
     any larger id is marked whole.  Those that differ are parted once more, by longer strings that their windows hold,
@@ -40,7 +40,7 @@ FLUSH = 1 << 20  # anchors, or half the contexts, held before they are sent
 FIRST = 7  # characters that are sorted at once
 INDEX_BYTES = 1 << 20  # of contexts under one index
 GROUP_BYTES = 1 << 18  # of contexts that are parted by longer strings once more
-HASH_BYTES = 5  # of an anchor beside its bucket; a false match costs time only
+HASH_BYTES = 4  # of an anchor beside its bucket; a false match costs time only
 MASK = np.uint64((1 << 8 * HASH_BYTES) - 1)
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -121,6 +121,25 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers from 0 as planes of their bytes, as many as the greatest has; they compress well, each plane on its own."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n integers written by ``planes`` at a place, and the place after them."""
+    width, out = data[at], np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
+    return out.view("<u8").ravel(), at + 1 + width * n
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Of ascending values the first and the differences."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def parts(order_by: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Indexes of each value 0..n-1 that occurs."""
     order = np.argsort(order_by, kind="stable")
@@ -279,7 +298,7 @@ class RunIndex:
 
 
 def anchor_blocks(length: int, buckets: int):
-    """Blocks of anchors by bucket: hashes, and ids less the block's least in planes of 16 bits."""
+    """Blocks of anchors by bucket: compressed planes of the ascending hashes' steps, and of ids less the block's least.  Copies send none."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -290,32 +309,22 @@ def anchor_blocks(length: int, buckets: int):
             h, ids = (np.concatenate(x) for x in zip(*held))
             held, count = [], 0
             least = int(ids.min())
-            away = (ids - least).astype("<u8")
-            planes = 2 if int(away.max()) < 1 << 32 else 4
-            rows = [], [], []
+            away, kept = (ids - least).astype("<u8"), h & MASK
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for k, at in parts((h >> np.uint64(48)).astype(np.int64) % buckets, buckets):
-                at = at[np.argsort(h[at], kind="stable")]
-                rows[0].append(k)
-                rows[1].append(least)
-                own = away[at].view("<u2").reshape(-1, 4)
-                rows[2].append(bytes([planes]) + packed(h[at]) + b"".join(np.ascontiguousarray(own[:, p]).tobytes() for p in range(planes)))
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], ["bucket", "least", "block"])
-
-        contents: dict[bytes, int] = {}
-        for part in slices(batches, limit=SEGMENT):
+                at = at[np.argsort(kept[at], kind="stable")]
+                data = planes(steps(kept[at])) + planes(away[at])
+                for row, value in zip(rows, (k, least, len(at), len(data), pa.compress(data, "zstd", asbytes=True))):
+                    row.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "least", "n", "size", "block"])
+
+        for part in slices(batches, "_text", limit=SEGMENT):
             texts, ids = [], []
-            for i, t in zip(part.column("id").to_pylist(), filled(part).to_pylist()):
+            for i, t, copy in zip(part.column("_id").to_pylist(), filled(part, "_text").to_pylist(), part.column("_copy").to_pylist()):
                 data = t.encode()
-                if i is None or len(data) < length:
-                    continue
-                digest = hashlib.md5(data).digest()
-                if contents.get(digest, i) < i:
-                    continue  # an equal text of smaller id has gone before
-                contents[digest] = i
-                texts.append(data)
-                ids.append(i)
-            if len(contents) > 200_000:
-                contents = {}
+                if i is not None and not copy and len(data) >= length:
+                    texts.append(data)
+                    ids.append(i)
             if not texts:
                 continue
             owner, h, _, _ = joined_anchors(texts, length)
@@ -333,12 +342,11 @@ def anchor_blocks(length: int, buckets: int):
 def shared(rows: list[tuple]) -> pa.RecordBatch:
     """The anchors of two documents or more in a bucket, by document."""
     hashes, ids = [], []
-    for least, block in rows:
-        planes = block[0]
-        n = (len(block) - 1) // (HASH_BYTES + 2 * planes)
-        hashes.append(unpacked(block[1 : 1 + HASH_BYTES * n]))
-        cols = np.frombuffer(block[1 + HASH_BYTES * n :], "<u2").reshape(planes, n)
-        ids.append(sum(cols[p].astype(np.int64) << (16 * p) for p in range(planes)) + least)
+    for least, n, size, block in rows:
+        data = pa.decompress(block, size, "zstd", asbytes=True)
+        step, at = from_planes(data, 0, n)
+        hashes.append(np.cumsum(step, dtype=np.uint64))
+        ids.append(from_planes(data, at, n)[0].astype(np.int64) + least)
     h, i = np.concatenate(hashes), np.concatenate(ids)
     order = np.argsort(h, kind="stable")
     h, i = h[order], i[order]
@@ -388,15 +396,18 @@ def context_blocks(length: int, buckets: int):
             coded = pa.array([c for x in held for c in x[5]], pa.binary()).dictionary_encode()
             codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             held, count = [], 0
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            least = int(ids.min())
             for k, at in parts((h % np.uint64(buckets)).astype(np.int64), buckets):
+                at = at[np.argsort(h[at], kind="stable")]
                 own, local = np.unique(codes[at], return_inverse=True)
                 texts = distinct.take(pa.array(own)).to_pylist()
-                sizes = np.array([len(own), *map(len, texts)], "<i4")
-                data = b"".join([sizes.tobytes(), packed(h[at]), ids[at].astype("<i8").tobytes(), *(x.astype("<i4").tobytes() for x in (nth[at], place[at], ahead[at], local)), *texts])
-                for row, value in zip(rows, (k, len(at), len(data), pa.compress(data, "zstd", asbytes=True))):
+                sizes = np.array([*map(len, texts)], np.int64)
+                columns = steps(h[at]), ids[at] - least, nth[at], place[at], ahead[at], local
+                data = b"".join([len(own).to_bytes(4, "little"), planes(sizes), *map(planes, columns), *texts])
+                for row, value in zip(rows, (k, least, len(at), len(data), pa.compress(data, "zstd", asbytes=True))):
                     row.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "size", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "least", "n", "size", "block"])
 
         for part in slices(batches, "_text", limit=SEGMENT):
             columns = [part.column(c).to_pylist() for c in ("_id", "_text", "_nth", "_copy", "anchors")]
@@ -423,16 +434,14 @@ def read_blocks(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     """Anchor, id, row of the id, place, bytes before the anchor and distinct context of each context of a bucket, and the distinct ones."""
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     texts, before = [], 0
-    for n, size, block in rows:
+    for least, n, size, block in rows:
         data = pa.decompress(block, size, "zstd", asbytes=True)
-        m = int(np.frombuffer(data, "<i4", 1)[0])
-        off = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<i4", m, 4))]).astype("<i4")
-        at = 4 + 4 * m
-        columns[0].append(unpacked(data[at : at + HASH_BYTES * n]))
-        at += HASH_BYTES * n
-        for k, kind in enumerate(("<i8", "<i4", "<i4", "<i4", "<i4"), 1):
-            columns[k].append(np.frombuffer(data, kind, n, at).astype(np.int64))
-            at += n * int(kind[2])
+        m = int.from_bytes(data[:4], "little")
+        own, at = from_planes(data, 4, m)
+        off = np.concatenate([[0], np.cumsum(own)]).astype("<i4")
+        for k in range(6):
+            x, at = from_planes(data, at, n)
+            columns[k].append(np.cumsum(x, dtype=np.uint64) if not k else x.astype(np.int64) + least if k == 1 else x.astype(np.int32))
         columns[5][-1] += before
         before += m
         texts.append(pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(off), pa.py_buffer(data[at:])]))
@@ -631,18 +640,17 @@ def with_spans(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
     odd = materialise(odd, "copies")
 
     buckets = source.rdd.getNumPartitions() + 16
-    sent = source.mapInArrow(anchor_blocks(length, buckets), "bucket int, least bigint, block binary")
-    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, "id bigint, anchors binary")
-    shared = shared.groupBy(F.col("id").alias("_shared")).agg(F.collect_list("anchors").alias("anchors"))
-
-    # the texts are dealt out by id once, and read from there both for their contexts and for the outcome
+    # the texts are dealt out by id once, and read from there for their anchors, for their contexts and for the outcome
     texts = docs.select(F.struct(*(c for c in docs.columns if c != text)).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     plain = F.coalesce("_text", F.lit(""))
     texts = texts.withColumn("_salt", F.coalesce("_id", F.xxhash64("_text"))).repartition(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_salt")
     own = F.get(F.array(F.col("odd")[F.md5(plain)]), F.lit(0))
     noted = texts.join(odd, F.col("_salt") == F.col("_odd"), "left").withColumns({"_copy": F.coalesce(own["copy"], F.lit(False)), "_nth": F.coalesce(own["nth"], F.lit(0))}).drop("odd", "_odd")
+    sent = noted.mapInArrow(anchor_blocks(length, buckets), "bucket int, least bigint, n int, size int, block binary")
+    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, "id bigint, anchors binary")
+    shared = shared.groupBy(F.col("id").alias("_shared")).agg(F.collect_list("anchors").alias("anchors"))
     some = noted.join(shared, F.col("_salt") == F.col("_shared"))
-    contexts = some.mapInArrow(context_blocks(length, buckets), "bucket int, n int, size int, block binary")
+    contexts = some.mapInArrow(context_blocks(length, buckets), "bucket int, least bigint, n int, size int, block binary")
     spans = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(marked(length), "_id bigint, nth int, spans binary")
     spans = spans.groupBy(F.col("_id").alias("_spanned")).agg(F.collect_list(F.struct("nth", "spans")).alias("spans"))
     return noted.join(spans, F.col("_salt") == F.col("_spanned"), "left").drop("_salt", "_spanned")

@@ -147,6 +147,30 @@ def test_no_index_grows_with_the_contexts_of_an_anchor(monkeypatch, make_docs, w
     assert max(built, default=0) <= 2000 + most if most < 1 << 18 else max(built) > 4000
 
 
+def test_blocks_are_small_however_many_buckets():
+    """Copies send no anchors, a block has about 5 bytes for each of the others, and contexts are read as they were sent."""
+    pa, rng = repeats.pa, random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(300)]
+    ids = [(k * 7919 - 1000) << 20 for k in range(300)]
+    schema = pa.schema({"_id": pa.int64(), "_text": pa.string(), "_nth": pa.int32(), "_copy": pa.bool_(), "anchors": pa.list_(pa.binary())})
+    every = [np.unique(repeats.anchors(np.frombuffer(t.encode(), np.uint8), 50)[0]) & repeats.MASK for t in texts]
+    rows = [{"_id": i, "_text": t, "_nth": 0, "_copy": c, "anchors": [repeats.packed(h)]} for c in (False, True) for i, t, h in zip(ids, texts, every)]
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    sent = pa.Table.from_batches(repeats.anchor_blocks(50, 40)(iter([batch])))
+    n = sum(map(len, every))
+    assert sum(sent["n"].to_pylist()) == n and sum(map(len, sent["block"].to_pylist())) < 6.5 * n
+    blocks = pa.Table.from_batches(repeats.context_blocks(50, 40)(iter([batch])))
+    seen = set()
+    for row in zip(*(blocks[c].to_pylist() for c in ("least", "n", "size", "block"))):
+        h, i, nth, place, ahead, code, distinct = repeats.read_blocks([row])
+        seen |= set(zip(h.tolist(), i.tolist(), place.tolist(), ahead.tolist(), distinct.take(pa.array(code)).to_pylist()))
+    want = set()
+    for i, t in zip(ids, texts):
+        h, a, b, p = repeats.anchors(np.frombuffer(t.encode(), np.uint8), 50)
+        want |= {(int(x & repeats.MASK), i, u, v - u, t[u : w + 50].encode()) for x, u, w, v in zip(h, a.tolist(), b.tolist(), p.tolist())}
+    assert seen == want
+
+
 def test_a_match_is_shortened_from_the_right():
     x, y, z = (bytes(random.Random(k).choices(range(97, 123), k=60)) for k in range(3))
     index = repeats.RunIndex.build([b"Y" + x[:55], b"Z" + x[:49] + y], np.array([7, 3]), 50)
